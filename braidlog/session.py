@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +29,42 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local folder."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="braidlog-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
+    """Write ``df`` as a compressed table into the shared folder and read it back, without its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    is a local one made.  The files outlive any executor.
+    The files outlive any executor.  They are removed by ``drop_cut`` or when the application ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="braidlog-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/braidlog-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def drop_cut() -> None:
+    """Remove the tables written by ``cut``; frames that still read them fail afterwards."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may be gone already
+            return
 
 
 def shuffle_width(spark: SparkSession) -> int:
