@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from braidlog.functions.arrow import map_rows, safe
 from braidlog.functions.jsontext import loads
-from braidlog.llm import conversations, leaks, packing, splitting
+from braidlog.llm import conversations, encoding, leaks, packing, splitting
 from braidlog.sources.tables import table
 
 LIMIT, OVERLAP = 2000, 100
@@ -97,7 +97,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report)}
+# ---- 10: wrong encodings ------------------------------------------------------------------------
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with text from a wrong decoding."""
+    return encoding.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """As p10_found, with the restored text and the chain of encodings that explains it."""
+    return encoding.garbled(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
 
 ORACLE = {
     "p7_found": """
