@@ -9,12 +9,20 @@ from pyspark.sql import functions as F
 
 from braidlog.functions.arrow import map_rows, safe
 from braidlog.functions.jsontext import loads
-from braidlog.llm import conversations, encoding, leaks, packing, splitting
+from braidlog.llm import conversations, defects, encoding, leaks, packing, splitting
 from braidlog.sources.tables import table
 
 LIMIT, OVERLAP = 2000, 100
 
 
+# ---- 3: defective pairs -------------------------------------------------------------------------
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Exchanges whose answer is defective, with the defect."""
+    return defects.defective(table(spark, d, "exchanges"))
+
+
 # ---- 6: conversations ---------------------------------------------------------------------------
 
 
@@ -110,7 +118,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
 
 ORACLE = {
     "p7_found": """
