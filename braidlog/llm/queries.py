@@ -9,12 +9,34 @@ from pyspark.sql import functions as F
 
 from braidlog.functions.arrow import map_rows, safe
 from braidlog.functions.jsontext import loads
-from braidlog.llm import conversations, defects, encoding, leaks, packing, splitting
+from braidlog.llm import conversations, defects, encoding, leaks, neardup, packing, splitting
+from braidlog.session import cut
 from braidlog.sources.tables import table
 
 LIMIT, OVERLAP = 2000, 100
 
 
+# ---- 2: near duplicates -------------------------------------------------------------------------
+
+
+def _exchange_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "exchanges").select(F.col("id").cast("long").alias("id"), neardup.joined("user_message", "assistant_message").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of exchanges that share half of their sequences of three words."""
+    texts = _exchange_texts(spark, d)
+    sig = cut(neardup.signatures(texts))
+    return neardup.pairs(neardup.links(texts, sig), neardup.members(sig))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class, group and number of links of every exchange."""
+    texts = _exchange_texts(spark, d)
+    sig = cut(neardup.signatures(texts))
+    return neardup.groups(neardup.links(texts, sig), neardup.members(sig))
+
+
 # ---- 3: defective pairs -------------------------------------------------------------------------
 
 
@@ -118,7 +140,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
 
 ORACLE = {
     "p7_found": """
