@@ -44,10 +44,9 @@ TREES, SHALLOW, DEEPEST, BITS, SMALL, BLOCK = 24, 2, 3, 16, 8, 2048
 SLOTS, COMMON, COMMON_LEAST, COUNT_BLOCK = 1 << 19, 0.01, 20, 1 << 12
 SKETCH_LEAST = 40
 _RNG = np.random.default_rng(20240229)
-_MUL = _RNG.integers(1, 1 << 63, TREES * DEEPEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _RNG.integers(0, 1 << 63, TREES * DEEPEST, dtype=np.uint64)
-_MUL_S = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR_S = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64)
+# one row per hash function: x -> (x ^ a) * b on 32 bits
+_XOR, _MUL = _RNG.integers(0, 1 << 32, (TREES * DEEPEST, 1), dtype=np.uint32), _RNG.integers(0, 1 << 31, (TREES * DEEPEST, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR_S, _MUL_S = _RNG.integers(0, 1 << 32, (64, 1), dtype=np.uint32), _RNG.integers(0, 1 << 31, (64, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -74,7 +73,7 @@ def similarity(a: str, b: str) -> float:
 
 
 class Hasher:
-    """Distinct hashes of a text's word sequences; words are hashed once a task (a bounded cache)."""
+    """Hashes of a text's word sequences, repeats included; words are hashed once a task (a bounded cache)."""
 
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
@@ -100,7 +99,7 @@ class Hasher:
         s ^= s >> np.uint64(32)
         s *= _MIX
         s ^= s >> np.uint64(29)
-        return np.unique(s)
+        return s
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -109,10 +108,11 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 def _smallest(h: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
     """Least value under each hash function; long texts in parts."""
-    out = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 4096):
-        out = np.minimum(out, ((h[None, i : i + 4096] ^ xor[:, None]) * mul[:, None]).min(axis=1))
-    return out
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    out = ((x[:4096] ^ xor) * mul).min(axis=1)
+    for i in range(4096, len(x), 4096):
+        out = np.minimum(out, ((x[i : i + 4096] ^ xor) * mul).min(axis=1))
+    return out.astype(np.uint64) * _MIX
 
 
 def keys_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -120,8 +120,7 @@ def keys_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
     own = h[~common[_slots(h)]]
     if len(own) * 10 < len(h):
         own = h
-    least = _smallest(own, _XOR, _MUL)
-    level = ((least ^ (least >> np.uint64(31))) * _MIX >> np.uint64(64 - BITS)).reshape(TREES, DEEPEST)
+    level = (_smallest(own, _XOR, _MUL) >> np.uint64(64 - BITS)).reshape(TREES, DEEPEST)
     key = np.arange(TREES, dtype=np.uint64)
     for d in range(DEEPEST):
         key = (key << np.uint64(BITS)) | level[:, d]
@@ -129,7 +128,7 @@ def keys_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(h: np.ndarray) -> int:
-    bits = (_smallest(h, _XOR_S, _MUL_S) >> np.uint64(40)) & np.uint64(1)
+    bits = _smallest(h, _XOR_S, _MUL_S) >> np.uint64(63)
     return int((bits * _POWERS).sum(dtype=np.uint64).astype(np.int64))
 
 
@@ -146,7 +145,7 @@ def common_sequences(texts: DataFrame) -> bytes:
             for t in b.column(0).to_pylist():
                 h = hasher(words_of(t))
                 if len(h):
-                    total[np.unique(_slots(h))] += 1
+                    total[_slots(h)] += 1  # equal slots of one text count once
                     n += 1
         if n:
             parts = total.reshape(-1, COUNT_BLOCK)
@@ -299,7 +298,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(sig: DataFrame) -> DataFrame:
     """Distinct pairs of classes that share a node and whose sketches agree: a < b."""
-    keyed = sig.select(F.explode("keys").alias("key"), "class", "sketch").groupBy("key", "class").agg(F.first("sketch").alias("sketch"))
+    classes = sig.groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    keyed = classes.select(F.explode("keys").alias("key"), "class", "sketch")
     shallow = F.shiftright("key", BITS * (DEEPEST - SHALLOW))
     found = keyed.repartition(shallow).sortWithinPartitions("key", "class").select("key", "class", "sketch").mapInArrow(_walk, FOUND)
     found = cut(found)
@@ -334,7 +334,24 @@ def links(texts: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> Dat
     both = one.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 
     def make() -> Callable[..., Iterable[tuple]]:
+        hasher = Hasher()
+        kept: dict[int, np.ndarray] = {}  # rows come sorted by b, so its hashes serve again
+
+        def hashes(rid: int, text: str) -> np.ndarray:
+            h = kept.get(rid)
+            if h is None:
+                if len(kept) >= 256:
+                    kept.clear()
+                h = kept[rid] = np.unique(hasher(words_of(text)))
+            return h
+
         def each(a: int, b: int, x: str, y: str) -> Iterable[tuple]:
+            p, q = hashes(a, x), hashes(b, y)
+            both = np.concatenate((p, q))
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            if shared < (threshold - 0.01) * (len(both) - shared):
+                return ()
             s = similarity(x, y)
             return [(a, b, s)] if s >= threshold else ()
 
