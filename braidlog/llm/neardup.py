@@ -6,13 +6,13 @@
    duplication; they are counted over all texts in one array of ``SLOTS`` counters, whose size doesn't follow
    the corpus, and only the bits "common or not" are broadcast.  Texts with hardly anything else keep
    their common sequences.
-3. Each class gets a 64-bit sketch of all its sequences and, in each of ``TREES`` prefix tries, a key of
+3. Each class gets a sketch of all its sequences and, in each of ``TREES`` prefix tries, a key of
    ``DEEPEST`` MinHash levels over the others.  The tries are sorted by key; a node of the shortest prefix
    is compared as a whole where it is small, and else is descended into: the matched prefix is as short
    as the density of its place allows.  ``recall`` gives the recall that the deepest level guarantees at a
    similarity, and everything shorter adds to it.
-4. Pairs whose sketches disagree too much are dropped (by ``SKETCH_LEAST``, more than two standard deviations below what the
-   threshold gives), the rest is verified on the whole texts.
+4. Pairs whose sketches disagree too much are dropped (by ``SKETCH_LEAST`` of 64 bits in the tries, then by ``SKETCHES_LEAST`` of
+   128, both more than two standard deviations below what the threshold gives), the rest is verified on the whole texts.
 
 Nodes larger than ``BLOCK`` are cut into blocks and each pair of blocks is a row of its own, so that no
 task holds a large node.  ``links`` gives the verified pairs of classes, ``members`` the class of each row,
@@ -42,11 +42,11 @@ WORD = re.compile(r"[^\W_]+")
 SHINGLE, THRESHOLD = 3, 0.5
 TREES, SHALLOW, DEEPEST, BITS, SMALL, BLOCK = 24, 2, 3, 16, 8, 2048
 SLOTS, COMMON, COMMON_LEAST, COUNT_BLOCK = 1 << 19, 0.01, 20, 1 << 12
-SKETCH_LEAST = 40
+SKETCH_LEAST, SKETCHES_LEAST = 40, 83
 _RNG = np.random.default_rng(20240229)
-# one row per hash function: x -> (x ^ a) * b on 32 bits
-_XOR, _MUL = _RNG.integers(0, 1 << 32, (TREES * DEEPEST, 1), dtype=np.uint32), _RNG.integers(0, 1 << 31, (TREES * DEEPEST, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_XOR_S, _MUL_S = _RNG.integers(0, 1 << 32, (64, 1), dtype=np.uint32), _RNG.integers(0, 1 << 31, (64, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+# hash functions x -> (x ^ a) * b on 32 bits
+_TREE_FUNCTIONS = np.stack([_RNG.integers(0, 1 << 32, TREES * DEEPEST, dtype=np.uint32), _RNG.integers(0, 1 << 31, TREES * DEEPEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)], axis=1)
+_SKETCH_FUNCTIONS = np.stack([_RNG.integers(0, 1 << 32, 128, dtype=np.uint32), _RNG.integers(0, 1 << 31, 128, dtype=np.uint32) * np.uint32(2) + np.uint32(1)], axis=1)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -73,25 +73,25 @@ def similarity(a: str, b: str) -> float:
 
 
 class Hasher:
-    """Hashes of a text's word sequences, repeats included; words are hashed once a task (a bounded cache)."""
+    """Hashes of word sequences, repeats included; words are hashed once a task (a bounded cache)."""
 
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(words) < SHINGLE:
-            return np.empty(0, np.uint64)
+    def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All hashes of some texts of at least ``SHINGLE`` words one after another, and how many each has."""
         seen = self.seen
         if len(seen) > 500_000:
             seen.clear()
         try:
-            h = [seen[w] for w in words]
+            flat = [seen[w] for ws in texts for w in ws]
         except KeyError:
-            for w in words:
-                if w not in seen:
-                    seen[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            h = [seen[w] for w in words]
-        a = np.array(h, np.uint64)
+            for ws in texts:
+                for w in ws:
+                    if w not in seen:
+                        seen[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            flat = [seen[w] for ws in texts for w in ws]
+        a = np.array(flat, np.uint64)
         n = len(a) - SHINGLE + 1
         s = a[:n] * _STEPS[0]
         for i in range(1, SHINGLE):
@@ -99,54 +99,82 @@ class Hasher:
         s ^= s >> np.uint64(32)
         s *= _MIX
         s ^= s >> np.uint64(29)
-        return s
+        words = np.array([len(ws) for ws in texts])
+        counts = words - SHINGLE + 1
+        # leave out the sequences that reach into the next text
+        first = np.cumsum(words) - words
+        return s[np.arange(counts.sum()) + np.repeat(first - _before(counts), counts)], counts
+
+
+def _before(counts: np.ndarray) -> np.ndarray:
+    return np.cumsum(counts) - counts
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(7)) & np.uint64(SLOTS - 1)
 
 
-def _smallest(h: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
-    """Least value under each hash function; long texts in parts."""
-    x = (h >> np.uint64(32)).astype(np.uint32)
-    out = ((x[:4096] ^ xor) * mul).min(axis=1)
-    for i in range(4096, len(x), 4096):
-        out = np.minimum(out, ((x[i : i + 4096] ^ xor) * mul).min(axis=1))
+def _smallest(h: np.ndarray, counts: np.ndarray, functions: np.ndarray) -> np.ndarray:
+    """Least value of each text's hashes under each function: one row per function."""
+    x, at = (h >> np.uint64(32)).astype(np.uint32), _before(counts)
+    out = np.empty((len(functions), len(counts)), np.uint32)
+    for i, (a, b) in enumerate(functions):
+        out[i] = np.minimum.reduceat((x ^ a) * b, at)
     return out.astype(np.uint64) * _MIX
 
 
-def keys_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """One key a tree: the tree's number, then ``DEEPEST`` levels of ``BITS`` bits."""
-    own = h[~common[_slots(h)]]
-    if len(own) * 10 < len(h):
-        own = h
-    level = (_smallest(own, _XOR, _MUL) >> np.uint64(64 - BITS)).reshape(TREES, DEEPEST)
-    key = np.arange(TREES, dtype=np.uint64)
+def keys_of(h: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """One key a tree and text: the tree's number, then ``DEEPEST`` levels of ``BITS`` bits."""
+    own = ~common[_slots(h)]
+    few = np.add.reduceat(own.astype(np.int64), _before(counts)) * 10 < counts
+    own |= np.repeat(few, counts)
+    level = _smallest(h[own], np.add.reduceat(own.astype(np.int64), _before(counts)), _TREE_FUNCTIONS) >> np.uint64(64 - BITS)
+    level = level.reshape(TREES, DEEPEST, -1)
+    key = np.repeat(np.arange(TREES, dtype=np.uint64)[:, None], len(counts), axis=1)
     for d in range(DEEPEST):
         key = (key << np.uint64(BITS)) | level[:, d]
-    return key.astype(np.int64)
+    return key.T.astype(np.int64)
 
 
-def sketch_of(h: np.ndarray) -> int:
-    bits = _smallest(h, _XOR_S, _MUL_S) >> np.uint64(63)
-    return int((bits * _POWERS).sum(dtype=np.uint64).astype(np.int64))
+def sketches_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Two words of 64 one-bit hashes for each text."""
+    bits = (_smallest(h, counts, _SKETCH_FUNCTIONS) >> np.uint64(63)).reshape(2, 64, -1)
+    return (bits * _POWERS[None, :, None]).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
 def _classed(words: list[str]) -> int:
     return int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Ids and words of the texts with sequences, about ``most`` words at a time."""
+    ids: list[int] = []
+    texts: list[list[str]] = []
+    size = 0
+    for b in batches:
+        for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            w = words_of(t)
+            if len(w) >= SHINGLE:
+                ids.append(rid)
+                texts.append(w)
+                size += len(w)
+                if size >= most:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def common_sequences(texts: DataFrame) -> bytes:
     """For each counter, whether more than ``COMMON`` of all texts fall into it (packed bits)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total, n = Hasher(), np.zeros(SLOTS, np.int64), 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                h = hasher(words_of(t))
-                if len(h):
-                    total[_slots(h)] += 1  # equal slots of one text count once
-                    n += 1
+        for _, words in _in_parts(batches):
+            h, counts = hasher(words)
+            once = np.unique(_slots(h).astype(np.int64) + np.repeat(np.arange(len(counts)) * SLOTS, counts)) % SLOTS
+            total += np.bincount(once, minlength=SLOTS)
+            n += len(words)
         if n:
             parts = total.reshape(-1, COUNT_BLOCK)
             yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n if i == 0 else 0 for i in range(len(parts))], pa.int64())], names=["block", "counts", "n"])
@@ -162,7 +190,7 @@ def common_sequences(texts: DataFrame) -> bytes:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary()), pa.array([n] + [0] * (len(sums) - 1), pa.int64())], names=["block", "counts", "n"])
 
     schema = "block int, counts binary, n bigint"
-    parts = texts.select("text").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema).collect()  # SLOTS counters, whatever the corpus
+    parts = texts.select("id", "text").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema).collect()  # SLOTS counters, whatever the corpus
     total, n = np.zeros(SLOTS, np.int64), 0
     for k, c, m in parts:
         total[k * COUNT_BLOCK : (k + 1) * COUNT_BLOCK] += np.frombuffer(c, np.int64)
@@ -171,22 +199,21 @@ def common_sequences(texts: DataFrame) -> bytes:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """id, class, sketch and tree keys of every text that has sequences."""
+    """id, class, two sketches and tree keys of every text that has sequences."""
     sent = texts.sparkSession.sparkContext.broadcast(common_sequences(texts))
 
-    def make() -> Callable[..., Iterable[tuple]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, hasher = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool), Hasher()
+        for ids, words in _in_parts(batches):
+            h, counts = hasher(words)
+            keys, (one, two) = keys_of(h, counts, common), sketches_of(h, counts)
+            offsets = pa.array(np.arange(0, keys.size + 1, TREES, dtype=np.int32))
+            yield pa.record_batch(
+                [pa.array(ids, pa.int64()), pa.array([_classed(w) for w in words], pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
+                names=["id", "class", "sketch", "more", "keys"],
+            )
 
-        def each(rid: int, text: str) -> Iterable[tuple]:
-            words = words_of(text)
-            h = hasher(words)
-            if not len(h):
-                return ()
-            return [(rid, _classed(words), sketch_of(h), keys_of(h, common).tolist())]
-
-        return each
-
-    return map_rows(texts, make, "id bigint, class bigint, sketch bigint, keys array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, class bigint, sketch bigint, more bigint, keys array<bigint>")
 
 
 def _agree(x: int, y: int) -> bool:
@@ -326,10 +353,11 @@ def members(sig: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified pairs of classes, by the ids of their first rows: a < b, with their similarity."""
-    heads = sig.groupBy("class").agg(F.min("id").alias("first"))
+    heads = sig.groupBy("class").agg(F.min("id").alias("first"), F.first("sketch").alias("one"), F.first("more").alias("two"))
     found = candidates(sig)
-    named = found.join(heads.withColumnsRenamed({"class": "a", "first": "first_a"}), "a").join(heads.withColumnsRenamed({"class": "b", "first": "first_b"}), "b")
-    named = named.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    named = found.join(heads.withColumnsRenamed({"class": "a", "first": "first_a", "one": "one_a", "two": "two_a"}), "a").join(heads.withColumnsRenamed({"class": "b", "first": "first_b", "one": "one_b", "two": "two_b"}), "b")
+    agree = 128 - F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) - F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b")))
+    named = named.where(agree >= SKETCHES_LEAST).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
     one = named.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     both = one.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 
@@ -342,7 +370,7 @@ def links(texts: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> Dat
             if h is None:
                 if len(kept) >= 256:
                     kept.clear()
-                h = kept[rid] = np.unique(hasher(words_of(text)))
+                h = kept[rid] = np.unique(hasher([words_of(text)])[0])
             return h
 
         def each(a: int, b: int, x: str, y: str) -> Iterable[tuple]:
