@@ -9,13 +9,65 @@ from pyspark.sql import functions as F
 
 from braidlog.functions.arrow import map_rows, safe
 from braidlog.functions.jsontext import loads
-from braidlog.llm import conversations, defects, encoding, leaks, neardup, packing, splitting
+from braidlog.llm import conversations, defects, encoding, leaks, neardup, packing, personal, personal_training, splitting
 from braidlog.session import cut
 from braidlog.sources.tables import table
 
 LIMIT, OVERLAP = 2000, 100
 
 
+# ---- 1: personal data ---------------------------------------------------------------------------
+
+
+def _finder(spark: SparkSession) -> Callable[[], personal.Finder]:
+    sent = spark.sparkContext.broadcast(personal_training.train())  # a few hundred leaves
+    return lambda: personal.Finder(sent.value)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each kind of personal data in a field."""
+    finder = _finder(spark)
+    schema = "tbl string, row_id bigint, field string, kind string"
+
+    def exchanges() -> Callable[..., Iterable[tuple]]:
+        f = finder()
+        return lambda rid, *texts: [("exchanges", rid, n, k) for n, t in zip(("user_message", "assistant_message"), texts, strict=True) if t for k in sorted({k for *_, k in f.spans(t)})]
+
+    def claude() -> Callable[..., Iterable[tuple]]:
+        f = finder()
+        return lambda rid, content: [("claude", rid, "content", k) for k in sorted(set(f.redact_json(content)[1]))]
+
+    a = map_rows(table(spark, d, "exchanges").select(F.col("id").cast("long"), "user_message", "assistant_message"), exchanges, schema)
+    b = map_rows(table(spark, d, "claude").select(F.col("row_id").cast("long"), "content"), claude, schema)
+    return a.unionByName(b)
+
+
+def p1_exchanges(spark: SparkSession, d: str) -> DataFrame:
+    """exchanges with placeholders in both messages."""
+    finder = _finder(spark)
+
+    def make() -> Callable[..., Iterable[tuple]]:
+        f = finder()
+        return lambda rid, u, a: [(rid, f.redact(u)[0], f.redact(a)[0])]
+
+    rows = table(spark, d, "exchanges")
+    done = map_rows(rows.select(F.col("id").cast("long"), "user_message", "assistant_message"), make, "id bigint, user_message string, assistant_message string", 2000)
+    return rows.drop("user_message", "assistant_message").join(done, "id")
+
+
+def p1_claude(spark: SparkSession, d: str) -> DataFrame:
+    """claude with placeholders in content, which stays valid JSON."""
+    finder = _finder(spark)
+
+    def make() -> Callable[..., Iterable[tuple]]:
+        f = finder()
+        return lambda rid, content: [(rid, f.redact_json(content)[0])]
+
+    rows = table(spark, d, "claude")
+    done = map_rows(rows.select(F.col("row_id").cast("long"), "content"), make, "row_id bigint, content string", 2000)
+    return rows.drop("content").join(done, "row_id")
+
+
 # ---- 2: near duplicates -------------------------------------------------------------------------
 
 
@@ -140,7 +192,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_exchanges, p1_claude, p2_found, p2_groups, p3_found, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
 
 ORACLE = {
     "p7_found": """
