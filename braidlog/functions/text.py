@@ -58,7 +58,7 @@ def cut_bytes(text: Column, most: int, mark: str = CUT_MARK) -> Column:
     """
     raw = F.encode(text, "UTF-8")
     tries = [F.try_validate_utf8(F.substring(raw, 1, n)) for n in range(most, max(most - 4, -1), -1)]
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.coalesce(*tries, F.lit("")), F.lit(mark)))
+    return F.when(text.isNull() | (F.octet_length(text) <= most), text).otherwise(F.concat(F.coalesce(*tries, F.lit("")), F.lit(mark)))
 
 
 def left_trimmed(text: Column) -> Column:
@@ -174,9 +174,14 @@ def porter(word: str) -> str:
     return w
 
 
+_FOLD = str.maketrans(MARKED, PLAIN)
+_RUN = re.compile(r"[가-힣]{2,}")
+_TOKEN = re.compile(r"[^\W_]+")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Token arrays with every token stemmed; each distinct token is stemmed once a task."""
+def _analyze(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Each distinct token is stemmed once a task (a bounded cache)."""
     seen: dict[str, str] = {}
 
     def stem(w: str) -> str:
@@ -187,10 +192,23 @@ def stemmed(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
             s = seen[w] = porter(w)
         return s
 
-    for lists_ in lists:
-        yield lists_.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+    def pairs(m: re.Match) -> str:
+        run = m.group()
+        return " " + " ".join(run[i : i + 2] for i in range(len(run) - 1)) + " "
+
+    def terms(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        return [stem(w) for w in _TOKEN.findall(_RUN.sub(pairs, text.lower().translate(_FOLD)))]
+
+    for t in texts:
+        yield t.map(terms)
+
+
+#: A plan must not fold the UDF into the lambdas that read its result.
+_analyze = _analyze.asNondeterministic()
 
 
 def analyzed(text: Column) -> Column:
-    """Tokens as the full-text index has them: folded marks, Hangul pairs, Porter stems."""
-    return stemmed(tokens(fold_marks(text)))
+    """Tokens as a stemming index has them: folded marks, Hangul pairs, Porter stems."""
+    return _analyze(text)

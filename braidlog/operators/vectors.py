@@ -32,7 +32,7 @@ def nearest(vectors: DataFrame, query: Sequence[float], n: int, key: str = "id")
     fit = vectors.where(F.size("embedding") == len(query))
     d2 = F.round(squared_l2(F.col("embedding"), q), 7)
     near = fit.withColumn("near", -d2).drop("embedding")
-    return top(near, n, "near", key).withColumn("cos", F.round(1 + F.col("near") / 2, 7)).drop("near")
+    return top(near, n, "near", key).withColumn("cos", F.round(1 + F.col("near") / 2, 8)).drop("near")
 
 
 def _fnv(word: str) -> int:

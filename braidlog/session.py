@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,27 @@ def local_session(cpus: int | None = None, memory: str = "8g") -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session whose Python path lacks it; once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(here)
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-code-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, here)))
+    sc.addPyFile(path)
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local folder."""
     sc = spark.sparkContext
