@@ -4,8 +4,9 @@
    group of copies weighs as much as one text.  Copies are folded inside each task before any shuffle.
 2. Sequences of ``SHINGLE`` words that occur in more than ``COMMON`` of all texts say nothing about
    duplication; they are counted over all texts in one array of ``SLOTS`` counters, whose size doesn't follow
-   the corpus, and only the bits "common or not" are broadcast.  Texts with hardly anything else keep
-   their common sequences.
+   the corpus, and only the bits "common or not" are broadcast.  Copies count once a task.  Texts of which less than
+   ``WHOLE_BELOW`` is uncommon, as in a large family of near copies, also (below ``UNCOMMON_FROM`` only) go by all
+   their sequences, in tries of their own.
 3. Each class gets a sketch of all its sequences and, in each of ``TREES`` prefix tries, a key of
    ``DEEPEST`` MinHash levels over the others.  The tries are sorted by key; a node of the shortest prefix
    is compared as a whole where it is small, and else is descended into: the matched prefix is as short
@@ -43,6 +44,7 @@ SHINGLE, THRESHOLD = 3, 0.5
 TREES, SHALLOW, DEEPEST, BITS, SMALL, BLOCK = 24, 2, 3, 16, 8, 2048
 SLOTS, COMMON, COMMON_LEAST, COUNT_BLOCK = 1 << 19, 0.01, 20, 1 << 12
 SKETCH_LEAST, SKETCHES_LEAST = 40, 83
+UNCOMMON_FROM, WHOLE_BELOW = 0.25, 0.5
 _RNG = np.random.default_rng(20240229)
 # hash functions x -> (x ^ a) * b on 32 bits
 _TREE_FUNCTIONS = np.stack([_RNG.integers(0, 1 << 32, TREES * DEEPEST, dtype=np.uint32), _RNG.integers(0, 1 << 31, TREES * DEEPEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)], axis=1)
@@ -123,19 +125,37 @@ def _smallest(h: np.ndarray, counts: np.ndarray, functions: np.ndarray) -> np.nd
     return out.astype(np.uint64) * _MIX
 
 
-def keys_of(h: np.ndarray, counts: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """One key a tree and text: the tree's number, then ``DEEPEST`` levels of ``BITS`` bits."""
-    own = ~common[_slots(h)]
-    few = np.add.reduceat(own.astype(np.int64), _before(counts)) * 10 < counts
-    own |= np.repeat(few, counts)
-    level = _smallest(h[own], np.add.reduceat(own.astype(np.int64), _before(counts)), _TREE_FUNCTIONS) >> np.uint64(64 - BITS)
-    level = level.reshape(TREES, DEEPEST, -1)
-    key = np.repeat(np.arange(TREES, dtype=np.uint64)[:, None], len(counts), axis=1)
+def _tree_keys(h: np.ndarray, counts: np.ndarray, first_tree: int) -> np.ndarray:
+    """One row per text, one key per tree: the tree's number, then ``DEEPEST`` levels of ``BITS`` bits."""
+    level = (_smallest(h, counts, _TREE_FUNCTIONS) >> np.uint64(64 - BITS)).reshape(TREES, DEEPEST, -1)
+    key = np.repeat(np.arange(first_tree, first_tree + TREES, dtype=np.uint64)[:, None], len(counts), axis=1)
     for d in range(DEEPEST):
         key = (key << np.uint64(BITS)) | level[:, d]
     return key.T.astype(np.int64)
 
 
+def keys_of(h: np.ndarray, counts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys, text after text, and how many each text has.
+
+    Trees 0 to ``TREES`` - 1 hold texts by their uncommon sequences, the next as many by all sequences.  A text is
+    in the first where its uncommon part is large enough, in the second where that part is small, and in both
+    in between, so that texts on either side of a border meet.
+    """
+    own = ~common[_slots(h)]
+    part = np.add.reduceat(own.astype(np.int64), _before(counts))
+    rare, whole = (part >= UNCOMMON_FROM * counts) & (part > 0), part < WHOLE_BELOW * counts
+    keys, texts = [], []
+    for chosen, mask, tree in ((rare, own, 0), (whole, np.ones(len(h), bool), TREES)):
+        if chosen.any():
+            mine = mask & np.repeat(chosen, counts)
+            k = _tree_keys(h[mine], (part if tree == 0 else counts)[chosen], tree)
+            keys.append(k.reshape(-1))
+            texts.append(np.repeat(np.nonzero(chosen)[0], TREES))
+    text = np.concatenate(texts)
+    order = np.argsort(text, kind="stable")
+    return np.concatenate(keys)[order], np.bincount(text, minlength=len(counts))
+
+
 def sketches_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Two words of 64 one-bit hashes for each text."""
     bits = (_smallest(h, counts, _SKETCH_FUNCTIONS) >> np.uint64(63)).reshape(2, 64, -1)
@@ -170,11 +190,22 @@ def common_sequences(texts: DataFrame) -> bytes:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total, n = Hasher(), np.zeros(SLOTS, np.int64), 0
-        for _, words in _in_parts(batches):
+        seen: set[int] = set()
+        for _, every in _in_parts(batches):
+            n += len(every)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            words = []
+            for w in every:  # copies of a text seen in this task say nothing new
+                c = _classed(w)
+                if c not in seen:
+                    seen.add(c)
+                    words.append(w)
+            if not words:
+                continue
             h, counts = hasher(words)
             once = np.unique(_slots(h).astype(np.int64) + np.repeat(np.arange(len(counts)) * SLOTS, counts)) % SLOTS
             total += np.bincount(once, minlength=SLOTS)
-            n += len(words)
         if n:
             parts = total.reshape(-1, COUNT_BLOCK)
             yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n if i == 0 else 0 for i in range(len(parts))], pa.int64())], names=["block", "counts", "n"])
@@ -206,10 +237,10 @@ def signatures(texts: DataFrame) -> DataFrame:
         common, hasher = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool), Hasher()
         for ids, words in _in_parts(batches):
             h, counts = hasher(words)
-            keys, (one, two) = keys_of(h, counts, common), sketches_of(h, counts)
-            offsets = pa.array(np.arange(0, keys.size + 1, TREES, dtype=np.int32))
+            (keys, sizes), (one, two) = keys_of(h, counts, common), sketches_of(h, counts)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array([_classed(w) for w in words], pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
+                [pa.array(ids, pa.int64()), pa.array([_classed(w) for w in words], pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys))],
                 names=["id", "class", "sketch", "more", "keys"],
             )
 

@@ -74,7 +74,7 @@ ADDRESS = {
     "en": re.compile(rf"\b\d{{1,5}}[A-Za-z]?,? (?:[NSEW]\.? )?{CAP}(?: {CAP}){{0,3}} {STREET_EN}\b\.?(?:,? (?:Apt|Unit|Suite|Ste|Flat|Floor|#)\.? ?\w+)?(?:,? {CAP}(?: {CAP}){{0,2}},?(?: [A-Z]{{2}})? \d{{5}}(?:-\d{{4}})?|,? {CAP}(?=[.,\"\n]|$))?"),
     "de": re.compile(rf"\b(?:{CAP}{STREET_DE}|{CAP}(?:[ -]{CAP})*[ -](?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring|Damm|Ufer)|(?:Am|An der|Im|Auf dem|Zum|Zur|Unter den) {CAP}) \d{{1,4}} ?[a-z]?\b(?:,? \d{{5}} {CAP}(?:[ -]{CAP})*)?"),
     "fr": re.compile(rf"\b\d{{1,4}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?i:{STREET_FR})(?: (?:de|du|des|d[’']|la|le|les|aux?|l[’']|à|en|sur|sous|et|{CAP})[’']?)*(?: ?{CAP})+(?:,? \d{{5}} {CAP}(?:[ -]{CAP})*)?"),
-    "es": re.compile(rf"(?<!\w)(?i:{STREET_ES})(?: (?:de|del|la|las|el|los|y|{CAP}))*,? (?:n\.? ?[º°o]\.? ?|núm\. ?|número )?\d{{1,4}}\b(?:,? \d{{1,2}}\.?[º°ª]? ?\w{{1,4}}\.?)?(?:,? \d{{5}} {CAP}(?:[ -]{CAP})*)?"),
+    "es": re.compile(rf"(?<!\w)(?i:{STREET_ES})(?: (?:de|del|la|las|el|los|y|{CAP}))*,? (?:n\.? ?[º°o]\.? ?|núm\. ?|número )?\d{{1,4}}\b(?:,? \d{{1,2}}(?:\.?[º°ª] ?\w{{0,4}}\.?| ?[A-Z]\b))?(?:,? \d{{5}} {CAP}(?:[ -]{CAP})*)?"),
 }
 #: What a text must hold for a German or Spanish address (fixed values).
 MUST = {
