@@ -27,6 +27,7 @@ pairs; empty tables give no rows; repeated rows are members of one class; other
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -59,8 +60,13 @@ def recall(similarity: float, depth: int = DEEPEST, trees: int = TREES) -> float
     return 1 - (1 - similarity**depth) ** trees
 
 
+#: ASCII letters in lower case and digits as they are, all else a blank.
+_ASCII = {i: (chr(i).lower() if chr(i).isalnum() else " ") for i in range(128)}
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Maximal runs of letters and digits, in lower case."""
+    return text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
 
 
 def sequences(words: list[str]) -> set[tuple[str, ...]]:
@@ -93,7 +99,7 @@ class Hasher:
                     if w not in seen:
                         seen[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
             flat = [seen[w] for ws in texts for w in ws]
-        a = np.array(flat, np.uint64)
+        a = np.frombuffer(array("Q", flat), np.uint64)
         n = len(a) - SHINGLE + 1
         s = a[:n] * _STEPS[0]
         for i in range(1, SHINGLE):
@@ -166,13 +172,24 @@ def _classed(words: list[str]) -> int:
     return int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _in_parts(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[list[int], list[list[str]]]]:
-    """Ids and words of the texts with sequences, about ``most`` words at a time."""
+def _in_parts(batches: Iterator[pa.RecordBatch], once: bool = False, most: int = 60_000) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Ids and words of the texts with sequences, about ``most`` words at a time.
+
+    ``once``: equal texts come once a task (as far as a bounded memory of them reaches).
+    """
     ids: list[int] = []
     texts: list[list[str]] = []
     size = 0
+    seen: set[int] = set()
     for b in batches:
         for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if once:
+                k = hash(t)
+                if k in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(k)
             w = words_of(t)
             if len(w) >= SHINGLE:
                 ids.append(rid)
@@ -190,19 +207,8 @@ def common_sequences(texts: DataFrame) -> bytes:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total, n = Hasher(), np.zeros(SLOTS, np.int64), 0
-        seen: set[int] = set()
-        for _, every in _in_parts(batches):
-            n += len(every)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            words = []
-            for w in every:  # copies of a text seen in this task say nothing new
-                c = _classed(w)
-                if c not in seen:
-                    seen.add(c)
-                    words.append(w)
-            if not words:
-                continue
+        for _, words in _in_parts(batches, once=True):
+            n += len(words)
             h, counts = hasher(words)
             once = np.unique(_slots(h).astype(np.int64) + np.repeat(np.arange(len(counts)) * SLOTS, counts)) % SLOTS
             total += np.bincount(once, minlength=SLOTS)
@@ -314,6 +320,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
+        if batch.num_rows > 2:  # members of a node stand side by side: whoever stands alone has no pairs
+            node = batch.column(0).to_numpy() >> shift
+            near = node[1:] == node[:-1]
+            batch = batch.filter(pa.array(np.concatenate(([True], near[:-1] | near[1:], [True]))))
         for key, c, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if key >> shift != shallow_key:
                 end_deep()
@@ -393,25 +403,20 @@ def links(texts: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> Dat
     both = one.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 
     def make() -> Callable[..., Iterable[tuple]]:
-        hasher = Hasher()
-        kept: dict[int, np.ndarray] = {}  # rows come sorted by b, so its hashes serve again
+        kept: dict[int, set] = {}  # rows come sorted by b, so its sequences serve again
 
-        def hashes(rid: int, text: str) -> np.ndarray:
-            h = kept.get(rid)
-            if h is None:
-                if len(kept) >= 256:
+        def of(rid: int, text: str) -> set:
+            got = kept.get(rid)
+            if got is None:
+                if len(kept) >= 64:
                     kept.clear()
-                h = kept[rid] = np.unique(hasher([words_of(text)])[0])
-            return h
+                got = kept[rid] = sequences(words_of(text))
+            return got
 
         def each(a: int, b: int, x: str, y: str) -> Iterable[tuple]:
-            p, q = hashes(a, x), hashes(b, y)
-            both = np.concatenate((p, q))
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if shared < (threshold - 0.01) * (len(both) - shared):
-                return ()
-            s = similarity(x, y)
+            p, q = of(a, x), of(b, y)
+            shared = len(p & q)
+            s = shared / (len(p) + len(q) - shared)
             return [(a, b, s)] if s >= threshold else ()
 
         return each
