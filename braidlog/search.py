@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from braidlog.functions.text import first_chars, one_line
 from braidlog.functions.timefn import local_day, midnight_millis, strict_day
-from braidlog.operators import fulltext, fusion, reading, vectors
+from braidlog.operators import fulltext, fusion, reading
+from braidlog.operators import vectors as vec
 
 MOST, DEEP, CONCEPTS = 50, 300, 5
 
@@ -52,7 +53,7 @@ class Engine:
     exchanges: DataFrame
     vectors: DataFrame | None = None
     embed_query: Callable[[str], Sequence[float]] | None = None
-    floor: float = vectors.FLOOR
+    floor: float = vec.FLOOR
     zone: str = "UTC"
 
     def _filter(self, project: str | None, after: str | date | None, before: str | date | None) -> Column:
@@ -79,7 +80,7 @@ class Engine:
         keyword = fulltext.top(fulltext.bm25(counts.where(keep), fulltext.plan(counts, tokens)), n).select("id", "score", "rank")
         near = None
         if use_vectors:
-            near = vectors.nearest(self.vectors.where(keep).select("id", "embedding"), self.embed_query(query), n)
+            near = vec.nearest(self.vectors.where(keep).select("id", "embedding"), self.embed_query(query), n)
             near = fusion.floored(near, keyword, self.floor)
         facts = self.exchanges.select("id", "session_id", "archive_path", "is_sidechain")
         if exclude is not None:
