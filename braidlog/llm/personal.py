@@ -173,6 +173,7 @@ def _number_features(text: str, a: int, b: int) -> tuple:
         valid,
         int(text[a - 1 : a] in ("", "\n", " ", '"', "=", ":", "(", "|", "<")) + int(text[b : b + 1] in ("", "\n", " ", '"', ",", ".", ";", ")", "|", "?", "!")),
         int(not line.strip() and after[:1] in ("", "\n")),
+        int(bool(re.search(r"\|\s*$", before))) + int(bool(re.search(r"[@\]][^|\n]*\|\s*$", before))),
     )
 
 
@@ -215,7 +216,7 @@ def _person_features(text: str, a: int, b: int) -> tuple:
     given = [bool(GIVEN & {w, *w.split("-")}) for w in low]
     before, after = text[max(0, a - 30) : a], text[b : b + 24]
     caps = [len(w) > 1 and w.isupper() for w in words]
-    start = not before.strip() or bool(re.search(r"[.!?…:]\s+$|\n\s*$", before))
+    start = not before.strip() or bool(re.search(r"[.!?…:]\s+$|\n\s*$|[\"“„«(]\s*$", before))
     return (
         int(given[0]) + 2 * int(given[-1]),
         min(4, len(words)),

@@ -140,13 +140,13 @@ FRAMES: dict[str, dict[str, list[str]]] = {
     },
     "email": {"en": ["Write to {} today.", "Co-owner <{}>", "login failed for {} at startup.", "user_email={} x=1", "Is {} still in the list?", "The alert went to {} again.", "| a | {} |", "{}"]},
     "phone": {
-        "en": ["Call me on {} if it stops.", "My mobile, {}, is in the file.", "phone: {}", "fax {}", "Text {} before noon.", "whatsapp {} works too.", "The on-call number is {}.", "user_phone={}", '"tel": "{}"', "-- \nA B\n{}", "{}", "| x | {} |", "We left {} on the board."],
+        "en": ["Call me on {} if it stops.", "My mobile, {}, is in the file.", "phone: {}", "fax {}", "Text {} before noon.", "whatsapp {} works too.", "The on-call number is {}.", "user_phone={}", '"tel": "{}"', "-- \nA B\n{}", "{}", "| x | {} |", "| x | b@c.de | {} |", "We left {} on the board."],
         "de": ["Ruf mich unter {} an.", "Tel.: {}", "Die Bereitschaft hat die Nummer {}.", "Mobil {}", "{}"],
         "fr": ["Appelle-moi au {} si ça bloque.", "tél. {}", "Le numéro d’astreinte est le {}.", "{}"],
         "es": ["Llámame al {} si se para.", "tfno. {}", "El teléfono de guardia es {}.", "{}"],
     },
     "id": {
-        "en": ["SSN: {}", "ssn={}", "identity no. {} was there.", "Row 7 leaks the tax id {} of a tester.", "My social security number {} is in it.", "Somebody typed {} into the SSN field.", "| a | b@c.de | {} |", "passport {} expired", "The national insurance number is {}."],
+        "en": ["SSN: {}", "ssn={}", "identity no. {} was there.", "Row 7 leaks the tax id {} of a tester.", "My social security number {} is in it.", "Somebody typed {} into the SSN field.", "| Jane Roe | b@c.de | {} |", "| a | b [at] c [dot] de | {} |", "passport {} expired", "The national insurance number is {}."],
         "de": ["Personalausweis Nr. {}", "Steuer-ID {} fehlt.", "meine Ausweisnummer {}", "Sozialversicherungsnummer: {}", "Identifikationsnummer {}"],
         "fr": ["NIR : {}", "mon numéro de sécurité sociale, {}", "carte d’identité {}", "numéro fiscal {}"],
         "es": ["mi DNI {}", "Documento de identidad: {}", "NIE {} caducado", "número de la seguridad social {}"],
