@@ -98,9 +98,14 @@ def top(scored: DataFrame, n: int, score: str = "score", key: str = "id") -> Dat
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc(key))))  # n rows
 
 
-def postings(texts: DataFrame, analyzer=tokens, key: str = "id", text: str = "text") -> DataFrame:
-    """(term, id, tf) of all texts; equal terms of a text meet in its own row before the shuffle."""
+def postings(texts: DataFrame, analyzer=tokens, key: str = "id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf) of all texts, or only of the terms in ``terms``; repeats in a text are added up before the shuffle.
+
+    With ``terms`` nothing else of a text is shuffled, which is the way for a batch of queries without an index.
+    """
     words = texts.select(F.col(key).alias("id"), F.explode(analyzer(F.col(text))).alias("term"))
+    if terms is not None:
+        words = words.join(terms.select("term").distinct(), "term", "left_semi")
     return words.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 

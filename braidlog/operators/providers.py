@@ -81,35 +81,44 @@ def _strings(*values: Column) -> Column:
 
 
 def facts_a(lines: DataFrame) -> DataFrame:
-    """Line facts of provider A from parsed lines."""
-    v = F.col("v")
-    content = "$.message.content"
-    user, assistant = _is(v, "$.type", "user"), _is(v, "$.type", "assistant")
-    bs = blocks(v, content)
-    said = F.coalesce(text_at(v, content), block_texts(bs, "text", "\n"))
-    typed = ~F.coalesce(flag_at(v, "$.isMeta"), F.lit(False)) & ~F.coalesce(flag_at(v, "$.isCompactSummary"), F.lit(False)) & F.coalesce(text_at(v, "$.origin.kind") == "human", F.lit(True))
-    start = F.when(user & typed & ~starts_with_any(left_trimmed(said), NOT_TYPED_A), said)
-    back = lambda b: F.when(text_at(b, "$.name") == HANDBACK, text_at(b, "$.input.message"))
-    parts = F.filter(F.transform(bs, lambda b: F.when(text_at(b, "$.type") == "text", text_at(b, "$.text")).when(text_at(b, "$.type") == "tool_use", back(b))), lambda t: t.isNotNull())
-    tools = F.filter(F.transform(bs, lambda b: F.when(text_at(b, "$.type") == "tool_use", text_at(b, "$.name"))), lambda t: t.isNotNull())
+    """Line facts of provider A from parsed lines.
+
+    Each block is read once into a struct, in a projection of its own; what follows works on plain strings.
+    """
+    v, content = F.col("v"), "$.message.content"
+    kind, whole, bs = F.col("kind"), F.col("whole"), F.col("bs")
+
+    def read(b: Column) -> Column:
+        return F.struct(text_at(b, "$.type").alias("t"), text_at(b, "$.text").alias("x"), text_at(b, "$.name").alias("n"))
+
+    first = lines.select("archive_path", "line", "v", text_at(v, "$.type").alias("kind"), text_at(v, content).alias("whole"), F.transform(blocks(v, content), read).alias("bs"))
     none = F.array().cast("array<string>")
+    user, assistant = F.coalesce(kind == "user", F.lit(False)), F.coalesce(kind == "assistant", F.lit(False))
+    some = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+    texts = some(F.transform(bs, lambda b: F.when(b["t"] == "text", b["x"])))
+    said = F.coalesce(whole, F.when(F.size(texts) > 0, F.array_join(texts, "\n")))
+    typed = ~F.coalesce(flag_at(v, "$.isMeta"), F.lit(False)) & ~F.coalesce(flag_at(v, "$.isCompactSummary"), F.lit(False)) & F.coalesce(text_at(v, "$.origin.kind") == "human", F.lit(True))
+    start = F.when(user, F.when(typed, said))
+    start = F.when(~starts_with_any(left_trimmed(start), NOT_TYPED_A), start)
+    back = lambda i: text_at(F.get(blocks(v, content), i), "$.input.message")
+    parts = some(F.transform(bs, lambda b, i: F.when(b["t"] == "text", b["x"]).when((b["t"] == "tool_use") & (b["n"] == HANDBACK), back(i))))
+    tools = some(F.transform(bs, lambda b: F.when(b["t"] == "tool_use", b["n"])))
 
     def result(b: Column) -> Column:
-        inner = F.filter(F.transform(blocks(b, "$.content"), lambda x: text_at(x, "$.text")), lambda t: t.isNotNull())
+        inner = some(F.transform(blocks(b, "$.content"), lambda x: text_at(x, "$.text")))
         array = F.schema_of_variant(F.try_variant_get(b, "$.content", "variant")).startswith("ARRAY")
         return F.when(F.coalesce(array, F.lit(False)), F.array_join(inner, "\n")).otherwise(display(b, "$.content"))
 
     def items(role: str) -> Column:
         each = F.transform(
-            bs,
+            blocks(v, content),
             lambda b: F.when((text_at(b, "$.type") == "text") & (text_at(b, "$.text") != ""), item_text(role, text_at(b, "$.text")))
             .when(text_at(b, "$.type") == "tool_use", item_tool(text_at(b, "$.name"), F.coalesce(F.to_json(F.try_variant_get(b, "$.input", "variant")), F.lit("null"))))
             .when(text_at(b, "$.type") == "tool_result", item_result(result(b))),
         )
-        return F.when(text_at(v, content) != "", F.array(item_text(role, text_at(v, content)))).otherwise(F.filter(each, lambda t: t.isNotNull()))
+        return F.when(whole != "", F.array(item_text(role, whole))).otherwise(some(each))
 
-    side = F.array_contains(F.split("archive_path", "/"), SUBAGENTS)
-    return lines.select(
+    return first.select(
         "archive_path",
         "line",
         v.isNull().alias("is_bad"),
@@ -122,7 +131,7 @@ def facts_a(lines: DataFrame) -> DataFrame:
         text_at(v, "$.sessionId").alias("line_session"),
         text_at(v, "$.cwd").alias("line_cwd"),
         flag_at(v, "$.isSidechain").alias("line_sidechain"),
-        side.alias("path_sidechain"),
+        F.array_contains(F.split("archive_path", "/"), SUBAGENTS).alias("path_sidechain"),
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from braidlog.operators import catalog, fulltext, fusion, reading, vectors
 from braidlog.operators import exchanges as ex
 from braidlog.operators import providers as pv
 from braidlog.plans import views as v
+from braidlog.session import shared_path
 from braidlog.sources.tables import table
 
 Spark = SparkSession
@@ -89,7 +88,7 @@ def sync_stats(s: Spark, d: str) -> DataFrame:
 
 def streaming_exchanges(s: Spark, d: str) -> DataFrame:
     """Lines replayed through a stream into a table; folding that table must give ``exchange_fold``."""
-    work = tempfile.mkdtemp(prefix="braidlog-stream-") if not s.conf.get("spark.checkpoint.dir", None) else f"{s.conf.get('spark.checkpoint.dir')}/stream-{id(object())}"
+    work = shared_path(s, "stream")
     v.raw_a(s, d).write.mode("overwrite").parquet(f"{work}/in")
     src = s.readStream.schema("archive_path string, line bigint, raw string").option("maxFilesPerTrigger", 4).parquet(f"{work}/in")
     src.writeStream.format("parquet").option("path", f"{work}/lines").option("checkpointLocation", f"{work}/cp").trigger(availableNow=True).start().awaitTermination()
@@ -157,8 +156,9 @@ def prune_common_tokens(s: Spark, d: str) -> DataFrame:
 
 
 def prefix_match(s: Spark, d: str) -> DataFrame:
-    index = fulltext.postings(table(s, d, "documents"), key="doc_id")
-    return index.where(F.col("term").startswith("che")).groupBy("id").agg(F.sum("tf").alias("tf"), F.count("*").alias("terms"))
+    words = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.filter(tx.tokens(F.col("text")), lambda w: w.startswith("che"))).alias("term"))
+    index = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return index.groupBy("id").agg(F.sum("tf").alias("tf"), F.count("*").alias("terms"))
 
 
 def _counts(s: Spark, d: str, query: str = QUERY) -> tuple[DataFrame, list]:
@@ -196,7 +196,7 @@ def search_many(s: Spark, d: str) -> DataFrame:
     items = table(s, d, "eval_items").where("item_id % 8 = 0")
     terms = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     t = table(s, d, "documents")
-    best = fulltext.batched_bm25(fulltext.postings(t, key="doc_id"), fulltext.lengths(t, key="doc_id"), terms, 5)
+    best = fulltext.batched_bm25(fulltext.postings(t, key="doc_id", terms=terms), fulltext.lengths(t, key="doc_id"), terms, 5)
     return best.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -426,7 +426,45 @@ def _concept(i: int, q: str) -> str:
     return f"SELECT {i} concept, d.archive_path, d.id, {_PEN} raw FROM (SELECT id, 0.4::DOUBLE / (rank + 60) + {_BONUS} raw FROM (WITH {v.DOCS}, {inner} SELECT * FROM bm)) x JOIN (SELECT doc_id id, source archive_path, coalesce(doc_id % 5 = 0, false) is_sidechain FROM documents) d USING (id)"
 
 
+# provider B: lines, signals, facts and fold in SQL
+_PREFIX_B = " OR ".join(f"starts_with(regexp_replace(typed, '^\\s+', ''), '{p}')" for p in pv.NOT_TYPED_B)
+
+
+def _texts(place: str, kind: str, glue: str) -> str:
+    """SQL for the joined texts of the blocks of a kind."""
+    blocks = f"CASE WHEN json_type(p, '{place}') = 'ARRAY' THEN (p -> '{place}')::JSON[] ELSE [] END"
+    kept = f"list_filter({blocks}, lambda b: json_extract_string(b, '$.type') = '{kind}' AND json_type(b, '$.text') = 'VARCHAR')"
+    return f"CASE WHEN len({kept}) > 0 THEN array_to_string(list_transform({kept}, lambda b: json_extract_string(b, '$.text')), {glue}) END"
+
+
+_NL, _NL2 = "chr(10)", "chr(10) || chr(10)"
+_FOLD_B = f"""
+lb AS (SELECT archive_path, line, type, CASE WHEN json_valid(payload) THEN payload::JSON END p FROM (
+  SELECT * FROM (SELECT archive_path, line, row_id, type, payload FROM modern) QUALIFY row_number() OVER (PARTITION BY archive_path, line ORDER BY row_id) = 1
+  UNION ALL SELECT * FROM (SELECT archive_path, line, row_id, type, payload FROM legacy) QUALIFY row_number() OVER (PARTITION BY archive_path, line ORDER BY row_id) = 1)),
+kb AS (SELECT *, json_extract_string(p, '$.type') k, CASE WHEN type = 'event_msg' AND json_extract_string(p, '$.type') = 'item_completed' AND json_extract_string(p, '$.item.type') = 'UserMessage' THEN 2
+  WHEN type = 'event_msg' AND json_extract_string(p, '$.type') = 'user_message' THEN 1 ELSE 0 END sig FROM lb),
+mb AS (SELECT archive_path, max(sig)::BIGINT signal, arg_min(CASE WHEN json_type(p, '$.id') = 'VARCHAR' THEN json_extract_string(p, '$.id') ELSE '' END, line) FILTER (type = 'session_meta' AND p IS NOT NULL) session_id FROM kb GROUP BY 1),
+xb AS (SELECT kb.*, signal, {_texts('$.content', 'input_text', _NL)} typed, {_texts('$.content', 'output_text', _NL2)} said, {_texts('$.item.content', 'text', _NL)} done FROM kb JOIN mb USING (archive_path)),
+fb AS (SELECT archive_path, line, CASE signal WHEN 2 THEN CASE WHEN sig = 2 THEN done END WHEN 1 THEN CASE WHEN sig = 1 AND json_type(p, '$.message') = 'VARCHAR' THEN json_extract_string(p, '$.message') END
+    ELSE CASE WHEN type = 'response_item' AND k = 'message' AND json_extract_string(p, '$.role') = 'user' AND NOT coalesce({_PREFIX_B}, false) THEN typed END END start_text,
+  CASE WHEN type = 'response_item' AND k = 'message' AND json_extract_string(p, '$.role') = 'assistant' THEN said END answer,
+  CASE WHEN type = 'event_msg' AND k = 'agent_message' AND json_type(p, '$.message') = 'VARCHAR' AND json_extract_string(p, '$.message') <> '' THEN json_extract_string(p, '$.message') END spare,
+  CASE WHEN type = 'response_item' AND k IN ('function_call', 'custom_tool_call') AND json_type(p, '$.name') = 'VARCHAR' THEN json_extract_string(p, '$.name') WHEN type = 'response_item' AND k = 'local_shell_call' THEN 'local_shell' END tool FROM xb),
+sb AS (SELECT *, sum(CASE WHEN start_text IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY archive_path ORDER BY line ROWS UNBOUNDED PRECEDING) segment FROM fb),
+gb AS (SELECT archive_path, segment, min(line) line_start, max(line) line_end, max(start_text) user_message, {v.sql_joined('list(answer ORDER BY line) FILTER (answer IS NOT NULL)')} a, {v.sql_joined('list(spare ORDER BY line) FILTER (spare IS NOT NULL)')} f, list(tool ORDER BY line) FILTER (tool IS NOT NULL) t FROM sb WHERE segment > 0 GROUP BY 1, 2),
+eb AS (SELECT archive_path, line_start, line_end, user_message, CASE WHEN a <> '' THEN a ELSE f END assistant_message, coalesce(array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ','), '') tools FROM gb)"""
+
+_WIN = "PARTITION BY archive_path ORDER BY line"
+
 ORACLE = {
+    "exchange_fold_b": f"WITH {_FOLD_B} SELECT * FROM eb WHERE assistant_message <> '' OR tools <> ''",
+    "signal_max_rank": f"WITH {_FOLD_B} SELECT archive_path, signal, nullif(session_id, '') session_id FROM mb",
+    "hangul_bigrams": f"SELECT doc_id id, md5({v.sql_hangul('text')}) digest FROM documents WHERE regexp_matches(text, '[가-힣]')",
+    "read_page_budget": f"""WITH {_ITEMS}, b AS (SELECT archive_path, line, {_BLOCK} x FROM cutu WHERE {_BLOCK} <> ''),
+r AS (SELECT *, sum(strlen(x)) OVER ({_WIN} ROWS UNBOUNDED PRECEDING) total, row_number() OVER ({_WIN}) nth, lead(line) OVER ({_WIN}) nxt FROM b),
+s AS (SELECT *, CASE WHEN total <= 3000 THEN x ELSE substr(x, 1, list_max(list_filter(range(700, 2985), lambda k: strlen(substr(x, 1, k::INT)) <= 2984))::INT) || '…[truncated]' END y FROM r WHERE total <= 3000 OR nth = 1)
+SELECT archive_path, line, md5(y) digest, nullif(arg_max(CASE WHEN nxt IS NULL THEN -1 ELSE nxt END, line) OVER (PARTITION BY archive_path), -1) next_line FROM s""",
     "exchange_fold": f"WITH {v.FOLD_A} SELECT archive_path, line_start, line_end, user_message, assistant_message, tools FROM ea WHERE assistant_message <> '' OR tools <> ''",
     "streaming_exchanges": f"WITH {v.FOLD_A} SELECT archive_path, line_start, line_end, user_message, assistant_message, tools FROM ea WHERE assistant_message <> '' OR tools <> ''",
     "exchange_drop_unanswered": f"WITH {v.FOLD_A} SELECT archive_path, line_start, line_end, user_message FROM ea WHERE assistant_message = '' AND tools = ''",

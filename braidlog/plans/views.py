@@ -62,11 +62,16 @@ VECS = "vecs AS (SELECT vec_id id, embedding::DOUBLE[] e, 'label_' || label proj
 HANGUL = "[가-힣]"
 
 
-def sql_terms(text: str) -> str:
-    """SQL for the tokens of a text, Hangul runs as pairs."""
+def sql_hangul(text: str) -> str:
+    """SQL for a text with its Hangul runs as pairs."""
     parts = f"regexp_extract_all({text}, '({HANGUL}{{2,}}|{HANGUL}|[^가-힣]+)')"
     pairs = f"list_transform({parts}, lambda p: CASE WHEN regexp_full_match(p, '{HANGUL}{{2,}}') THEN ' ' || array_to_string(list_transform(range(1, length(p)), lambda i: substr(p, i::INT, 2)), ' ') || ' ' ELSE p END)"
-    whole = f"CASE WHEN regexp_matches({text}, '{HANGUL}{{2}}') THEN array_to_string({pairs}, '') ELSE {text} END"
+    return f"array_to_string({pairs}, '')"
+
+
+def sql_terms(text: str) -> str:
+    """SQL for the tokens of a text, Hangul runs as pairs."""
+    whole = f"CASE WHEN regexp_matches({text}, '{HANGUL}{{2}}') THEN {sql_hangul(text)} ELSE {text} END"
     return f"list_filter(string_split_regex(lower({whole}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
@@ -94,6 +99,11 @@ d2 AS (SELECT v.id, round(power(list_distance(v.e, x.e), 2), 7) d FROM vecs v, (
 kn AS (SELECT id, round(1 - d / 2, 8) cos, row_number() OVER (ORDER BY d, id) rank FROM (SELECT * FROM d2 ORDER BY d, id LIMIT {n}))"""
 
 
+def sql_joined(parts: str) -> str:
+    """SQL for parts joined by a blank line, which is put only behind something."""
+    return f"list_reduce(list_prepend('', coalesce({parts}, [])), lambda a, x: CASE WHEN a = '' THEN x ELSE a || chr(10) || chr(10) || x END)"
+
+
 PREFIXES_A = ["[Request interrupted by user", "<local-command-", "<bash-stdout>", "<bash-stderr>", "<teammate-message", "Another Claude session sent a message:"]
 STARTS = " OR ".join(f"starts_with(regexp_replace(said, '^\\s+', ''), '{p}')" for p in PREFIXES_A)
 #: CTEs la (lines), fa (facts), sa (segments), ea (exchanges) of provider A over the table of its lines.
@@ -120,6 +130,6 @@ ga AS (
     flatten(list(answers ORDER BY line)) answers, flatten(list(tools ORDER BY line)) all_tools
   FROM sa WHERE segment > 0 GROUP BY ALL),
 ea AS (
-  SELECT archive_path, segment, line_start, line_end, user_message, bad_lines, stamp, array_to_string(answers, chr(10) || chr(10)) assistant_message,
+  SELECT archive_path, segment, line_start, line_end, user_message, bad_lines, stamp, {sql_joined('answers')} assistant_message,
     array_to_string(list_filter(all_tools, lambda x, i: list_position(all_tools, x) = i), ',') tools FROM ga)
 """

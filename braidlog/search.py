@@ -145,7 +145,7 @@ class Engine:
     def search_many(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """Keyword search for many queries (query_id, query) in one job: query_id, id, score, rank."""
         terms = queries.select("query_id", F.explode(F.array_distinct(fulltext.tokens(F.col("query")))).alias("term")).distinct()
-        return fulltext.batched_bm25(fulltext.postings(self._texts()), fulltext.lengths(self._texts()), terms, checked_limit(limit))
+        return fulltext.batched_bm25(fulltext.postings(self._texts(), terms=terms), fulltext.lengths(self._texts()), terms, checked_limit(limit))
 
     @staticmethod
     def read(items: DataFrame, path: str, start: int | None = None, end: int | None = None, skipped: DataFrame | None = None) -> DataFrame:

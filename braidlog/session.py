@@ -65,15 +65,21 @@ def _shared_folder(spark: SparkSession) -> str:
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{_shared_folder(spark)}/braidlog-{name}-{uuid.uuid4().hex}"
+    _TABLES.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table into the shared folder and read it back, without its lineage.
 
     The files outlive any executor.  They are removed by ``drop_cut`` or when the application ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/braidlog-{uuid.uuid4().hex}"
+    path = shared_path(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "source_path string, generation bigint, chunk bigint, line bigint, byte_start bigint, raw string"
@@ -81,6 +82,25 @@ class Chunk(InputPartition):
     stop: int
 
 
+ARROW = pa.schema([("source_path", pa.string()), ("generation", pa.int64()), ("chunk", pa.int64()), ("line", pa.int64()), ("byte_start", pa.int64()), ("raw", pa.string())])
+
+
+def batches_of(c: Chunk, at_once: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The rows of one chunk in Arrow batches of bounded size."""
+    if not c.path:
+        return
+    rows: list[tuple] = []
+    size = 0
+    for r in rows_of(c):
+        rows.append(r)
+        size += len(r[5] or "")
+        if len(rows) >= at_once or size >= 8_000_000:
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+            rows, size = [], 0
+    if rows:
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
 def rows_of(c: Chunk) -> Iterator[tuple]:
     """Rows of one chunk; bytes that are no UTF-8 make a bad line, whose text can't be JSON."""
     n, at = 0, c.start
@@ -108,8 +128,8 @@ class Batch(DataSourceReader):
     def partitions(self) -> list[Chunk]:
         return [Chunk(self.root, p, 0, 0, whole_lines(os.path.join(self.root, p), n)) for p, n in walk(self.root)] or [Chunk(self.root, "", 0, 0, 0)]
 
-    def read(self, partition: Chunk) -> Iterator[tuple]:
-        return rows_of(partition) if partition.path else iter(())
+    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+        return batches_of(partition)
 
 
 class Stream(DataSourceStreamReader):
@@ -145,8 +165,8 @@ class Stream(DataSourceStreamReader):
                 out.append(Chunk(self.root, path, gen, first, stop))
         return out
 
-    def read(self, partition: Chunk) -> Iterator[tuple]:
-        return rows_of(partition)
+    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+        return batches_of(partition)
 
     def commit(self, end: dict) -> None:
         self.known = dict(end)

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from braidlog.functions.text import archive_name
 from braidlog.operators import exchanges as ex
 from braidlog.operators import providers as pv
+from braidlog.operators import vectors
 from braidlog.sources.jsonl import JsonLines
 
 LINES = "archive_path string, source_path string, generation bigint, line bigint, byte_start bigint, raw string, batch bigint"
 TOUCHED = "archive_path string, source_path string, generation bigint, n_lines bigint, session_id string, cwd string, is_sidechain boolean, skipped boolean, bad_lines bigint, batch bigint"
 EXCHANGES = "id bigint, archive_path string, line_start bigint, line_end bigint, session_id string, project string, harness string, is_sidechain boolean, ts bigint, user_message string, assistant_message string, tool_names array<string>, batch bigint"
+VECTORS = "id bigint, embedding array<float>, run bigint"
 COMMITS = "batch bigint, files bigint, new_exchanges bigint, last_id bigint"
 
 
@@ -112,6 +114,25 @@ class Ingest:
         return {"batches": len(new), "files_synced": sum(r["files"] for r in new), "new_exchanges": sum(r["new_exchanges"] for r in new)}
 
 
+    def embed(self, dim: int = 384) -> int:
+        """Vectors for all exchanges that have none; returns how many were made.
+
+        A run writes a folder of its own.  ``vectors`` joins them to the exchanges as they are now, so a vector
+        whose exchange has been replaced meanwhile is never seen.
+        """
+        todo = vectors.pending(self.exchanges(), self._table("vectors", VECTORS))
+        text = ex.embedding_text(F.col("user_message"), F.col("assistant_message"), F.col("tool_names"))
+        runs = [int(n.split("=")[1]) for n in os.listdir(f"{self.root}/vectors") if n.startswith("run=")]
+        made = todo.select("id", vectors.embed(dim)(text).alias("embedding"))
+        path = f"{self.root}/vectors/run={max(runs, default=-1) + 1}"
+        made.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path).count()
+
+    def vectors(self) -> DataFrame:
+        """id, embedding, project, ts, is_sidechain of the exchanges that have a vector."""
+        return vectors.attach(self._table("vectors", VECTORS).select("id", "embedding").dropDuplicates(["id"]), self.exchanges())
+
+
 def one_shot(spark: SparkSession, source: str, kind: str, provider: str, marker: str = pv.OPT_OUT) -> DataFrame:
     """Exchanges of whole files, without any state."""
     spark.dataSource.register(JsonLines)

@@ -93,10 +93,12 @@ def test_growth_rewrite_and_opt_out(spark, tmp_path):
     (src / "f.jsonl").write_text("\n".join([a("user", "one"), a("assistant", [{"type": "text", "text": "x"}])]) + "\n")
     job.sync()
     first = job.exchanges().first()
+    assert job.embed(16) == 1 and job.embed(16) == 0 and [r["id"] for r in job.vectors().collect()] == [first["id"]]
     with open(src / "f.jsonl", "a") as f:
         f.write(a("assistant", [{"type": "text", "text": "y"}], sessionId="late") + "\n" + '{"type": "user", "mess')
     job.sync()
     second = job.exchanges().first()
+    assert job.vectors().isEmpty() and job.embed(16) == 1 and job.vectors().count() == 1
     assert second["id"] > first["id"] and second["assistant_message"] == "x\n\ny" and second["session_id"] == "late"
     (src / "f.jsonl").write_text("\n".join([a("user", "other"), a("assistant", [{"type": "text", "text": "z"}])]) + "\n")
     job.sync()
