@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+MOST_CHARS = 8_000_000
+
 
 def safe(text: str) -> str:
     """``text`` without lone surrogates, which no UTF-8 can hold."""
@@ -22,7 +24,8 @@ def safe(text: str) -> str:
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, at_once: int = 10_000) -> DataFrame:
     """``make()`` runs once a task and gives a function of one row's values, which yields output rows.
 
-    Output leaves in batches of about ``at_once`` rows, so that a task's memory doesn't follow its input.
+    Output leaves in batches of about ``at_once`` rows or ``MOST_CHARS`` characters, so that a task's memory doesn't
+    follow its input.
     """
     struct = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(struct, prefers_large_types=False)
@@ -33,12 +36,17 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         rows: list[tuple] = []
+        size = 0
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += each(*values)
-                if len(rows) >= at_once:
+                for row in each(*values):
+                    rows.append(row)
+                    for x in row:
+                        if type(x) is str:
+                            size += len(x)
+                if len(rows) >= at_once or size >= MOST_CHARS:
                     yield flush(rows)
-                    rows = []
+                    rows, size = [], 0
         if rows:
             yield flush(rows)
 

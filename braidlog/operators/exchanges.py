@@ -1,7 +1,7 @@
 """Exchanges folded from line facts: one user message with the answers and tool calls until the next.
 
-A running count of start lines numbers the segments of a file; each segment is one row after one
-aggregation.  Lines before the first start belong to none; bad lines only move ``line_end``.
+A running count of start lines, in blocks of lines, numbers the segments of a file; each segment is one row after
+one aggregation.  Lines before the first start belong to none; bad lines only move ``line_end``.
 """
 
 from __future__ import annotations
@@ -13,12 +13,27 @@ from braidlog.functions.text import project_of
 from braidlog.operators.providers import OPT_OUT
 
 MOST_BYTES = 262_144
+#: Lines of one file that are counted in one task.
+BLOCK = 65_536
 
 
 def segments(facts: DataFrame) -> DataFrame:
-    """Line facts with the number of their exchange within the file (0: before the first)."""
-    w = Window.partitionBy("archive_path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return facts.withColumn("segment", F.sum(F.when(F.col("start_text").isNotNull(), 1).otherwise(0)).over(w))
+    """Line facts with the number of their exchange within the file (0: before the first).
+
+    Files are counted in blocks of ``BLOCK`` lines, each a task's work at most, and the starts in the blocks before
+    are added.  Only files of more than one block take part in that second count; where there is none, its
+    branch is empty and falls away at run time.
+    """
+    key = ["archive_path", "block"]
+    df = facts.withColumn("block", F.floor(F.col("line") / BLOCK))
+    is_start = F.when(F.col("start_text").isNotNull(), 1).otherwise(0)
+    large = facts.where(F.col("line") >= BLOCK).select("archive_path").distinct()
+    per = df.join(large, "archive_path", "left_semi").groupBy(*key).agg(F.sum(is_start).alias("starts"))
+    earlier = Window.partitionBy("archive_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select(*key, F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("before"))
+    here = Window.partitionBy(*key).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = df.withColumn("here", F.sum(is_start).over(here)).join(before, key, "left")
+    return counted.withColumn("segment", F.col("here") + F.coalesce("before", F.lit(0))).drop("here", "before", "block")
 
 
 def _joined(parts: Column) -> Column:

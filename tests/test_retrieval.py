@@ -210,6 +210,21 @@ def test_fold_details(spark):
     assert ex.folded(facts.where("false")).collect() == []
 
 
+def test_long_files_are_counted_in_blocks(spark, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"f{f}", i, "q" if r.random() < 0.3 else None) for f, n in ((1, 50), (2, 4), (3, 23)) for i in range(1, n) if r.random() < 0.9]
+    facts = spark.createDataFrame(rows, "archive_path string, line bigint, start_text string")
+    want, seen = {}, {}
+    for a, i, s in rows:
+        seen[a] = seen.get(a, 0) + (s is not None)
+        want[a, i] = seen[a]
+    for block in (3, 7, 1000):
+        monkeypatch.setattr(ex, "BLOCK", block)
+        assert {(x["archive_path"], x["line"]): x["segment"] for x in ex.segments(facts).collect()} == want
+
+
 def test_ids_follow_the_order(spark):
     rows = [(f"f{i % 7}", i) for i in range(500)]
     got = ex.numbered(spark.createDataFrame(rows, "archive_path string, line_start bigint"), 10).collect()
