@@ -33,15 +33,16 @@ SOLID = r"(?U)[^\s\p{Z}\p{C}]"
 def instant(text: Column) -> Column:
     """Microseconds since 1970 of a text with an existing date and time and a zone; else null."""
     t = F.trim(text)
-    day = F.substring(t, 1, 10)
-    clock = F.substring(t, 12, 8)
+    part = lambda at, n: F.substring(t, at, n).try_cast("int")
     fraction = F.rpad(F.substring(F.regexp_extract(t, r"[.,](\d+)", 1), 1, 6), 6, "0")
     zone = F.regexp_extract(t, r"([Zz]|[+-]\d{2}:?\d{0,2})$", 1)
     digits = F.regexp_replace(zone, "[^0-9]", "")
     hours, minutes = F.substring(digits, 1, 2).try_cast("int"), F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     shift = F.when(F.upper(zone) == "Z", 0).when((hours <= 23) & (minutes <= 59), sign * (hours * 3600 + minutes * 60))
-    base = F.unix_seconds(F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit("yyyy-MM-dd HH:mm:ss")))
+    # in UTC whatever the session's zone; a minute has 60 seconds
+    moment = F.try_make_timestamp(part(1, 4), part(6, 2), part(9, 2), part(12, 2), part(15, 2), F.substring(t, 18, 2).try_cast("decimal(8,6)"), F.lit("UTC"))
+    base = F.when(part(18, 2) < 60, F.unix_seconds(moment))
     return F.when(t.rlike(INSTANT), (base - shift) * 1_000_000 + F.coalesce(fraction.try_cast("long"), F.lit(0)))
 
 
