@@ -2,18 +2,13 @@
 
 1. Texts with the same sequence of words are one *class* (a hash of the words); only classes go on, so a
    group of copies weighs as much as one text.  Copies are folded inside each task before any shuffle.
-2. Sequences of ``SHINGLE`` words that occur in more than ``COMMON`` of all texts say nothing about
-   duplication; they are counted over all texts in one array of ``SLOTS`` counters, whose size doesn't follow
-   the corpus, and only the bits "common or not" are broadcast.  Copies count once a task.  Texts of which less than
-   ``WHOLE_BELOW`` is uncommon, as in a large family of near copies, also (below ``UNCOMMON_FROM`` only) go by all
-   their sequences, in tries of their own.
-3. Each class gets a sketch of all its sequences and, in each of ``TREES`` prefix tries, a key of
-   ``DEEPEST`` MinHash levels over the others.  The tries are sorted by key; a node of the shortest prefix
+2. Each class gets a sketch of its sequences and, in each of ``TREES`` prefix tries, a key of
+   ``DEEPEST`` MinHash levels over all of them, common ones too: the similarity that the tries search by is the
+   one that defines a pair.  The tries are sorted by key; a node of the shortest prefix
    is compared as a whole where it is small, and else is descended into: the matched prefix is as short
    as the density of its place allows.  ``recall`` gives the recall that the deepest level guarantees at a
    similarity, and everything shorter adds to it.
-4. Pairs whose sketches disagree too much are dropped (by ``SKETCH_LEAST`` of 64 bits in the tries, then by ``SKETCHES_LEAST`` of
-   128, both more than two standard deviations below what the threshold gives), the rest is verified on the whole texts.
+3. Pairs whose sketches disagree too much are dropped (by ``SKETCHES_LEAST``), the rest is verified on the whole texts.
 
 Nodes larger than ``BLOCK`` are cut into blocks and each pair of blocks is a row of its own, so that no
 task holds a large node.  ``links`` gives the verified pairs of classes, ``members`` the class of each row,
@@ -31,6 +26,7 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +38,15 @@ from braidlog.session import cut
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, THRESHOLD = 3, 0.5
-TREES, SHALLOW, DEEPEST, BITS, SMALL, BLOCK = 24, 2, 3, 16, 8, 2048
-SLOTS, COMMON, COMMON_LEAST, COUNT_BLOCK = 1 << 19, 0.01, 20, 1 << 12
-SKETCH_LEAST, SKETCHES_LEAST = 40, 83
-UNCOMMON_FROM, WHOLE_BELOW = 0.25, 0.5
+TREES, SHALLOW, DEEPEST, BITS, SMALL, BLOCK = 40, 2, 3, 16, 8, 2048
+#: A sketch has ``FUNCTIONS`` hash values of ``PLANES`` bits; a plane is one bit of each, in words of 64.
+FUNCTIONS, PLANES, WALK_PLANES = 128, 1, 1
+SKETCHES_LEAST = {64: 40, 128: 83}
+WORDS = FUNCTIONS // 64
 _RNG = np.random.default_rng(20240229)
 # hash functions x -> (x ^ a) * b on 32 bits
 _TREE_FUNCTIONS = np.stack([_RNG.integers(0, 1 << 32, TREES * DEEPEST, dtype=np.uint32), _RNG.integers(0, 1 << 31, TREES * DEEPEST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)], axis=1)
-_SKETCH_FUNCTIONS = np.stack([_RNG.integers(0, 1 << 32, 128, dtype=np.uint32), _RNG.integers(0, 1 << 31, 128, dtype=np.uint32) * np.uint32(2) + np.uint32(1)], axis=1)
+_SKETCH_FUNCTIONS = np.stack([_RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32), _RNG.integers(0, 1 << 31, FUNCTIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)], axis=1)
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -60,6 +57,11 @@ def recall(similarity: float, depth: int = DEEPEST, trees: int = TREES) -> float
     return 1 - (1 - similarity**depth) ** trees
 
 
+def least(planes: int, functions: int = FUNCTIONS) -> int:
+    """Least agreement of two sketches."""
+    return SKETCHES_LEAST[functions]
+
+
 #: ASCII letters in lower case and digits as they are, all else a blank.
 _ASCII = {i: (chr(i).lower() if chr(i).isalnum() else " ") for i in range(128)}
 
@@ -118,10 +120,6 @@ def _before(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts) - counts
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(7)) & np.uint64(SLOTS - 1)
-
-
 def _smallest(h: np.ndarray, counts: np.ndarray, functions: np.ndarray) -> np.ndarray:
     """Least value of each text's hashes under each function: one row per function."""
     x, at = (h >> np.uint64(32)).astype(np.uint32), _before(counts)
@@ -131,40 +129,17 @@ def _smallest(h: np.ndarray, counts: np.ndarray, functions: np.ndarray) -> np.nd
     return out.astype(np.uint64) * _MIX
 
 
-def _tree_keys(h: np.ndarray, counts: np.ndarray, first_tree: int) -> np.ndarray:
-    """One row per text, one key per tree: the tree's number, then ``DEEPEST`` levels of ``BITS`` bits."""
-    level = (_smallest(h, counts, _TREE_FUNCTIONS) >> np.uint64(64 - BITS)).reshape(TREES, DEEPEST, -1)
-    key = np.repeat(np.arange(first_tree, first_tree + TREES, dtype=np.uint64)[:, None], len(counts), axis=1)
-    for d in range(DEEPEST):
-        key = (key << np.uint64(BITS)) | level[:, d]
-    return key.T.astype(np.int64)
-
-
-def keys_of(h: np.ndarray, counts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys, text after text, and how many each text has.
-
-    Trees 0 to ``TREES`` - 1 hold texts by their uncommon sequences, the next as many by all sequences.  A text is
-    in the first where its uncommon part is large enough, in the second where that part is small, and in both
-    in between, so that texts on either side of a border meet.
-    """
-    own = ~common[_slots(h)]
-    part = np.add.reduceat(own.astype(np.int64), _before(counts))
-    rare, whole = (part >= UNCOMMON_FROM * counts) & (part > 0), part < WHOLE_BELOW * counts
-    keys, texts = [], []
-    for chosen, mask, tree in ((rare, own, 0), (whole, np.ones(len(h), bool), TREES)):
-        if chosen.any():
-            mine = mask & np.repeat(chosen, counts)
-            k = _tree_keys(h[mine], (part if tree == 0 else counts)[chosen], tree)
-            keys.append(k.reshape(-1))
-            texts.append(np.repeat(np.nonzero(chosen)[0], TREES))
-    text = np.concatenate(texts)
-    order = np.argsort(text, kind="stable")
-    return np.concatenate(keys)[order], np.bincount(text, minlength=len(counts))
+def keys_of(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of ``BITS`` bits, one row per text and one column per tree: the first two in 32 bits, the last in 16."""
+    level = (_smallest(h, counts, _TREE_FUNCTIONS) >> np.uint64(64 - BITS)).astype(np.uint32).reshape(TREES, DEEPEST, -1)
+    upper = (level[:, 0] << np.uint32(BITS)) | level[:, 1]
+    return np.ascontiguousarray(upper.T).view(np.int32), np.ascontiguousarray(level[:, 2].T.astype(np.uint16)).view(np.int16)
 
 
 def sketches_of(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Two words of 64 one-bit hashes for each text."""
-    bits = (_smallest(h, counts, _SKETCH_FUNCTIONS) >> np.uint64(63)).reshape(2, 64, -1)
+    """``PLANES`` times ``WORDS`` words of 64 one-bit hashes for each text, plane after plane."""
+    values = _smallest(h, counts, _SKETCH_FUNCTIONS)
+    bits = np.stack([(values >> np.uint64(63 - i)) & np.uint64(1) for i in range(PLANES)]).reshape(PLANES * WORDS, 64, -1)
     return (bits * _POWERS[None, :, None]).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
@@ -172,24 +147,13 @@ def _classed(words: list[str]) -> int:
     return int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _in_parts(batches: Iterator[pa.RecordBatch], once: bool = False, most: int = 60_000) -> Iterator[tuple[list[int], list[list[str]]]]:
-    """Ids and words of the texts with sequences, about ``most`` words at a time.
-
-    ``once``: equal texts come once a task (as far as a bounded memory of them reaches).
-    """
+def _in_parts(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Ids and words of the texts with sequences, about ``most`` words at a time."""
     ids: list[int] = []
     texts: list[list[str]] = []
     size = 0
-    seen: set[int] = set()
     for b in batches:
         for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if once:
-                k = hash(t)
-                if k in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(k)
             w = words_of(t)
             if len(w) >= SHINGLE:
                 ids.append(rid)
@@ -202,90 +166,74 @@ def _in_parts(batches: Iterator[pa.RecordBatch], once: bool = False, most: int =
         yield ids, texts
 
 
-def common_sequences(texts: DataFrame) -> bytes:
-    """For each counter, whether more than ``COMMON`` of all texts fall into it (packed bits)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total, n = Hasher(), np.zeros(SLOTS, np.int64), 0
-        for _, words in _in_parts(batches, once=True):
-            n += len(words)
-            h, counts = hasher(words)
-            once = np.unique(_slots(h).astype(np.int64) + np.repeat(np.arange(len(counts)) * SLOTS, counts)) % SLOTS
-            total += np.bincount(once, minlength=SLOTS)
-        if n:
-            parts = total.reshape(-1, COUNT_BLOCK)
-            yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n if i == 0 else 0 for i in range(len(parts))], pa.int64())], names=["block", "counts", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        n = 0
-        for b in batches:
-            for k, c, m in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int64)
-                n += m
-        if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary()), pa.array([n] + [0] * (len(sums) - 1), pa.int64())], names=["block", "counts", "n"])
-
-    schema = "block int, counts binary, n bigint"
-    parts = texts.select("id", "text").mapInArrow(count, schema).repartition(8, "block").mapInArrow(add, schema).collect()  # SLOTS counters, whatever the corpus
-    total, n = np.zeros(SLOTS, np.int64), 0
-    for k, c, m in parts:
-        total[k * COUNT_BLOCK : (k + 1) * COUNT_BLOCK] += np.frombuffer(c, np.int64)
-        n += m
-    return np.packbits(total > max(COMMON_LEAST, COMMON * n)).tobytes()
-
-
 def signatures(texts: DataFrame) -> DataFrame:
-    """id, class, two sketches and tree keys of every text that has sequences."""
-    sent = texts.sparkSession.sparkContext.broadcast(common_sequences(texts))
+    """id, class, sketch and tree keys of every text that has sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, hasher = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool), Hasher()
+        hasher = Hasher()
         for ids, words in _in_parts(batches):
             h, counts = hasher(words)
-            (keys, sizes), (one, two) = keys_of(h, counts, common), sketches_of(h, counts)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array([_classed(w) for w in words], pa.int64()), pa.array(one), pa.array(two), pa.ListArray.from_arrays(offsets, pa.array(keys))],
-                names=["id", "class", "sketch", "more", "keys"],
-            )
+            values = (np.ascontiguousarray(sketches_of(h, counts).T), *keys_of(h, counts))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1))) for x in values]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([_classed(w) for w in words], pa.int64()), *lists], names=["id", "class", "sketch", "upper", "lower"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, class bigint, sketch bigint, more bigint, keys array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, class bigint, sketch array<bigint>, upper array<int>, lower array<smallint>")
 
 
-def _agree(x: int, y: int) -> bool:
-    return 64 - ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() >= SKETCH_LEAST
+def _layout(words: int) -> tuple[int, int]:
+    """Words a plane and least agreement of sketches of so many words (one word: 64 values of one bit)."""
+    return (1, least(1, 64)) if words == 1 else (WORDS, least(words // WORDS))
 
 
-def _close(a: list[tuple[int, int]], b: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs (smaller class first) within ``a``, or between ``a`` and ``b``, whose sketches agree."""
-    if b is None and len(a) <= 24:
-        for i, (c, s) in enumerate(a):
-            for d, t in a[:i]:
-                if c != d and _agree(s, t):
-                    yield (c, d) if c < d else (d, c)
+def _close(a: list[tuple[int, ...]], b: list[tuple[int, ...]] | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs (smaller class first) within ``a``, or between ``a`` and ``b``, of (class, words of the sketch), whose sketches agree."""
+    if not a or (b is None and len(a) < 2):
+        return
+    step, floor = _LAYOUTS[len(a[0]) - 1]
+    most = 64 * step - floor
+    if b is None and len(a) <= 5:
+        for i, x in enumerate(a):
+            for y in a[:i]:
+                if x[0] != y[0]:
+                    apart = 0
+                    for w in range(1, step + 1):
+                        z = 0
+                        for k in range(w, len(x), step):
+                            z |= x[k] ^ y[k]
+                        apart += (z & 0xFFFFFFFFFFFFFFFF).bit_count()
+                    if apart <= most:
+                        yield (x[0], y[0]) if x[0] < y[0] else (y[0], x[0])
         return
-    ca, sa = (np.array(x, np.int64) for x in zip(*a, strict=True))
-    cb, sb = (ca, sa) if b is None else (np.array(x, np.int64) for x in zip(*b, strict=True))
-    for i in range(len(ca)):
-        start = i + 1 if b is None else 0
-        good = np.nonzero(64 - np.bitwise_count((sa[i] ^ sb[start:]).view(np.uint64)).astype(np.int64) >= SKETCH_LEAST)[0] + start
-        for j in good.tolist():
-            c, d = int(ca[i]), int(cb[j])
+    x = np.array(a, np.int64)
+    y = x if b is None else np.array(b, np.int64)
+    rows = max(1, 50_000 // len(y))
+    for at in range(0, len(x), rows):
+        start = at if b is None else 0
+        apart = np.zeros((min(rows, len(x) - at), len(y) - start), np.int64)
+        for w in range(1, step + 1):
+            z = np.zeros(apart.shape, np.int64)
+            for k in range(w, x.shape[1], step):
+                z |= x[at : at + rows, None, k] ^ y[None, start:, k]
+            apart += np.bitwise_count(z.view(np.uint64))
+        i, j = np.nonzero(apart <= most)
+        if b is None:
+            i, j = i[j > i], j[j > i]
+        for c, d in zip(x[i + at, 0].tolist(), y[j + start, 0].tolist(), strict=True):
             if c != d:
                 yield (c, d) if c < d else (d, c)
 
 
+_LAYOUTS = {n: _layout(n) for n in (1, WALK_PLANES * WORDS)}
 FOUND = "a bigint, b bigint, node bigint, block int, packed binary"
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted keys in; candidate pairs out, and the blocks of nodes too large for one task."""
+    """Sorted keys with class and sketch in; candidate pairs out, and the blocks of nodes too large for one task."""
     shift = BITS * (DEEPEST - SHALLOW)
     sent: set[tuple[int, int]] = set()
     out: list[tuple] = []
-    head: list[tuple[int, int]] = []  # members of the shallow node, while it is small
-    deep: list[tuple[int, int]] = []  # members of the node at the deepest level
+    head: list[tuple[int, ...]] = []  # members of the shallow node, while it is small
+    deep: list[tuple[int, ...]] = []  # members of the node at the deepest level
     shallow_key = deep_key = None
     small, blocks = True, 0
     keys: list[int] = []
@@ -324,7 +272,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = batch.column(0).to_numpy() >> shift
             near = node[1:] == node[:-1]
             batch = batch.filter(pa.array(np.concatenate(([True], near[:-1] | near[1:], [True]))))
-        for key, c, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for key, *rest in zip(*(c.to_numpy().tolist() for c in batch.columns), strict=True):
+            member = tuple(rest)
             if key >> shift != shallow_key:
                 end_deep()
                 if small:
@@ -335,9 +284,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif key != deep_key:
                 end_deep()
                 deep_key = key
-            deep.append((c, s))
+            deep.append(member)
             if small:
-                head.append((c, s))
+                head.append(member)
                 if len(head) > SMALL:  # too dense here: the prefix has to be longer
                     small = False
                     start = 0
@@ -366,10 +315,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(sig: DataFrame) -> DataFrame:
     """Distinct pairs of classes that share a node and whose sketches agree: a < b."""
-    classes = sig.groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    keyed = classes.select(F.explode("keys").alias("key"), "class", "sketch")
+    classes = sig.groupBy("class").agg(F.first(F.slice("sketch", 1, WALK_PLANES * WORDS)).alias("sketch"), F.first("upper").alias("upper"), F.first("lower").alias("lower"))
+    words = [F.col("sketch")[i].alias(f"w{i}") for i in range(WALK_PLANES * WORDS)]
+    # the tree's number, then DEEPEST levels
+    key = F.expr(f"shiftleft(cast(tree as bigint), {BITS * DEEPEST}) | shiftleft(cast(top as bigint) & 4294967295, {BITS}) | (cast(lower[tree] as bigint) & 65535)")
+    keyed = classes.select(F.posexplode("upper").alias("tree", "top"), "lower", "class", "sketch").select(key.alias("key"), "class", *words)
     shallow = F.shiftright("key", BITS * (DEEPEST - SHALLOW))
-    found = keyed.repartition(shallow).sortWithinPartitions("key", "class").select("key", "class", "sketch").mapInArrow(_walk, FOUND)
+    found = keyed.repartition(shallow).sortWithinPartitions("key", "class").mapInArrow(_walk, FOUND)
     found = cut(found)
     big = found.where("node is not null").select("node", "block", "packed")
     left, right = big.alias("l"), big.alias("r")
@@ -377,8 +329,8 @@ def candidates(sig: DataFrame) -> DataFrame:
 
     def make() -> Callable[..., Iterable[tuple]]:
         def each(x: bytes, y: bytes, same: bool) -> Iterable[tuple]:
-            a = [tuple(r) for r in np.frombuffer(x, np.int64).reshape(-1, 2).tolist()]
-            b = None if same else [tuple(r) for r in np.frombuffer(y, np.int64).reshape(-1, 2).tolist()]
+            a = [tuple(r) for r in np.frombuffer(x, np.int64).reshape(-1, 1 + WALK_PLANES * WORDS).tolist()]
+            b = None if same else [tuple(r) for r in np.frombuffer(y, np.int64).reshape(-1, 1 + WALK_PLANES * WORDS).tolist()]
             return _close(a, b)
 
         return each
@@ -394,11 +346,11 @@ def members(sig: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified pairs of classes, by the ids of their first rows: a < b, with their similarity."""
-    heads = sig.groupBy("class").agg(F.min("id").alias("first"), F.first("sketch").alias("one"), F.first("more").alias("two"))
+    heads = sig.groupBy("class").agg(F.min("id").alias("first"), F.first("sketch").alias("sketch"))
     found = candidates(sig)
-    named = found.join(heads.withColumnsRenamed({"class": "a", "first": "first_a", "one": "one_a", "two": "two_a"}), "a").join(heads.withColumnsRenamed({"class": "b", "first": "first_b", "one": "one_b", "two": "two_b"}), "b")
-    agree = 128 - F.bit_count(F.col("one_a").bitwiseXOR(F.col("one_b"))) - F.bit_count(F.col("two_a").bitwiseXOR(F.col("two_b")))
-    named = named.where(agree >= SKETCHES_LEAST).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    named = found.join(heads.withColumnsRenamed({"class": "a", "first": "first_a", "sketch": "x"}), "a").join(heads.withColumnsRenamed({"class": "b", "first": "first_b", "sketch": "y"}), "b")
+    apart = reduce(lambda p, q: p + q, [F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), [F.col("x")[i].bitwiseXOR(F.col("y")[i]) for i in range(w, PLANES * WORDS, WORDS)])) for w in range(WORDS)])
+    named = named.where(apart <= FUNCTIONS - least(PLANES)).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
     one = named.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     both = one.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 

@@ -121,3 +121,27 @@ def test_walk_compares_every_node_once(keys, small):
 @pytest.mark.parametrize("s,least", [(0.5, 0.95), (0.6, 0.995), (0.8, 0.9999)])
 def test_recall_of_the_deepest_level(s, least):
     assert n.recall(s) >= least
+
+
+def half_common(families):
+    """Texts of half boilerplate, in pairs at a similarity of 0.5 to 0.6; their rare parts are much less alike."""
+    r = random.Random(11)
+    boiler = " ".join(f"b{i}" for i in range(62))
+    texts = []
+    for f in range(families):
+        own = [f"f{f}x{i}" for i in range(60)]
+        for k in range(2):
+            rest = [f"f{f}k{k}y{i}" for i in range(32)]
+            texts.append((len(texts) + 1, " ".join([boiler, *own[: r.randint(30, 34)], *rest])))
+    return texts
+
+
+def test_pairs_of_half_boilerplate(spark):
+    texts = half_common(80)
+    want = brute(texts)
+    got, _ = run(spark, texts)
+    assert len(want) >= 80 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_recall_at_the_threshold():
+    assert n.recall(n.THRESHOLD) >= 0.995
