@@ -8,7 +8,9 @@
    is compared as a whole where it is small, and else is descended into: the matched prefix is as short
    as the density of its place allows.  ``recall`` gives the recall that the deepest level guarantees at a
    similarity, and everything shorter adds to it.
-3. Pairs whose sketches disagree too much are dropped (by ``SKETCHES_LEAST``), the rest is verified on the whole texts.
+3. Pairs whose sketches disagree too much are dropped: by the first two planes in the tries, then by all ``PLANES``.
+   ``least`` sets both floors so that each loses a pair at the threshold with a chance of at most ``LOSS``.
+   The rest is verified on the whole texts.
 
 Nodes larger than ``BLOCK`` are cut into blocks and each pair of blocks is a row of its own, so that no
 task holds a large node.  ``links`` gives the verified pairs of classes, ``members`` the class of each row,
@@ -40,8 +42,7 @@ WORD = re.compile(r"[^\W_]+")
 SHINGLE, THRESHOLD = 3, 0.5
 TREES, SHALLOW, DEEPEST, BITS, SMALL, BLOCK = 40, 2, 3, 16, 8, 2048
 #: A sketch has ``FUNCTIONS`` hash values of ``PLANES`` bits; a plane is one bit of each, in words of 64.
-FUNCTIONS, PLANES, WALK_PLANES = 128, 1, 1
-SKETCHES_LEAST = {64: 40, 128: 83}
+FUNCTIONS, PLANES, WALK_PLANES, LOSS = 128, 4, 2, 1e-6
 WORDS = FUNCTIONS // 64
 _RNG = np.random.default_rng(20240229)
 # hash functions x -> (x ^ a) * b on 32 bits
@@ -57,9 +58,15 @@ def recall(similarity: float, depth: int = DEEPEST, trees: int = TREES) -> float
     return 1 - (1 - similarity**depth) ** trees
 
 
-def least(planes: int, functions: int = FUNCTIONS) -> int:
-    """Least agreement of two sketches."""
-    return SKETCHES_LEAST[functions]
+def least(planes: int, functions: int = FUNCTIONS, similarity: float = THRESHOLD, loss: float = LOSS) -> int:
+    """Most hash values of ``planes`` bits that may be asked to be equal if at most ``loss`` of the pairs of this similarity are lost."""
+    p = similarity + (1 - similarity) / 2**planes
+    below = 0.0
+    for k in range(functions + 1):
+        below += comb(functions, k) * p**k * (1 - p) ** (functions - k)
+        if below > loss:
+            return k
+    return functions
 
 
 #: ASCII letters in lower case and digits as they are, all else a blank.

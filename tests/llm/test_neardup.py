@@ -143,5 +143,11 @@ def test_pairs_of_half_boilerplate(spark):
     assert len(want) >= 80 and got <= want and len(got) >= 0.97 * len(want)
 
 
-def test_recall_at_the_threshold():
+def test_floors_lose_nothing_at_the_threshold():
+    from math import comb
+
+    for planes, functions in ((1, 64), (n.WALK_PLANES, n.FUNCTIONS), (n.PLANES, n.FUNCTIONS)):
+        p = 0.5 + 0.5 / 2**planes
+        floor = n.least(planes, functions)
+        assert 0 < floor < functions and sum(comb(functions, k) * p**k * (1 - p) ** (functions - k) for k in range(floor)) <= 1e-6
     assert n.recall(n.THRESHOLD) >= 0.995
