@@ -52,14 +52,18 @@ def p5_objects(spark: SparkSession, d: str) -> DataFrame:
     return _objects(spark, d).withColumn("node_id", F.hex("node_id")).join(where, ["tbl", "row_id"])
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "claude").select(F.col("content").alias("value")).unionByName(table(spark, d, "modern").select(F.col("payload").alias("value")))
+
+
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct object of claude.content once."""
-    return nesting.nodes(table(spark, d, "claude"), "content").withColumn("node_id", F.hex("node_id"))
+    """Each distinct object of claude.content and modern.payload once."""
+    return nesting.nodes(_texts(spark, d), "value").withColumn("node_id", F.hex("node_id"))
 
 
 def p5_bridge(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct parent-child link of claude.content once."""
-    return nesting.bridge(table(spark, d, "claude"), "content").withColumns({"parent_id": F.hex("parent_id"), "child_id": F.hex("child_id")})
+    """Each distinct parent-child link of claude.content and modern.payload once."""
+    return nesting.bridge(_texts(spark, d), "value").withColumns({"parent_id": F.hex("parent_id"), "child_id": F.hex("child_id")})
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_table, p4_versions, p5_found, p5_objects, p5_nodes, p5_bridge)}

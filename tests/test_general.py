@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from braidlog.functions import jsontext
 from braidlog.operators import drift, nesting
+from braidlog.plans import general
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -170,6 +171,18 @@ def test_nesting_edges(spark):
     assert nesting.nodes(df.where("row_id < 3"), "c").count() == 2 and nesting.bridge(df.where("row_id < 3"), "c").count() == 1
 
 
+def test_all_objects_of_both_tables_have_nodes_and_links(spark, tmp_path):
+    both = '{"a":[{"b":1}]}'
+    spark.createDataFrame([(1, "f", 1, f"[{both}]"), (2, "f", 2, '{"only":{"claude":1}}')], "row_id bigint, archive_path string, line bigint, content string").write.parquet(f"{tmp_path}/claude.parquet")
+    spark.createDataFrame([(1, "g", 1, both), (2, "g", 2, '{"item":{"modern":[{"x":2}]}}'), (3, "g", 3, None)], "row_id bigint, archive_path string, line bigint, payload string").write.parquet(f"{tmp_path}/modern.parquet")
+    objects = general.p5_objects(spark, str(tmp_path)).collect()
+    nodes = [r["node_id"] for r in general.p5_nodes(spark, str(tmp_path)).collect()]
+    assert {r["tbl"] for r in objects} == {"claude", "modern"} and len(nodes) == len(set(nodes)) == 7 and set(nodes) == {r["node_id"] for r in objects}
+    at = {(r["tbl"], r["row_id"], r["path"]): r["node_id"] for r in objects}
+    links = [(r["parent_id"], r["member"], r["child_id"]) for r in general.p5_bridge(spark, str(tmp_path)).collect()]
+    assert len(links) == len(set(links)) == 4 and set(links) == {(at[r["tbl"], r["row_id"], r["parent_path"]], r["member"], r["node_id"]) for r in objects if r["parent_path"]}
+
+
 @settings(max_examples=300, deadline=None)
 @given(JSON)
 def test_parser_without_recursion_agrees(value):
