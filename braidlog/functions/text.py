@@ -38,8 +38,8 @@ assert len(MARKED) == len(PLAIN)
 
 
 def fold_marks(text: Column) -> Column:
-    """Lower case without diacritics of Latin letters."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without diacritics of Latin letters, be they part of the letter or marks of their own behind it."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "(?<=[a-z])[\u0300-\u036f]+", "")
 
 
 def one_line(text: Column) -> Column:

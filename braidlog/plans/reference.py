@@ -145,6 +145,11 @@ def strip_diacritics_tokens(s: Spark, d: str) -> DataFrame:
     return df.select(F.col("doc_id").alias("id"), F.md5(F.array_join(tx.tokens(tx.fold_marks(F.regexp_replace("text", "[^ -~à-öø-ÿ]", " ")), hangul=False), " ")).alias("digest"))
 
 
+def strip_diacritics_tokens_all(s: Spark, d: str) -> DataFrame:
+    """Folded tokens of whole texts in all languages; without SQL, as DuckDB folds other letters too."""
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.array_join(tx.tokens(tx.fold_marks(F.col("text")), hangul=False), " ")).alias("digest"))
+
+
 def token_df(s: Spark, d: str) -> DataFrame:
     return fulltext.frequencies(fulltext.postings(table(s, d, "documents"), key="doc_id"))
 
@@ -276,6 +281,12 @@ def snippet_cards(s: Spark, d: str) -> DataFrame:
     return t.where("ts > 0").select("id", "project", local_day(F.col("ts")).alias("day"), cut("user_message").alias("user_line"), cut("assistant_message").alias("assistant_line"))
 
 
+def snippet_cards_all(s: Spark, d: str) -> DataFrame:
+    """Cards of all rows with all their letters; without SQL, as DuckDB's white space is ASCII only."""
+    cut = lambda c: tx.one_line(tx.first_chars(F.coalesce(F.col(c), F.lit("")), 200))
+    return table(s, d, "exchanges").select("id", "project", local_day(F.col("ts")).alias("day"), cut("user_message").alias("user_line"), cut("assistant_message").alias("assistant_line"))
+
+
 def _items(s: Spark, d: str) -> DataFrame:
     t = v.once(table(s, d, "exchanges").select("archive_path", F.col("line_start").alias("line"), F.col("id").alias("row_id"), "user_message", "assistant_message"))
     said = F.filter(F.array(pv.item_text("User", F.col("user_message")), pv.item_text("Assistant", F.when(F.col("assistant_message") != "", F.col("assistant_message")))), lambda x: x.isNotNull())
@@ -397,8 +408,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         exchange_fold, exchange_drop_unanswered, exchange_tools_ordered_distinct, exchange_fold_b, index_build, resume_point, line_byte_offsets, file_meta_first_nonnull, signal_max_rank, bad_lines_per_file, sync_stats, streaming_exchanges,
-        filter_project_date, exclude_session, opt_out_purge, oversize_drop, tokenize, hangul_bigrams, strip_diacritics_tokens, token_df, prune_common_tokens, prefix_match, bm25_topk, bm25_filtered, porter_bm25, keyword_only_search, search_many,
-        knn_topk, knn_filtered, knn_floor_or_keyword, vector_only_search, rrf_fusion, rrf_sidechain_penalty, hybrid_search, multi_concept_and, pending_embeddings, hashed_embedding, embedding_text, snippet_cards, read_range, read_page_budget, rendered_lines,
+        filter_project_date, exclude_session, opt_out_purge, oversize_drop, tokenize, hangul_bigrams, strip_diacritics_tokens, strip_diacritics_tokens_all, token_df, prune_common_tokens, prefix_match, bm25_topk, bm25_filtered, porter_bm25, keyword_only_search, search_many,
+        knn_topk, knn_filtered, knn_floor_or_keyword, vector_only_search, rrf_fusion, rrf_sidechain_penalty, hybrid_search, multi_concept_and, pending_embeddings, hashed_embedding, embedding_text, snippet_cards, snippet_cards_all, read_range, read_page_budget, rendered_lines,
         truncate_chars, truncate_bytes, json_line_facts, content_dispatch, latest_upsert, delete_suffix, generation_current, discovered_left_join_files, already_known, not_exists_relative_paths, project_from_cwd, health_counts, health_checks, skipped_archives,
         ext_session_window_events, ext_tumbling_window_events, ext_rollup_corpus,
     )

@@ -7,6 +7,7 @@ from braidlog.functions import text as tx
 from braidlog.functions.timefn import midnight_millis, millis, strict_day
 from braidlog.operators import catalog, fulltext, fusion, reading, vectors
 from braidlog.operators import exchanges as ex
+from braidlog.plans import reference
 from braidlog.search import Engine, checked_limit, checked_queries
 from pyspark.sql import functions as F
 
@@ -277,3 +278,34 @@ def test_plans(spark):
     assert "EqualTo(project,a)" in p and "GreaterThanOrEqual(ts,5)" in p and "user_message" not in p
     p = plan_of(fusion.fused(x.select("id", F.lit(1).alias("rank")), x.select("id", F.lit(2).alias("rank"))))
     assert p.count("hashpartitioning") == 1
+
+
+def test_whole_texts_are_folded(spark, tmp_path):
+    """Against Python's own decomposition, over all languages and letters."""
+    import hashlib
+    import re
+    import unicodedata
+
+    texts = ["École ÀÉÎÕÜ Łódź ŻÓŁW źle", "naïve œuvre Œuvre straße", "Ěščř Ğğ Şş Ňň Űű Ŵŵ Ÿ", "е\u0308лка Ёлка мой", "한국어 말 ①", "cafe\u0301 A\u030angstro\u0308m İstanbul", "", None]
+    langs = ["fr", "en", None, "ru", "ko", "de", "es", "en"]
+    spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(zip(langs, texts, strict=True))], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def fold(text):
+        out = []
+        for c in text.lower():
+            base = unicodedata.normalize("NFD", c)
+            if unicodedata.combining(c):
+                if not (out and "a" <= out[-1] <= "z"):
+                    out.append(c)
+            else:
+                out.append(base[0] if "a" <= base[0] <= "z" else c)
+        return " ".join(re.findall(r"[^\W_]+", "".join(out)))
+
+    got = {r["id"]: r["digest"] for r in reference.strip_diacritics_tokens_all(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else hashlib.md5(fold(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_cards_keep_all_letters_and_rows(spark, tmp_path):
+    rows = [(1, "p", 0, "é\u00a0 ü\n漢", None), (2, "p", 1_700_000_000_000, "x" * 250, "ж")]
+    spark.createDataFrame(rows, "id bigint, project string, ts bigint, user_message string, assistant_message string").write.parquet(f"{tmp_path}/exchanges.parquet")
+    assert sorted(tuple(r) for r in reference.snippet_cards_all(spark, str(tmp_path)).collect()) == [(1, "p", "1970-01-01", "é ü 漢", ""), (2, "p", "2023-11-14", "x" * 200, "ж")]
