@@ -320,8 +320,6 @@ class Finder:
         out, at, kinds = [], 0, []
         for m in LITERAL.finditer(text):
             raw = m.group(1)
-            if len(raw) < 6:
-                continue
             if m.group(2) == '"' and re.match(r"\s*:", text[m.end() : m.end() + 20]):
                 continue  # a member's name
             plain_text, places = decode(raw)

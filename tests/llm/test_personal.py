@@ -91,3 +91,13 @@ def test_rows_with_nulls_and_clashing_names(spark, finder):
 
     assert [tuple(r) for r in map_rows(df.select("id", "text"), make, "id bigint, kind string").collect()] == [(3, "email")]
     assert map_rows(df.where("false").select("id", "text"), make, "id bigint, kind string").collect() == []
+
+
+def test_short_json_strings_are_read(finder):
+    """A string literal of a few characters is searched as the same text of exchanges is."""
+    short = [t for t in ("a@b.c", "a@b.co", "x@y.z", "Al Wu", "Bo Li") if finder.redact(t)[1]]
+    assert any(len(t) < 6 for t in short)
+    for t in short:
+        text = json.dumps([{"type": "text", "text": t}, "", "a"])
+        out, kinds = finder.redact_json(text)
+        assert kinds == finder.redact(t)[1] and json.loads(out)[0]["text"] == finder.redact(t)[0]
