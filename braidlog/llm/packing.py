@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from re import Pattern
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,26 +35,51 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's tokenizer splits a text before its merges (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Characters that the tokenizer gets at once; longer texts go in parts that give the same tokens.
+AT_ONCE = 100_000
+
 
 def counter(vocabulary: str) -> Callable[[str], int]:
     """Function that counts a text's tokens; special tokens' strings are ordinary text."""
+    import regex
     import tiktoken
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: sum(len(encode(part)) for part in bounded(text))
-
-
-def bounded(text: str, most: int = 100_000) -> Iterator[str]:
-    """``text`` in parts the tokenizer takes in bounded time; cut before a blank where one is near."""
-    at = 0
-    while len(text) - at > most:
-        stop = text.rfind(" ", at + most // 2, at + most)
-        stop = at + most if stop <= at else stop
-        yield text[at:stop]
-        at = stop
-    yield text[at:]
+    encoding = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    split = regex.compile(SPLIT)
+
+    def count(text: str) -> int:
+        if len(text) <= AT_ONCE:
+            return len(encoding.encode_ordinary(text))
+        n = 0
+        for part, single in parts(text, split):
+            n += len(encoding._encode_single_piece(part)) if single else len(encoding.encode_ordinary(part))
+        return n
+
+    return count
+
+
+def parts(text: str, split: Pattern, most: int = AT_ONCE) -> Iterator[tuple[str, bool]]:
+    """``text`` in parts of about ``most`` characters, cut only where the tokenizer splits it anyway.
+
+    A run that it doesn't split stays whole, however long, and comes alone, marked true: such runs would
+    overflow the tokenizer's own matching.
+    """
+    start = at = 0
+    for m in split.finditer(text):
+        a, b = m.span()
+        if b - a > most:
+            if a > start:
+                yield text[start:a], False
+            yield text[a:b], True
+            start = b
+        elif b - start > most:
+            yield text[start:a], False
+            start = a
+        at = b
+    if at > start:
+        yield text[start:at], False
 
 
 class Rooms:

@@ -1,6 +1,8 @@
 """Splitting, packing, leaks, defects, encodings."""
 
+import base64
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -85,9 +87,20 @@ def test_packed_documents(spark):
     assert packing.packed(df.where("false"), 100).collect() == []
 
 
-def test_tokens_of_long_texts_are_counted_in_parts():
+@pytest.mark.parametrize("text", ["1234567890" * 12_000, "x" * 150_000, "word, and  two\n\n " * 9_000, "don't " * 30_000 + "   end", "é漢 " * 60_000, "a <|endoftext|> b " * 8_000])
+def test_tokens_of_long_texts_are_those_of_the_whole(text):
+    """Long texts are tokenised in parts that end where the tokenizer splits anyway."""
+    import tiktoken
+
+    with open(packing.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    whole = tiktoken.Encoding("t", pat_str=packing.SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    assert packing.counter(packing.VOCABULARY)(text) == len(whole)
+
+
+def test_tokens_of_very_long_runs():
     count = packing.counter(packing.VOCABULARY)
-    assert count("a b c <|endoftext|>") > 4 and count("word " * 100_000) == pytest.approx(100_000, rel=0.01)
+    assert count("a b c <|endoftext|>") > 4 and count(" " * 1_000_000) > 0 and count("\n" * 300_000 + "x") > 1
 
 
 # ---- leaks ---------------------------------------------------------------------------------------
@@ -104,16 +117,38 @@ def brute_leaks(docs, items, k):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text("ab .\nÉé_", max_size=60), max_size=6), st.lists(st.text("ab .Éé", max_size=30), max_size=4))
 def test_hits_equal_brute_force(docs, items):
-    a = leaks.build(list(enumerate(items)), 3)
-    got = {(d, i) for d, t in enumerate(docs) if a for i in leaks.hits(a, t)}
-    assert got == brute_leaks(list(enumerate(docs)), list(enumerate(items)), 3)
+    for k in (1, 2, 3, 4):
+        a = leaks.Automaton(list(enumerate(items)), k)
+        assert {(d, i) for d, t in enumerate(docs) for i in a.hits(t)} == brute_leaks(list(enumerate(docs)), list(enumerate(items)), k)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab ", max_size=60), st.text("ab ", max_size=40))
+def test_passages_are_counted_and_placed(doc, item):
+    """As many windows as brute force finds, and the stretch from the first one's start to the last one's end."""
+    w, q = leaks.WORD.findall(doc), leaks.WORD.findall(item)
+    at = [i for i in range(len(w) - 3) if any(w[i : i + 4] == q[j : j + 4] for j in range(len(q) - 3))]
+    got = leaks.Automaton([(7, item)], 4).hits(doc)
+    spans = [m.span() for m in leaks.WORD.finditer(doc)]
+    assert got == ({7: [len(at), spans[at[0]][0], spans[at[-1] + 3][1]]} if at else {})
+
+
+def test_automaton_of_many_items_is_small():
+    """Two nodes a word at most, whatever the windows overlap."""
+    r = random.Random(3)
+    items = [(i, " ".join(f"v{r.randrange(3000)}" for _ in range(200))) for i in range(200)]
+    a = leaks.Automaton(items, 10)
+    assert a.nodes <= 2 * 200 * 200 + 1 and a.hits("so " + items[17][1][30:400] + " it goes").keys() == {17}
+    many = leaks.Automaton([(1, "a " * 30)], 10)
+    begun = time.perf_counter()
+    assert many.hits("a " * 200_000)[1][0] == 200_000 - 9 and time.perf_counter() - begun < 20
 
 
 def test_leaked_with_offsets_and_groups(spark):
     words = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, f"Intro, {words.upper().replace(' ', ' -- ')}! End"), (2, None), (3, ""), (4, "w1 w2 w3"), (5, " ".join(f"w{i}" for i in range(3, 13)))], "doc_id bigint, text string").selectExpr("*", "'x' AS item_id")
     items = spark.createDataFrame([(10, words), (11, words), (12, "too short"), (13, None)], "item_id bigint, text string")
-    for most in (10**6, 40):
+    for most in (10**6, 30):
         got = {(r["doc_id"], r["item_id"]): r for r in leaks.leaked(docs, items, 10, most).collect()}
         assert set(got) == {(1, 10), (1, 11), (5, 10), (5, 11)}
         assert got[1, 10]["passages"] == 21 and docs.first()["text"][got[1, 10]["start"] : got[1, 10]["stop"]].startswith("W0 --") and got[5, 11]["passages"] == 1
@@ -140,6 +175,35 @@ def test_verdicts(answer, want):
     assert defects.verdict(PROMPT, answer, ENDS) == want
 
 
+@pytest.mark.parametrize("answer,want", [
+    ("I'm sorry, but I can't help with that. " * 25, "refusal"), ("I'm sorry, but I can't help with `rm -rf`.", "refusal"), ("I can't help with that. " * 25 + "Run `make` first.", None), ("I can't run it here, but this does it:\n```sh\nmake\n```", None),
+    ("<ul><li>one</li><li>two</li>", "truncated"), ("<ul><li>one</li><li>two</li></ul>", None), ('He said "run it again.', "truncated"), ('He said "run it again."', None), ("First (see below.\n\nThe second paragraph is whole.", "truncated"),
+    ("I like it :) and the 5\" pipe.", None), ("Use a) the first and b) the second.", None), ("The range [0, 1) is fine.", None), ("See [the page](http://x.y/z", "truncated"), ("| a | b |\n|---|---|\n| 1 | 2", "truncated"), ("| a | b |\n|---|---|\n| 1 | 2 |", None),
+    ("Use `(` and ``a ` b`` here.", None), ("Before ```py\nx = (1\n``` and after.", None), ("Steps:\n1.", "truncated"), ("The <b>first</b> and <i>last", "truncated"), ("Compare a < b and c > d.", None), ("Write a <div> element.", None), ('<a href="x.html', "truncated"),
+    ("They said „ja“ and «non» and »gut« at once.", None), ("They said „ja and left.", "truncated"), ("Il servizio si riavvia quando la memoria è pronta e poi legge ancora il suo indice, che non è più vuoto.", "other_language"),
+    ("O serviço reinicia quando a memória está pronta e depois ele também lê o índice mais uma vez, porque não está vazio.", "other_language"), ("한국어로 답하면 이렇게 되고 색인은 다시 만들어집니다.", "other_language"),
+])
+def test_parser_grammar_and_languages(answer, want):
+    assert defects.verdict(PROMPT, answer, ENDS) == want
+
+
+def test_short_copies_and_long_repetitions():
+    assert defects.verdict("Run it", "run it!", ENDS) == "copied" and defects.verdict("Run it", "Ran it.", ENDS) is None
+    many = "again " * 10_000
+    begun = time.perf_counter()
+    assert defects.tiles(many.split(), many.split()) == 10_000 and defects.is_copy(many, many)
+    r = random.Random(1)
+    a, b = ([r.choice("ab") for _ in range(5000)] for _ in range(2))
+    assert defects.tiles(a, b) > 4000 and time.perf_counter() - begun < 5
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=20), st.lists(st.sampled_from("abc"), max_size=20))
+def test_tiles_leave_no_common_run(a, b):
+    """Words covered never fall below what the longest run gives, and equal sequences are covered whole."""
+    assert defects.tiles(a, a, 1) == len(a) and defects.tiles(a, b, 1) == sum((Counter(a) & Counter(b)).values())
+
+
 def test_a_requested_language_is_no_defect():
     german = "Der Dienst startet neu, wenn der Speicher warm ist, und dann liest er den Index noch einmal."
     assert defects.verdict(PROMPT + " Please answer in German.", german, ENDS) is None and defects.verdict(None, german, ENDS) is None
