@@ -258,6 +258,31 @@ def test_correct_texts_stay(judge):
         assert judge.restore(t) == (t, []), t
 
 
+def test_many_garblings_in_one_text(judge):
+    """Six ways in one text, five times over in another: all are undone, and no word is made worse."""
+    ways = [("cp1252", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp1251", "utf-8"), ("cp850", "cp1252"), ("koi8_r", "utf-8")]
+    text = CLEAN["fr"].replace("’", "'") + " " + CLEAN["de"]
+    bad = " ".join(text.encode(right).decode(wrong, "replace") for wrong, right in ways)
+    got, used = judge.restore(bad)
+    assert got == " ".join([text] * 6) and len(used) >= 6
+    deep = text
+    for _ in range(5):
+        deep = deep.encode().decode("latin-1")
+    assert judge.restore(deep)[0] == text
+
+
+def test_encodings_of_several_bytes():
+    """UTF-8 read as GB18030, and Japanese read as a one-byte encoding, with a corpus that knows the words."""
+    words = {"zh": " 索引重新建立 会话已经关闭 档案读取完成 ", "ja": " 索引を作り直しました セッションを閉じました ", "fr": " été déjà générateur même après périmé "}
+    judge = encoding.Judge(words)
+    assert judge.restore("note: " + "会话已经关闭".encode().decode("gb18030"))[0] == "note: 会话已经关闭"
+    assert judge.restore(" ".join("été déjà générateur même après".encode().decode("gb18030").split()))[0] == "été déjà générateur même après"
+    assert judge.restore("索引を作り直しました".encode("shift_jis").decode("latin-1"))[0] == "索引を作り直しました"
+    assert judge.restore("会话已经关闭".encode("gb18030").decode("latin-1"))[0] == "会话已经关闭"
+    for t in ("索引重新建立了，请稍后再试。", "セッションは後で開き直してください。", "Þórr, Łódka, Ça va, Åse, Zoë, naïve.", "联通 移动", "색인을 다시 만들었다."):
+        assert judge.restore(t) == (t, []), t
+
+
 def test_garbled_rows(spark):
     clean = [(i, CLEAN[k], k, "c") for i, k in enumerate(list(CLEAN) * 5)]
     bad = [(100, CLEAN["fr"].encode().decode("latin-1"), "fr", None), (101, "lost � sign", None, None), (102, None, None, None), (103, "", "en", None), (104, "plain ascii", None, None), (105, "x " * 50_000 + "cafÃ© dÃ©jÃ  vu", None, None)]
