@@ -2,20 +2,21 @@
 
 1. Texts with the same sequence of words are one *class* (a hash of the words); only classes go on, so a
    group of copies weighs as much as one text.  Copies are folded inside each task before any shuffle.
-2. Each class gets a sketch of its sequences and, in each of ``TREES`` prefix tries, a key of
-   ``DEEPEST`` MinHash levels over all of them, common ones too: the similarity that the tries search by is the
-   one that defines a pair.  The tries are sorted by key; a node of the shortest prefix
-   is compared as a whole where it is small, and else is descended into: the matched prefix is as short
-   as the density of its place allows.  ``recall`` gives the recall that the deepest level guarantees at a
-   similarity, and everything shorter adds to it.
+2. Each class gets a sketch of its sequences and, in each of ``TREES`` prefix tries, a key of MinHash levels over
+   all of them, common ones too: the similarity that the tries search by is the one that defines a pair.  The
+   matched prefix is shortened until the recall at the threshold reaches ``TARGET`` (``longest`` gives that
+   length, ``DEEPEST``); where a place of the trie is sparse it is shortened by one level more (``SHALLOW``), which
+   costs little there and only adds to the recall.
 3. Pairs whose sketches disagree too much are dropped: by the first two planes in the tries, then by all ``PLANES``.
    ``least`` sets both floors so that each loses a pair at the threshold with a chance of at most ``LOSS``.
    The rest is verified on the whole texts.
 
-Nodes larger than ``BLOCK`` are cut into blocks and each pair of blocks is a row of its own, so that no
-task holds a large node.  ``links`` gives the verified pairs of classes, ``members`` the class of each row,
-``pairs`` the pairs of rows: within classes of at most ``expand`` rows and between two such classes all of them;
-a row of a larger class is paired with the class's first row, which stands for it elsewhere.
+The sorted tries are cut into ranges of equal size, whatever the nodes, so a node of any size is spread over as many
+tasks as it needs.  What a range holds of a node that may go on in the next, and nodes larger than ``BLOCK``, are written as
+blocks; each pair of blocks of a node is a row of its own and these rows are spread by block.  ``links`` gives the verified
+pairs of classes, ``members`` the class of each row, ``pairs`` the pairs of rows: within classes of at most ``expand`` rows and
+between two such classes all of them; a row of a larger class is paired with the class's first row, which stands for it
+elsewhere (``groups`` gives class, group and number of links of every row, whatever the sizes).
 
 Defined results: null texts are empty; texts with fewer than ``SHINGLE`` words have no sequences, hence no
 pairs; empty tables give no rows; repeated rows are members of one class; other columns are ignored.
@@ -32,15 +33,38 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlog.functions.arrow import map_rows
-from braidlog.session import cut
+from braidlog.session import cut, shuffle_width
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, THRESHOLD = 3, 0.5
-TREES, SHALLOW, DEEPEST, BITS, SMALL, BLOCK = 40, 2, 3, 16, 8, 2048
+#: Recall at the threshold that the tries must reach, and how many there are.
+TARGET, TREES, BITS, SMALL, BLOCK = 0.995, 40, 16, 8, 2048
+
+
+def recall(similarity: float, depth: int, trees: int = TREES) -> float:
+    """Chance that two texts of this similarity share a prefix of ``depth`` levels in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def longest(target: float = TARGET, similarity: float = THRESHOLD, trees: int = TREES) -> int:
+    """Levels of the longest prefix at which pairs of this similarity meet with a chance of at least ``target``."""
+    depth = 1
+    while recall(similarity, depth + 1, trees) >= target:
+        depth += 1
+    if recall(similarity, depth, trees) < target:
+        raise ValueError("too few trees for this recall")
+    return depth
+
+
+DEEPEST = longest()
+#: Levels that a sorted key has: three, whose first two make a number of 32 bits.
+SHALLOW = DEEPEST - 1
+assert DEEPEST == 3
 #: A sketch has ``FUNCTIONS`` hash values of ``PLANES`` bits; a plane is one bit of each, in words of 64.
 FUNCTIONS, PLANES, WALK_PLANES, LOSS = 128, 4, 2, 1e-6
 WORDS = FUNCTIONS // 64
@@ -53,11 +77,6 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def recall(similarity: float, depth: int = DEEPEST, trees: int = TREES) -> float:
-    """Chance that two texts of this similarity share a prefix of ``depth`` levels in some tree."""
-    return 1 - (1 - similarity**depth) ** trees
-
-
 def least(planes: int, functions: int = FUNCTIONS, similarity: float = THRESHOLD, loss: float = LOSS) -> int:
     """Most hash values of ``planes`` bits that may be asked to be equal if at most ``loss`` of the pairs of this similarity are lost."""
     p = similarity + (1 - similarity) / 2**planes
@@ -231,18 +250,24 @@ def _close(a: list[tuple[int, ...]], b: list[tuple[int, ...]] | None = None) ->
 
 
 _LAYOUTS = {n: _layout(n) for n in (1, WALK_PLANES * WORDS)}
-FOUND = "a bigint, b bigint, node bigint, block int, packed binary"
+FOUND = "a bigint, b bigint, node bigint, block bigint, packed binary"
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted keys with class and sketch in; candidate pairs out, and the blocks of nodes too large for one task."""
+    """A range of sorted keys with class and sketch in; candidate pairs out, and blocks of nodes.
+
+    Blocks are written of deep nodes larger than ``BLOCK``, and of the nodes at both ends of the range, deep and (while
+    small) shallow, since they may go on in the neighbouring ranges.  A shallow node's number is negative.
+    """
     shift = BITS * (DEEPEST - SHALLOW)
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 32
     sent: set[tuple[int, int]] = set()
     out: list[tuple] = []
     head: list[tuple[int, ...]] = []  # members of the shallow node, while it is small
     deep: list[tuple[int, ...]] = []  # members of the node at the deepest level
     shallow_key = deep_key = None
-    small, blocks = True, 0
+    small, cut_up, first_deep, first_shallow = True, False, True, True
     keys: list[int] = []
 
     def emit(pairs: Iterable[tuple[int, int]]) -> None:
@@ -253,23 +278,36 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sent.add(p)
                 out.append((*p, None, None, None))
 
-    def block() -> None:
-        nonlocal blocks
-        out.append((None, None, deep_key, blocks, np.array(deep, np.int64).tobytes()))
-        blocks += 1
+    def block(node: int, rows: list[tuple[int, ...]]) -> None:
+        nonlocal number
+        if rows:
+            out.append((None, None, node, number, np.array(rows, np.int64).tobytes()))
+            number += 1
+
+    def end_deep(last: bool = False) -> None:
+        nonlocal cut_up, first_deep
+        if deep_key is not None:
+            if cut_up or first_deep or last:
+                block(deep_key, deep)
+            elif not small:
+                emit(_close(deep))
+            first_deep = False
+        cut_up = False
         deep.clear()
 
-    def end_deep() -> None:
-        nonlocal blocks
-        if blocks and deep:
-            block()
-        elif not small:
-            emit(_close(deep))
-        blocks = 0
-        deep.clear()
+    def end_shallow(last: bool = False) -> None:
+        nonlocal first_shallow
+        if shallow_key is not None:
+            if small and (first_shallow or last):
+                block(-shallow_key - 1, head)
+            elif small:
+                emit(_close(head))
+            first_shallow = False
+        head.clear()
+        keys.clear()
 
     def flush() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         batch = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "node", "block", "packed"])
         out.clear()
         return batch
@@ -283,21 +321,18 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             member = tuple(rest)
             if key >> shift != shallow_key:
                 end_deep()
-                if small:
-                    emit(_close(head))
+                end_shallow()
                 shallow_key, deep_key, small = key >> shift, key, True
-                head.clear()
-                keys.clear()
             elif key != deep_key:
                 end_deep()
                 deep_key = key
             deep.append(member)
             if small:
                 head.append(member)
+                keys.append(key)
                 if len(head) > SMALL:  # too dense here: the prefix has to be longer
                     small = False
                     start = 0
-                    keys.append(key)
                     # the parts that ended while the node looked small
                     for i in range(1, len(head) + 1):
                         if i == len(head) or keys[i] != keys[start]:
@@ -307,19 +342,41 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     head.clear()
                     keys.clear()
                 else:
-                    keys.append(key)
                     continue
             if len(deep) >= BLOCK:
-                block()
+                block(deep_key, deep)
+                cut_up = True
+                deep.clear()
         if len(out) >= 10_000:
             yield flush()
-    end_deep()
-    if small:
-        emit(_close(head))
+    end_deep(True)
+    end_shallow(True)
     if out:
         yield flush()
 
 
+def _unpacked(packed: bytes) -> list[tuple[int, ...]]:
+    return [tuple(r) for r in np.frombuffer(packed, np.int64).reshape(-1, 1 + WALK_PLANES * WORDS).tolist()]
+
+
+def between_blocks(found: DataFrame) -> DataFrame:
+    """Pairs within and between the blocks of each node, one row per pair of blocks, spread by node and block."""
+    big = found.where("node is not null")
+    w = Window.partitionBy("node")
+    # numbers of few bytes per block; the blocks themselves are joined to them
+    named = cut(big.select("node", "block").withColumns({"nth": F.row_number().over(w.orderBy("block")), "of": F.count("*").over(w)}))
+    blocks = big.select("node", "block", "packed").join(named, ["node", "block"]).select("node", "nth", "packed")
+    both = named.select("node", F.col("nth").alias("i"), F.explode(F.sequence("nth", F.col("of").cast("int"))).alias("j"))
+    left = blocks.withColumnsRenamed({"nth": "i", "packed": "x"})
+    right = blocks.withColumnsRenamed({"nth": "j", "packed": "y"})
+    tasks = both.join(left, ["node", "i"]).join(right, ["node", "j"]).select("x", "y", F.expr("i = j").alias("same"))
+
+    def make() -> Callable[..., Iterable[tuple]]:
+        return lambda x, y, same: _close(_unpacked(x), None if same else _unpacked(y))
+
+    return map_rows(tasks, make, "a bigint, b bigint")
+
+
 def candidates(sig: DataFrame) -> DataFrame:
     """Distinct pairs of classes that share a node and whose sketches agree: a < b."""
     classes = sig.groupBy("class").agg(F.first(F.slice("sketch", 1, WALK_PLANES * WORDS)).alias("sketch"), F.first("upper").alias("upper"), F.first("lower").alias("lower"))
@@ -327,22 +384,9 @@ def candidates(sig: DataFrame) -> DataFrame:
     # the tree's number, then DEEPEST levels
     key = F.expr(f"shiftleft(cast(tree as bigint), {BITS * DEEPEST}) | shiftleft(cast(top as bigint) & 4294967295, {BITS}) | (cast(lower[tree] as bigint) & 65535)")
     keyed = classes.select(F.posexplode("upper").alias("tree", "top"), "lower", "class", "sketch").select(key.alias("key"), "class", *words)
-    shallow = F.shiftright("key", BITS * (DEEPEST - SHALLOW))
-    found = keyed.repartition(shallow).sortWithinPartitions("key", "class").mapInArrow(_walk, FOUND)
+    found = keyed.repartitionByRange(shuffle_width(sig.sparkSession), "key", "class").sortWithinPartitions("key", "class").mapInArrow(_walk, FOUND)
     found = cut(found)
-    big = found.where("node is not null").select("node", "block", "packed")
-    left, right = big.alias("l"), big.alias("r")
-    tasks = left.join(right, F.expr("l.node = r.node and l.block <= r.block")).select(F.col("l.packed").alias("x"), F.col("r.packed").alias("y"), F.expr("l.block = r.block").alias("same"))
-
-    def make() -> Callable[..., Iterable[tuple]]:
-        def each(x: bytes, y: bytes, same: bool) -> Iterable[tuple]:
-            a = [tuple(r) for r in np.frombuffer(x, np.int64).reshape(-1, 1 + WALK_PLANES * WORDS).tolist()]
-            b = None if same else [tuple(r) for r in np.frombuffer(y, np.int64).reshape(-1, 1 + WALK_PLANES * WORDS).tolist()]
-            return _close(a, b)
-
-        return each
-
-    return found.where("node is null").select("a", "b").unionByName(map_rows(tasks, make, "a bigint, b bigint")).distinct()
+    return found.where("node is null").select("a", "b").unionByName(between_blocks(found)).distinct()
 
 
 def members(sig: DataFrame) -> DataFrame:
@@ -399,6 +443,21 @@ def pairs(linked: DataFrame, member: DataFrame, expand: int = 32) -> DataFrame:
     return copies.unionByName(star).unionByName(across)
 
 
+def shared_with(linked: DataFrame, member: DataFrame, kin: DataFrame, of: DataFrame) -> DataFrame:
+    """session_id, forked_from_id, exchanges, linked of each fork: how many of its rows are similar to one of its parent's.
+
+    ``kin`` (session_id, forked_from_id), ``of`` (id, session_id).  Rows meet over their classes, so copies cost nothing.
+    """
+    mine = member.select("id", "first").join(of.where("session_id is not null").select("id", "session_id"), "id")
+    near = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(member.select(F.col("first").alias("a"), F.col("first").alias("b")).distinct())
+    fork = mine.join(kin, "session_id").select("session_id", "forked_from_id", "id", F.col("first").alias("a"))
+    theirs = mine.select(F.col("session_id").alias("forked_from_id"), F.col("first").alias("b")).distinct()
+    hit = fork.join(near, "a").join(theirs, ["forked_from_id", "b"], "left_semi").select("session_id", "forked_from_id", "id").distinct()
+    counted = fork.groupBy("session_id", "forked_from_id").agg(F.count("*").alias("exchanges"))
+    found = hit.groupBy("session_id", "forked_from_id").agg(F.count("*").alias("linked"))
+    return counted.join(found, ["session_id", "forked_from_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(0)).cast("long"))
+
+
 def groups(linked: DataFrame, member: DataFrame) -> DataFrame:
     """id, class_id, group_id (the smallest id it is linked to over any number of links) and its class's links.
 

@@ -89,6 +89,18 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(neardup.links(texts, sig), neardup.members(sig))
 
 
+def p2_forks(spark: SparkSession, d: str) -> DataFrame:
+    """Forked sessions with a known parent: their exchanges, and those that are near duplicates of the parent's."""
+    texts = _exchange_texts(spark, d)
+    sig = cut(neardup.signatures(texts))
+    heads = table(spark, d, "fork").where("type = 'session_meta'").withColumn("v", F.try_parse_json("payload"))
+    heads = heads.select("archive_path", "line", F.try_variant_get("v", "$.id", "string").alias("session_id"), F.try_variant_get("v", "$.forked_from_id", "string").alias("forked_from_id"))
+    own = heads.groupBy("archive_path").agg(F.min_by(F.struct("session_id", "forked_from_id"), "line").alias("h")).select("h.*")
+    kin = own.where("session_id is not null and forked_from_id is not null").distinct()
+    of = table(spark, d, "exchanges").select(F.col("id").cast("long").alias("id"), "session_id")
+    return neardup.shared_with(neardup.links(texts, sig), neardup.members(sig), kin, of)
+
+
 # ---- 3: defective pairs -------------------------------------------------------------------------
 
 
@@ -192,7 +204,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_exchanges, p1_claude, p2_found, p2_groups, p3_found, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_exchanges, p1_claude, p2_found, p2_groups, p2_forks, p3_found, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
 
 ORACLE = {
     "p7_found": """
