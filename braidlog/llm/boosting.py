@@ -24,6 +24,23 @@ class Trees:
             f += self.rate * np.array([self._walk(tree, r) for r in np.unique(x, axis=0, return_inverse=True)[0]])[self._index(x)]
         return self
 
+    def stored(self) -> dict:
+        """Everything that scoring needs, for a file; leaves are rounded."""
+
+        def rounded(tree):
+            return round(tree, 5) if isinstance(tree, float) else [tree[0], tree[1], rounded(tree[2]), rounded(tree[3])]
+
+        return {"base": self.base, "rate": self.rate, "threshold": self.threshold, "trees": [rounded(t) for t in self.trees]}
+
+    @classmethod
+    def restored(cls, stored: dict) -> Trees:
+        def tree(x):
+            return (x[0], x[1], tree(x[2]), tree(x[3])) if isinstance(x, list) else float(x)
+
+        out = cls(rate=stored["rate"])
+        out.base, out.threshold, out.trees = stored["base"], stored["threshold"], [tree(t) for t in stored["trees"]]
+        return out
+
     @staticmethod
     def _index(x: np.ndarray) -> np.ndarray:
         return np.unique(x, axis=0, return_inverse=True)[1].reshape(-1)

@@ -3,8 +3,12 @@
 High-recall generators propose overlapping spans of five kinds; each span gets a tuple of small numbers that
 describe its format and its surroundings; one ensemble of boosted trees per kind, trained on generated and
 labelled sentences (``personal_training``), scores it against a threshold calibrated on held-out ones.  Of
-overlapping spans the surest wins.  Training is bounded (``CASES`` sentences) and runs once on the driver;
-the trees are sent to the workers.
+overlapping spans the surest wins.  The trees are fitted beforehand and lie in a versioned file (``TREES``), which the
+driver reads and sends to the workers.
+
+Every stretch of two to four neighbouring capitalised words is proposed as a name (in Latin, Greek and Cyrillic
+letters), also one with words that hardly ever belong to names: such words are a feature and exclude nothing.  Names in
+lower case are proposed behind words that announce one, Hangul and Han names before a title.
 
 ``redact`` replaces the spans of a plain text.  ``redact_json`` does so in every string value of a JSON
 text, at any depth, and leaves every other byte as it is, so that valid JSON stays valid; a text that is cut short
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 
 from braidlog.functions.jsontext import LITERAL
 
+TREES = "personal_trees_v2.json"
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -40,7 +45,7 @@ GIVEN = frozenset(
     "thomas tobias ulrich ulrike ursula uwe victor vincent walter werner william wolfgang yolanda".split()
 )
 
-# Words that a capital letter doesn't make a name.
+# Words that are seldom part of a name, capital letter or not (a feature of the trees).
 NO_NAME = frozenset(
     "the a an this that these those it its in on at by for from to of and or but if so as is are was be do does did can could we you i he she they my our your his her after before once under strictly "
     "please show how why what when where which who done two here short sorry right only see release run ticket host trace pinned line page section note total budget error warn warning info debug result user assistant "
@@ -62,34 +67,37 @@ EMAIL = re.compile(
 )
 MAYBE_EMAIL = re.compile(r"@|[\[({<]\s?(?:at|ät|arroba|arobase)\b|\s(?:at|ät|arroba|arobase|klammeraffe)\s\S+\s?[\[(]?\s?(?:dot|punkt|point|punto)\b", re.IGNORECASE)
 NUMBER = re.compile(r"(?<![\w.+])(?:\+|\()?\d(?:[ \u00a0./()–-]{0,2}\d){6,18}(?![\w]|[.,]\d|[ -]?[A-Z]\b)(?:\s?(?:ext\.?|x|extension|durchwahl|poste)\s?\d{1,5}\b)?", re.IGNORECASE)
-LETTERED = re.compile(r"(?<![\w.-])(?:[XYZ]?-?\d{7,8}[ -]?[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z][A-Z0-9]{2} ?\d{6}\d?|[A-Z]\d{8})(?![\w-])")
+LETTERED = re.compile(r"(?<![\w.-])(?:[A-Z]{6}\d{2}[A-EHLMPR-T]\d{2}[A-Z]\d{3}[A-Z]|[XYZ]?-?\d{7,8}[ -]?[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z][A-Z0-9]{2} ?\d{6}\d?|[A-Z]\d{8})(?![\w-])")
 
 # Kinds of streets.
 STREET_EN = r"(?:Street|St|Lane|Ln|Road|Rd|Avenue|Ave|Drive|Dr|Court|Ct|Way|Place|Pl|Boulevard|Blvd|Terrace|Close|Crescent|Square|Row|Hill|Walk|Parkway|Pkwy|Highway|Hwy|Circle|Cir|Trail|Mews)"
-STREET_DE = r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|pfad|chaussee|markt|graben|hof)"
+STREET_DE = r"(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|pfad|chaussee|markt|graben|hof|straat|laan|plein|gracht|kade)"
 STREET_FR = r"(?:rue|avenue|av\.|boulevard|bd|allée|allee|chemin|impasse|place|quai|cours|route|passage|square|sentier|villa|faubourg|esplanade)"
-STREET_ES = r"(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carretera|ronda|travesía|glorieta|callejón|pasaje|rambla|vía|urbanización)"
+STREET_ES = r"(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carretera|ronda|travesía|glorieta|callejón|pasaje|rambla|vía|urbanización|via|viale|piazza|corso|vicolo|largo|rua|travessa|praça|alameda)"
 CAP = r"[A-ZÀ-ÞĀ-Ž][\w’'-]*"
 ADDRESS = {
     "en": re.compile(rf"\b\d{{1,5}}[A-Za-z]?,? (?:[NSEW]\.? )?{CAP}(?: {CAP}){{0,3}} {STREET_EN}\b\.?(?:,? (?:Apt|Unit|Suite|Ste|Flat|Floor|#)\.? ?\w+)?(?:,? {CAP}(?: {CAP}){{0,2}},?(?: [A-Z]{{2}})? \d{{5}}(?:-\d{{4}})?|,? {CAP}(?=[.,\"\n]|$))?"),
     "de": re.compile(rf"\b(?:{CAP}{STREET_DE}|{CAP}(?:[ -]{CAP})*[ -](?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring|Damm|Ufer)|(?:Am|An der|Im|Auf dem|Zum|Zur|Unter den) {CAP}) \d{{1,4}} ?[a-z]?\b(?:,? \d{{5}} {CAP}(?:[ -]{CAP})*)?"),
     "fr": re.compile(rf"\b\d{{1,4}}(?: ?(?:bis|ter|quater|[A-D]))?,? (?i:{STREET_FR})(?: (?:de|du|des|d[’']|la|le|les|aux?|l[’']|à|en|sur|sous|et|{CAP})[’']?)*(?: ?{CAP})+(?:,? \d{{5}} {CAP}(?:[ -]{CAP})*)?"),
-    "es": re.compile(rf"(?<!\w)(?i:{STREET_ES})(?: (?:de|del|la|las|el|los|y|{CAP}))*,? (?:n\.? ?[º°o]\.? ?|núm\. ?|número )?\d{{1,4}}\b(?:,? \d{{1,2}}(?:\.?[º°ª] ?\w{{0,4}}\.?| ?[A-Z]\b))?(?:,? \d{{5}} {CAP}(?:[ -]{CAP})*)?"),
+    "es": re.compile(rf"(?<!\w)(?i:{STREET_ES})(?: (?:de|del|la|las|el|los|y|da|das|do|dos|della|delle|dei|{CAP}))*,? (?:n\.? ?[º°o]\.? ?|núm\. ?|número )?\d{{1,4}}\b(?:,? \d{{1,2}}(?:\.?[º°ª] ?\w{{0,4}}\.?| ?[A-Z]\b))?(?:,? \d{{5}} {CAP}(?:[ -]{CAP})*)?"),
 }
 #: What a text must hold for a German or Spanish address (fixed values).
 MUST = {
-    "de": ("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig ", "pfad ", "chaussee ", "markt ", "graben ", "hof ", "am ", "an der ", "im ", "auf dem ", "zum ", "zur ", "unter den "),
-    "es": ("calle", "c/", "avenida", "avda", "av.", "plaza", "paseo", "camino", "carretera", "ronda", "travesía", "glorieta", "callejón", "pasaje", "rambla", "vía", "urbanización"),
+    "de": ("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "steig ", "pfad ", "chaussee ", "markt ", "graben ", "hof ", "straat ", "laan ", "plein ", "gracht ", "kade ", "am ", "an der ", "im ", "auf dem ", "zum ", "zur ", "unter den "),
+    "es": ("calle", "c/", "avenida", "avda", "av.", "plaza", "paseo", "camino", "carretera", "ronda", "travesía", "glorieta", "callejón", "pasaje", "rambla", "vía", "urbanización", "via", "piazza", "corso", "vicolo", "largo", "rua", "travessa", "praça", "alameda"),
 }
 DIGIT = re.compile(r"\d")
-NAME = r"[A-ZÀ-ÞĀ-Ž][a-zß-ÿā-ž’']+(?:-[A-ZÀ-Þ][a-zß-ÿ’']+)?|[A-ZÀ-ÞĀ-Ž]{2,}(?:-[A-ZÀ-Þ]{2,})?|(?:O’|O'|Mc|Mac|D’|d’|D'|d')[A-Z][a-z]+"
-PERSON = re.compile(rf"(?<![\w`/._-])(?:{NAME})(?:(?:,? [A-Z]\.)?(?:,? (?:van|von|de|del|della|di|du|der|den|la|le|zu|da|dos|y)(?: (?:la|las|los|der|den))?)?,? (?:{NAME})){{1,3}}(?![\w`/_]|-\w)")
+NAME = r"[A-ZÀ-ÞĀ-Ž][a-zß-ÿā-ž’']+(?:-[A-ZÀ-Þ][a-zß-ÿ’']+)?|[A-ZÀ-ÞĀ-Ž]{2,}(?:-[A-ZÀ-Þ]{2,})?|(?:O’|O'|Mc|Mac|D’|d’|D'|d')[A-Z][a-z]+|[А-ЯЁІЇЄ][а-яёіїє]+(?:-[А-ЯЁ][а-яё]+)?|[Α-ΩΆΈΉΊΌΎΏ][α-ώ]+"
+PERSON = re.compile(rf"(?<![\w`/._-])(?:{NAME})(?:(?:,? [A-Z]\.)?(?:,? (?:van|von|de|del|della|di|du|der|den|la|le|zu|da|dos|y)(?: (?:la|las|los|der|den))?)?,? (?:{NAME})){{1,7}}(?![\w`/_]|-\w)")
+#: Names in lower case behind an announcing word, and names before a title in Hangul or Han.
+LOWER = re.compile(r"\b[AaBbCcDdFfGgHhMmOoTt](?:sk|c|wner|uthor|hanks|ontact|i|ello|ear|rag|allo|anke|erci|onjour|emande|ola|racias)[:,]? ([a-zß-ÿ]+ [a-zß-ÿ]{3,})(?![\w@/])")
+TITLED = re.compile(r"[가-힣]{2,4}(?= ?(?:씨|님|선생님|대리님|과장님|부장님|팀장님))|[\u4e00-\u9fff]{2,4}(?:[ ・][\u4e00-\u9fff]{1,3})?(?=さん|様|先生|女士)")
 TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
 
 # Words near a span that speak for or against a kind.
 CUE_PHONE = re.compile(r"(?i)\b(?:phone|tel|telephone|telefon|téléphone|telefono|teléfono|tfno|mobile|mobil|móvil|portable|cell|call|fax|text|whatsapp|sms|ring|ruf|anruf|erreich\w*|nummer|appelle|appeler|joindre|numéro|llám\w*|llama|on-call|hotline|dial|astreinte|guardia|bereitschaft|rufnummer|durchwahl|contact)\b|user_phone|phone[\"'=:]|tel[\"'=:]")
 CUE_ID = re.compile(
-    r"\b(?:DNI|NIE|NIF|NIR|NINO|TIN|ITIN|INSEE|NUSS|SVNR)\b|(?i:\b(?:ssn|social security|tax id|identity (?:no|number|card)|id (?:card|number|no)|national (?:id|insurance)|passport|personalausweis\w*|ausweis\w*|steuer-?id\w*|steuernummer|identifikationsnummer|"
+    r"\b(?:DNI|NIE|NIF|NIR|NINO|TIN|ITIN|INSEE|NUSS|SVNR|CPF|CNPJ|BSN|PESEL|CURP|[Cc]odice(?: fiscale)?|Aadhaar)\b|(?i:\b(?:ssn|social security|tax id|identity (?:no|number|card)|id (?:card|number|no)|national (?:id|insurance)|passport|personalausweis\w*|ausweis\w*|steuer-?id\w*|steuernummer|identifikationsnummer|"
     r"sozialversicherung\w*|rentenversicherung\w*|documento|identidad|seguridad social|insee|sécurité sociale|securite sociale|carte (?:nationale )?d.identité|num[ée]ro fiscal|n° ?ss|identité|pasaporte|passeport|reisepass\w*)\b|ssn[\"'=:_])"
 )
 CUE_NOT_NUMBER = re.compile(r"(?i)\b(?:checksum|prüfsumme|crc|hash|sha\d*|md5|run|build|release|version|ticket|trace|bucket|offset|line|zeile|ligne|línea|rows?|filas|lignes|zeilen|batch|lote|lot|stapel|port|pid|inode|bytes?|retries|ms|commit|issue|order|isbn|invoice no|job|epoch|timestamp|ts|row_id|count|total|size|seed|uuid|position|serial|ean|sku|number of|exit code|port|build)\b\W*(?:\w+\W+){0,2}$")
@@ -157,6 +165,10 @@ def _number_features(text: str, a: int, b: int) -> tuple:
         shape = 9
     elif re.fullmatch(r"\d{2} \d{3} \d{3} \d{3}", s):
         shape = 10
+    elif re.fullmatch(r"\d{3}\.\d{3}\.\d{3}-\d{2}", s):
+        shape = 12
+    elif re.fullmatch(r"\d{4}[ -]\d{4}[ -]\d{4}", s):
+        shape = 13
     elif len(groups) == 1:
         shape = 11
     valid = int(shape == 2 and len(d) == 15 and int(d[13:]) == 97 - int(d[:13]) % 97)
@@ -191,6 +203,8 @@ def _lettered_features(text: str, a: int, b: int) -> tuple:
         shape = 4
     elif re.fullmatch(r"[A-Z]\d{8}", s):
         shape = 5
+    elif re.fullmatch(r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]", s):
+        shape = 6
     return (shape, int(_dni_ok(s)), int(bool(CUE_ID.search(before)) or bool(re.match(r"(?i)[^\n.]{0,14}\b(?:ssn|identity|tax|dni|ausweis)\b", after))), int(bool(CUE_NOT_NUMBER.search(before.rsplit("\n", 1)[-1]))), int(" " in s or "-" in s), int(sum(c.isdigit() for c in s) >= 7))
 
 
@@ -209,14 +223,39 @@ def _address_features(text: str, a: int, b: int, kind: str) -> tuple:
     )
 
 
-def _person_features(text: str, a: int, b: int) -> tuple:
+PARTICLE = re.compile(r"(?:[A-Z]\.|van|von|de|del|della|di|du|der|den|la|le|zu|da|dos|y|las|los)")
+STREET_WORD = re.compile(rf"\b{STREET_EN}\b|(?i:{STREET_DE})\b")
+ARTICLE = re.compile(r"(?i)\b(?:the|a|an|this|der|die|das|den|dem|ein|eine|le|la|les|un|une|el|los|las|una)\s$")
+BEGIN = re.compile(r"[.!?…:]\s+$|\n\s*$|[\"“„«(]\s*$")
+
+
+JOINED = (" and ", " und ", " et ", " y ", " e ", " & ")
+OTHER_BEFORE = re.compile(r"([^\W\d_]+)(?: [^\W\d_]+){1,2},? \S+ $")
+OTHER_AFTER = re.compile(r"^ \S+ ([^\W\d_]+) [^\W\d_]")
+
+
+def _joined(text: str, a: int, b: int) -> int:
+    """Whether "and" joins the span to other capitalised words (1), and these begin with a common given name (2)."""
+    m = None
+    if text.startswith(JOINED, b):
+        m = OTHER_AFTER.match(text[b : b + 40])
+    elif text[max(0, a - 5) : a].endswith(JOINED):
+        m = OTHER_BEFORE.search(text[max(0, a - 45) : a])
+    if not m or not m[1][:1].isupper():
+        return 0
+    return 2 if plain(m[1]) in GIVEN else 1
+
+
+def _person_features(text: str, a: int, b: int, left: int = 0, right: int = 0, kind: int = 0) -> tuple:
+    """``left``, ``right``: the neighbouring word of the run (0 none, 1 a capitalised one, 2 one seldom in names)."""
     s = text[a:b]
-    words = [w for w in TOKEN.findall(s) if not re.fullmatch(r"(?:[A-Z]\.|van|von|de|del|della|di|du|der|den|la|le|zu|da|dos|y|las|los)", w)]
+    words = [w for w in TOKEN.findall(s) if not PARTICLE.fullmatch(w)]
     low = [plain(w) for w in words]
-    given = [bool(GIVEN & {w, *w.split("-")}) for w in low]
+    given = [w in GIVEN or ("-" in w and not GIVEN.isdisjoint(w.split("-"))) for w in low]
     before, after = text[max(0, a - 30) : a], text[b : b + 24]
     caps = [len(w) > 1 and w.isupper() for w in words]
-    start = not before.strip() or bool(re.search(r"[.!?…:]\s+$|\n\s*$|[\"“„«(]\s*$", before))
+    start = not before.strip() or bool(BEGIN.search(before))
+    seldom = [w in NO_NAME for w in low]
     return (
         int(given[0]) + 2 * int(given[-1]),
         min(4, len(words)),
@@ -227,31 +266,28 @@ def _person_features(text: str, a: int, b: int) -> tuple:
         int(bool(CUE_PERSON.search(before))),
         int(bool(CUE_PERSON_AFTER.search(after))),
         int(start),
-        int(bool(re.search(r"(?i)\b(?:the|a|an|this|der|die|das|den|dem|ein|eine|le|la|les|un|une|el|los|las|una)\s$", before))),
-        int(bool(re.search(rf"\b{STREET_EN}\b|(?i:{STREET_DE})\b", s))),
+        int(bool(ARTICLE.search(before))),
+        int(bool(STREET_WORD.search(s))),
         int(not before.rsplit("\n", 1)[-1].strip() and after[:1] in ("", "\n", ",")),
+        int(seldom[0]) + 2 * int(any(seldom[1:])),
+        left,
+        right,
+        kind,
+        _joined(text, a, b),
     )
 
 
 Span = tuple[int, int, str, tuple, str]  # start, stop, kind, features, ensemble
 
 
-def _names(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
-    """Sub-spans of a run of capitalised words that may be one name: it is cut at words that can't be in one."""
-    run: list[re.Match] = []
-    for m in [*TOKEN.finditer(text, a, b), None]:
-        w = m.group() if m else ""
-        if m and plain(w) not in NO_NAME:
-            run.append(m)
-            continue
-        if m and run and w.lower() in ("de", "del", "la", "le", "von", "van", "der", "den", "du", "y", "las", "los"):
-            run.append(m)
-            continue
-        while run and not run[-1].group()[:1].isupper():
-            run.pop()
-        if sum(len(x.group().rstrip(".")) > 1 and x.group()[:1].isupper() for x in run) >= 2:
-            yield run[0].start(), run[-1].end()
-        run = []
+def _names(text: str, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
+    """All stretches of two to four capitalised words of a run, with what their neighbours in the run are."""
+    run = [m for m in TOKEN.finditer(text, a, b)]
+    full = [i for i, m in enumerate(run) if m.group()[:1].isupper() and len(m.group().rstrip(".")) > 1]
+    side = [2 if plain(run[i].group()) in NO_NAME else 1 for i in full]
+    for x in range(len(full)):
+        for y in range(x + 1, min(x + 4, len(full))):
+            yield run[full[x]].start(), run[full[y]].end(), side[x - 1] if x else 0, side[y + 1] if y + 1 < len(full) else 0
 
 
 def candidates(text: str) -> Iterator[Span]:
@@ -269,14 +305,21 @@ def candidates(text: str) -> Iterator[Span]:
     for m in LETTERED.finditer(text):
         yield m.start(), m.end(), "id_number", _lettered_features(text, *m.span()), "lettered"
     if DIGIT.search(text):
-        low = text.lower()
+        low = text.lower()  # once for all patterns
         for lang, pattern in ADDRESS.items():
             if lang not in MUST or any(k in low for k in MUST[lang]):
                 for m in pattern.finditer(text):
                     yield m.start(), m.end(), "address", _address_features(text, *m.span(), lang), "address"
     for m in PERSON.finditer(text):
-        for a, b in _names(text, *m.span()):
-            yield a, b, "person", _person_features(text, a, b), "person"
+        kind = int(text[m.start()] > "ɏ")
+        for a, b, left, right in _names(text, *m.span()):
+            yield a, b, "person", _person_features(text, a, b, left, right, kind), "person"
+    for m in LOWER.finditer(text):
+        if plain(m.group(1).split(" ")[0]) in GIVEN:
+            yield m.start(1), m.end(1), "person", _person_features(text, *m.span(1), 0, 0, 2), "person"
+    if not text.isascii():
+        for m in TITLED.finditer(text):
+            yield m.start(), m.end(), "person", _person_features(text, *m.span(), 0, 0, 3), "person"
 
 
 class Finder:

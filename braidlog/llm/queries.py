@@ -20,7 +20,7 @@ LIMIT, OVERLAP = 2000, 100
 
 
 def _finder(spark: SparkSession) -> Callable[[], personal.Finder]:
-    sent = spark.sparkContext.broadcast(personal_training.train())  # a few hundred leaves
+    sent = spark.sparkContext.broadcast(personal_training.load())  # a few thousand leaves, from a file
     return lambda: personal.Finder(sent.value)
 
 

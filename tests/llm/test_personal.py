@@ -10,7 +10,61 @@ from braidlog.llm.boosting import Trees
 
 @pytest.fixture(scope="module")
 def finder():
-    return p.Finder(pt.train())
+    return p.Finder(pt.load())
+
+
+# Sentences of other fields than those of the training (medicine, sports, law, farming, code), for the same makers.
+UNSEEN = {
+    "person": ["The surgeon {} was praised.", "Goal by {} in extra time.", "The court heard {} for an hour.", "Farmer {} sold two cows.", "patch submitted by {} on Friday", "We thank {} for the data.", "In 1990 {} founded the club.", "{} chaired the session.", "{} and {} shared the medal.",
+               "Die Trainerin {} kündigte.", "Zeuge {} schwieg.", "Le docteur {} opère ce soir.", "Le témoin {} n’a rien dit.", "El testigo {} calló.", "La doctora {} opera hoy.", "assignee: {}", "Kind regards, {}", "student={} grade=7"],
+    "email": ["Results go to {} only.", "bounce from {}", "The coach uses {} now.", "reply-to: {}", "Questions? {}", "login={} ok"],
+    "phone": ["The clinic answers at {}.", "Hotline {}", "Please phone {} after surgery.", "sms {} to vote", "Bitte {} anrufen.", "appeler le {}", "llamar al {}"],
+    "id": ["The witness gave social security number {}.", "ssn: {}", "DNI {} del testigo", "Personalausweis {} vorgelegt", "carte d’identité {}", "tax id {} on file"],
+    "address": ["The accident happened at {}.", "The defendant lives at {}.", "Court: {}", "Der Hof liegt in {}.", "Le cabinet est au {}.", "El juzgado está en {}."],
+}
+PLAIN = ["The Supreme Court met.", "North Sea oil fell.", "Upgrade pandas@2.1.0 today.", "Match 3-2 on 2024-05-17.", "Lot 83920175 sold.", "Build 20240517.3 passed in 1234567 ms.", "The Green Party won in Lower Saxony.", "Die Freie Stadt wuchs.", "La Cour Suprême siège.", "El Tribunal Supremo falló.", "GET /api/v2/items/12345678 200",
+         "commit 83920175 by bot", "Serial 4711-0815-1234.", "Lake Victoria is large.", "The World Health Organization met.", "Chapter 12 Court rules", "In Section 4 Paragraph 2", "Machine Learning and Data Mining", "offset 1029384756 of 9999999999", "uuid 12345678-1234-1234-1234-123456789012"]
+
+
+def unseen(m):
+    """A sentence of a template that the training lacks, with its labelled spans."""
+    if m.r.random() < 0.3:
+        return m.pick(PLAIN), []
+    kind = m.pick(sorted(UNSEEN))
+    lang = m.pick(["en", "de", "fr", "es"])
+    make = {"person": m.person, "email": m.email, "phone": m.phone, "id": lambda: m.pick([m.id_digits, m.id_lettered])(), "address": lambda: m.address(lang)}[kind]
+    head, *rest = m.pick(UNSEEN[kind]).split("{}")
+    body, spans = head, []
+    for part in rest:
+        value = make()
+        spans.append((len(body), len(body) + len(value), "id_number" if kind == "id" else kind))
+        body += value + part
+    return body, spans
+
+
+def test_accuracy_on_unseen_sentences(finder):
+    """Kinds found per sentence, on templates and decoys of other fields: recall and precision of each kind."""
+    m = pt.Maker(99)
+    hit, said, true = dict.fromkeys(p.KINDS, 0), dict.fromkeys(p.KINDS, 0), dict.fromkeys(p.KINDS, 0)
+    for _ in range(4000):
+        text, spans = unseen(m)
+        got, want = {k for *_, k in finder.spans(text)}, {k for *_, k in spans}
+        for k in p.KINDS:
+            hit[k] += k in got and k in want
+            said[k] += k in got
+            true[k] += k in want
+    figures = {k: (round(hit[k] / true[k], 3), round(hit[k] / max(1, said[k]), 3)) for k in p.KINDS}
+    print(figures)
+    assert all(r >= 0.8 and q >= 0.8 for r, q in figures.values()), figures
+
+
+def test_the_file_holds_what_training_gives():
+    """Smaller, but by the same steps: stored and restored trees score alike, and the file has all ensembles."""
+    trees = pt.train(600)
+    for name, (x, _) in pt.cases(200, 5).items():
+        again = Trees.restored(json.loads(json.dumps(trees[name].stored())))
+        assert all(abs(trees[name].score(tuple(r)) - again.score(tuple(r))) < 1e-3 for r in x.tolist()) and again.threshold == trees[name].threshold
+    assert set(pt.load()) == {"email", "phone", "number", "lettered", "address", "person"}
 
 
 def test_held_out_accuracy(finder):
@@ -18,17 +72,33 @@ def test_held_out_accuracy(finder):
     for name, (x, y) in pt.cases(2500, 4321).items():
         said = [finder.trees[name].accepts(tuple(r)) for r in x.tolist()]
         hit = sum(a and b for a, b in zip(said, y, strict=True))
-        assert hit >= 0.85 * sum(y) and hit >= (0.75 if name == "email" else 0.85) * sum(said), (name, hit, sum(y), sum(said))
+        assert hit >= 0.85 * sum(y) and hit >= 0.8 * sum(said), (name, hit, sum(y), sum(said))
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ("Contact: a@b.co", ["email"]), ("Grace Hopper and Linus Torvalds spoke.", ["person", "person"]), ("Ask Maria Lopez now.", ["person"]), ("please ask laura winter about it", ["person"]),
+    ("Автор: Иван Петров", ["person"]), ("김철수 씨가 답했다.", ["person"]), ("田中さんに聞いてください。", ["person"]), ("CPF 529.982.247-25", ["id_number"]), ("Abito in Via Garibaldi 12, 20121 Milano.", ["address"]), ("Codice RSSMRA85T10A562S", ["id_number"]),
+    ("The Supreme Court met in North Dakota.", []), ("Before Lunch we meet.", []),
+])
+def test_other_scripts_countries_and_cases(finder, text, kinds):
+    assert [k for *_, k in finder.spans(text)] == kinds
+
+
+def test_words_seldom_in_names_exclude_nothing(finder):
+    """The generators propose every stretch of a run; the trees choose."""
+    spans = [text for text in ("Ask Laura Fenmere", "Laura Fenmere", "Ask Laura")]
+    got = {"Ask Laura Fenmere"[a:b] for a, b, k, *_ in p.candidates("Ask Laura Fenmere") if k == "person"}
+    assert got == set(spans)
 
 
 @pytest.mark.parametrize("text,want", [
     ("Write to jane.doe+ci@mail.example.org today.", "Write to [EMAIL] today."),
     ("Reach me: jane [at] corp [dot] example [dot] com", "Reach me: [EMAIL]"),
-    ("Pinned cursor@0.5.13 and `@window(2)`.", "Pinned cursor@0.5.13 and `@window(2)`."),
+    ("Take lamp@0.5.13 and `@shade(2)`.", "Take lamp@0.5.13 and `@shade(2)`."),
     ("Call me on (212) 555-0101 if it stops.", "Call me on [PHONE] if it stops."),
     ("Tel.: +49 30 23125458\nDanke", "Tel.: [PHONE]\nDanke"),
-    ("The checksum is 310170573942.", "The checksum is 310170573942."),
-    ("Run 4475-8965-414 was green. Release 2026-12-28, build 33217.", "Run 4475-8965-414 was green. Release 2026-12-28, build 33217."),
+    ("The control sum is 310170573942 today.", "The control sum is 310170573942 today."),
+    ("Bus 4475-8965-414 came. Printed 2026-12-28, edition 33217.", "Bus 4475-8965-414 came. Printed 2026-12-28, edition 33217."),
     ("My social security number 666-15-1209 is in it.", "My social security number [ID_NUMBER] is in it."),
     ("mi DNI 99828217 Y", "mi DNI [ID_NUMBER]"),
     ("I live at 227 Merewick Lane, Unit A, Quillfold 05949, so", "I live at [ADDRESS], so"),
@@ -37,7 +107,7 @@ def test_held_out_accuracy(finder):
     ("J’habite 65 bis, rue des Lanternes, 99605 Verdelle.", "J’habite [ADDRESS]."),
     ("My colleague Laura Fenmere wrote it.", "My colleague [PERSON] wrote it."),
     ("Frag bitte Müller, Stefan danach.", "Frag bitte [PERSON] danach."),
-    ("Mirror Daemon and Quartz Jobs share one pool.", "Mirror Daemon and Quartz Jobs share one pool."),
+    ("Green Valley and Stone Harbour share one mayor.", "Green Valley and Stone Harbour share one mayor."),
 ])
 def test_redaction(finder, text, want):
     assert finder.redact(text)[0] == want
@@ -93,11 +163,9 @@ def test_rows_with_nulls_and_clashing_names(spark, finder):
     assert map_rows(df.where("false").select("id", "text"), make, "id bigint, kind string").collect() == []
 
 
-def test_short_json_strings_are_read(finder):
+def test_short_json_strings_are_read(finder, monkeypatch):
     """A string literal of a few characters is searched as the same text of exchanges is."""
-    short = [t for t in ("a@b.c", "a@b.co", "x@y.z", "Al Wu", "Bo Li") if finder.redact(t)[1]]
-    assert any(len(t) < 6 for t in short)
-    for t in short:
-        text = json.dumps([{"type": "text", "text": t}, "", "a"])
-        out, kinds = finder.redact_json(text)
-        assert kinds == finder.redact(t)[1] and json.loads(out)[0]["text"] == finder.redact(t)[0]
+    read = []
+    monkeypatch.setattr(finder, "spans", lambda t: read.append(t) or ([(0, len(t), "person")] if t == "Bo Li" else []))
+    assert finder.redact_json(json.dumps([{"type": "text", "text": "Bo Li"}, "a", "x@y.z"])) == ('[{"type": "text", "text": "[PERSON]"}, "a", "x@y.z"]', ["person"])
+    assert {"Bo Li", "a", "x@y.z"} <= set(read)

@@ -33,6 +33,15 @@ def test_natural_borders():
     assert all(not fenced[own:].startswith("# no") for _, own, _ in splitting.pieces(fenced))
 
 
+def test_headings_of_all_levels_and_nested_elements():
+    deep = "".join(f"#### Four {i}\n\n" + "".join(f"##### Five {i}.{k}\n\n" + "Words of a part. " * 40 + "\n\n" for k in range(3)) for i in range(4))
+    cuts = [own for _, own, _ in splitting.pieces(deep)][1:]
+    assert cuts and all(deep[c:].startswith(("#### ", "##### ")) for c in cuts) and any(deep[c:].startswith("#### ") for c in cuts)
+    page = "<body><ul>" + "".join(f"<li><p>{'item words ' * 30}</p></li>" for _ in range(20)) + "</ul><table>" + "".join(f"<tr><td>{'cell ' * 50}</td></tr>" for _ in range(20)) + "</table></body>"
+    cuts = [own for _, own, _ in splitting.pieces(page)][1:]
+    assert cuts and all(page[c:].startswith(("<li>", "<tr>", "<table>", "</ul>", "</table>")) for c in cuts), [page[c : c + 12] for c in cuts]
+
+
 def test_splitting_edges():
     assert splitting.pieces(None) == [] == splitting.pieces("")
     assert splitting.pieces("x" * 2000) == [(0, 0, 2000)] and len(splitting.pieces("x" * 2001)) == 2
