@@ -44,7 +44,7 @@ WRONG = ["cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "
 PAIRS = [("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"),
          ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "cp1250"), ("cp1250", "cp1252")]
 #: A word with signs outside ASCII, with what stands next to them.
-WORD = re.compile(r"[A-Za-z]*(?:[^\x00-\x7f]+[A-Za-z]*)+")
+WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]*+(?:[^\x00-\x7f]++[A-Za-z]*+)+")
 #: Lines of boxes, which some wrong decodings of letters look like.
 BOX = re.compile("[\u2500-\u257f]+")
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
@@ -54,6 +54,11 @@ WIDE = ["gb18030", "shift_jis", "big5", "euc_kr"]
 WIDE_READ_AS = ["cp1252", "latin_1"]
 
 
+def words_of(text: str) -> list[str]:
+    """All words with signs outside ASCII; ASCII ones are passed over before any expression sees them."""
+    return [w for part in text.replace("\n", " ").split(" ") if not part.isascii() for w in WORD.findall(part)]
+
+
 def _bytes_of(codec: str) -> dict[str, int]:
     """Character -> byte for the upper half; bytes the codec leaves undefined stand for themselves."""
     out = {}
@@ -132,6 +137,9 @@ FIRST_WIDE = len(FROM_UTF8) + len(PAIRS)
 MAYBE_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7a3\uf900-\uffef]|[\x80-\xff\u2010-\u2122\u0152-\u0192]{2}")
 
 
+BESIDE = re.compile("[^\x00-\x7f]{2}|Ã$")
+
+
 def chains(word: str, known: frozenset[str] | None = None) -> dict[tuple[int, ...], str]:
     """Chain of steps -> what it makes of ``word``, for chains that change it at every step.
 
@@ -146,7 +154,9 @@ def chains(word: str, known: frozenset[str] | None = None) -> dict[tuple[int, ..
         nxt = []
         for chain, text, other in level:
             wide = not other and known is not None and MAYBE_WIDE.search(text) is not None
-            for i in range(len(FROM_UTF8) if other else len(STEPS) if wide else FIRST_WIDE):
+            # what came from UTF-8 has at least two signs outside ASCII side by side
+            first = 0 if BESIDE.search(text) else len(FROM_UTF8)
+            for i in range(first, len(FROM_UTF8) if other else len(STEPS) if wide else FIRST_WIDE):
                 new = STEPS[i](text)
                 if new in seen:
                     continue
@@ -213,7 +223,7 @@ class Judge:
 
     def best(self, text: str) -> tuple[list[tuple[int, ...]], dict[str, str]]:
         """The chains of the shortest description of the text's words, and what they make of them."""
-        words = list(dict.fromkeys(WORD.findall(text)))
+        words = list(dict.fromkeys(words_of(text)))
         candidates = {c for w in words for c in self.suspects(w)}
         if not candidates:
             return [], {}
@@ -296,7 +306,7 @@ def dictionaries(documents: DataFrame) -> dict[str, str]:
         for b in batches:
             for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if text and not text.isascii():
-                    for w in set(WORD.findall(text)):
+                    for w in set(words_of(text)):
                         counts["", w] += 1  # texts of any language, or in several
                         if lang in sizes:
                             counts[lang, w] += 1
@@ -335,7 +345,7 @@ def garbled(documents: DataFrame) -> DataFrame:
             if text.isascii():
                 return ()
             suspect = lost = False
-            for w in set(WORD.findall(text)):
+            for w in set(words_of(text)):
                 suspect = suspect or bool(judge.suspects(w))
                 lost = lost or bool(LOST.search(w))
             new, used = judge.restore(text) if suspect else (text, [])
