@@ -1,7 +1,8 @@
 """Near-duplicate texts: a MinHash LSH forest with exact verification.
 
 1. Texts with the same sequence of words are one *class* (a hash of the words); only classes go on, so a
-   group of copies weighs as much as one text.  Copies are folded inside each task before any shuffle.
+   group of copies weighs as much as one text.  Copies are folded inside each task before any shuffle, and what several tasks
+   send of a class lies side by side in the sorted tries and is dropped there.
 2. Each class gets a sketch of its sequences and, in each of ``TREES`` prefix tries, a key of MinHash levels over
    all of them, common ones too: the similarity that the tries search by is the one that defines a pair.  The
    matched prefix is shortened until the recall at the threshold reaches ``TARGET`` (``longest`` gives that
@@ -193,15 +194,32 @@ def _in_parts(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """id, class, sketch and tree keys of every text that has sequences."""
+    """id and class of every text that has sequences; sketch and tree keys where the task meets the class first.
+
+    So a group of copies costs one sketch a task at most; the walk drops what is left of them.
+    """
+    most = 500_000
+    names = ["id", "class", "sketch", "upper", "lower"]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int16())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        met: set[int] = set()
         for ids, words in _in_parts(batches):
-            h, counts = hasher(words)
-            values = (np.ascontiguousarray(sketches_of(h, counts).T), *keys_of(h, counts))
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1))) for x in values]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([_classed(w) for w in words], pa.int64()), *lists], names=["id", "class", "sketch", "upper", "lower"])
+            classes = [_classed(w) for w in words]
+            new, old = [], []
+            for i, c in enumerate(classes):
+                (old if c in met else new).append(i)
+                met.add(c)
+            if len(met) > most:
+                met.clear()
+            if old:
+                yield pa.record_batch([pa.array([ids[i] for i in old], pa.int64()), pa.array([classes[i] for i in old], pa.int64()), *(pa.nulls(len(old), k) for k in kinds)], names=names)
+            if new:
+                h, counts = hasher([words[i] for i in new])
+                values = (np.ascontiguousarray(sketches_of(h, counts).T), *keys_of(h, counts))
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1))) for x in values]
+                yield pa.record_batch([pa.array([ids[i] for i in new], pa.int64()), pa.array([classes[i] for i in new], pa.int64()), *lists], names=names)
 
     return texts.select("id", "text").mapInArrow(run, "id bigint, class bigint, sketch array<bigint>, upper array<int>, lower array<smallint>")
 
@@ -319,6 +337,8 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = batch.filter(pa.array(np.concatenate(([True], near[:-1] | near[1:], [True]))))
         for key, *rest in zip(*(c.to_numpy().tolist() for c in batch.columns), strict=True):
             member = tuple(rest)
+            if key == deep_key and deep and deep[-1][0] == member[0]:
+                continue  # a copy from another task
             if key >> shift != shallow_key:
                 end_deep()
                 end_shallow()
@@ -379,11 +399,10 @@ def between_blocks(found: DataFrame) -> DataFrame:
 
 def candidates(sig: DataFrame) -> DataFrame:
     """Distinct pairs of classes that share a node and whose sketches agree: a < b."""
-    classes = sig.groupBy("class").agg(F.first(F.slice("sketch", 1, WALK_PLANES * WORDS)).alias("sketch"), F.first("upper").alias("upper"), F.first("lower").alias("lower"))
     words = [F.col("sketch")[i].alias(f"w{i}") for i in range(WALK_PLANES * WORDS)]
     # the tree's number, then DEEPEST levels
     key = F.expr(f"shiftleft(cast(tree as bigint), {BITS * DEEPEST}) | shiftleft(cast(top as bigint) & 4294967295, {BITS}) | (cast(lower[tree] as bigint) & 65535)")
-    keyed = classes.select(F.posexplode("upper").alias("tree", "top"), "lower", "class", "sketch").select(key.alias("key"), "class", *words)
+    keyed = sig.where("upper is not null").select(F.posexplode("upper").alias("tree", "top"), "lower", "class", "sketch").select(key.alias("key"), "class", *words)
     found = keyed.repartitionByRange(shuffle_width(sig.sparkSession), "key", "class").sortWithinPartitions("key", "class").mapInArrow(_walk, FOUND)
     found = cut(found)
     return found.where("node is null").select("a", "b").unionByName(between_blocks(found)).distinct()
@@ -397,7 +416,7 @@ def members(sig: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified pairs of classes, by the ids of their first rows: a < b, with their similarity."""
-    heads = sig.groupBy("class").agg(F.min("id").alias("first"), F.first("sketch").alias("sketch"))
+    heads = sig.groupBy("class").agg(F.min("id").alias("first"), F.first("sketch", ignorenulls=True).alias("sketch"))
     found = candidates(sig)
     named = found.join(heads.withColumnsRenamed({"class": "a", "first": "first_a", "sketch": "x"}), "a").join(heads.withColumnsRenamed({"class": "b", "first": "first_b", "sketch": "y"}), "b")
     apart = reduce(lambda p, q: p + q, [F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), [F.col("x")[i].bitwiseXOR(F.col("y")[i]) for i in range(w, PLANES * WORDS, WORDS)])) for w in range(WORDS)])
