@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,7 +33,7 @@ def tokens(text: Column, hangul: bool = True) -> Column:
 
 #: Letters with marks and their plain letters (fixed values of Latin-1 and Latin Extended-A).
 MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssss" + "ttuuuuuuuuuuwyyyzzz"
+PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 assert len(MARKED) == len(PLAIN)
 
 
@@ -177,14 +177,17 @@ def porter(word: str) -> str:
 _FOLD = str.maketrans(MARKED, PLAIN)
 _RUN = re.compile(r"[가-힣]{2,}")
 _TOKEN = re.compile(r"[^\W_]+")
+_MARKS = re.compile("(?<=[a-z])[\u0300-\u036f]+")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _analyze(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Each distinct token is stemmed once a task (a bounded cache)."""
+def analyzer(stem: bool) -> Callable[[str], list[str]]:
+    """Function that gives a text's terms: Hangul pairs and lower-case tokens; with ``stem`` folded marks and Porter stems.
+
+    Each distinct token is stemmed once per function (a bounded cache).
+    """
     seen: dict[str, str] = {}
 
-    def stem(w: str) -> str:
+    def stemmed(w: str) -> str:
         s = seen.get(w)
         if s is None:
             if len(seen) > 500_000:
@@ -196,13 +199,20 @@ def _analyze(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = m.group()
         return " " + " ".join(run[i : i + 2] for i in range(len(run) - 1)) + " "
 
-    def terms(text: str | None) -> list[str] | None:
-        if text is None:
-            return None
-        return [stem(w) for w in _TOKEN.findall(_RUN.sub(pairs, text.lower().translate(_FOLD)))]
+    def plain(text: str) -> list[str]:
+        text = text.lower()
+        return _TOKEN.findall(text if text.isascii() else _RUN.sub(pairs, text))
 
+    if not stem:
+        return plain
+    return lambda text: [stemmed(w) for w in plain(text if text.isascii() else _MARKS.sub("", text.lower().translate(_FOLD)))]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _analyze(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    terms = analyzer(True)
     for t in texts:
-        yield t.map(terms)
+        yield t.map(lambda x: None if x is None else terms(x))
 
 
 #: A plan must not fold the UDF into the lambdas that read its result.

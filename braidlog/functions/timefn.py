@@ -23,10 +23,11 @@ def strict_day(text: str) -> date:
 
 
 def midnight_millis(day: date, zone: str) -> Column:
-    """First instant of a day in a zone, over gaps of the clock too."""
-    return F.unix_millis(F.to_utc_timestamp(F.lit(day.isoformat()).cast("timestamp"), zone))
+    """First instant of a day in a zone, over gaps of the clock too, whatever the session's zone."""
+    return F.unix_millis(F.make_timestamp(F.lit(day.year), F.lit(day.month), F.lit(day.day), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"), F.lit(zone)))
 
 
 def local_day(ms: Column, zone: str = "UTC") -> Column:
-    """Day of an instant in a zone, as text."""
-    return F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), zone), "yyyy-MM-dd")
+    """Day of an instant in a zone, as text, whatever the session's zone."""
+    wall = F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(ms), zone))  # a shift of the instant, in no zone
+    return F.date_from_unix_date(F.floor(wall / 86_400_000).cast("int")).cast("string")

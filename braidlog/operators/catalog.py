@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidlog.functions.text import base_path, generation
+from braidlog.operators.exchanges import fits
 
 HEAD = 3
 
@@ -34,6 +35,26 @@ def unknown(found: DataFrame, files: DataFrame) -> DataFrame:
     return found.join(files.select("source_path"), "source_path", "left_anti").join(files.select("archive_path"), "archive_path", "left_anti")
 
 
+def opted_out(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of archives that opted out in any generation; a semi-join on the path without its generation."""
+    out = files.where("skipped").select(base_path(F.col("archive_path")).alias("base")).distinct()
+    return rows.withColumn("base", base_path(F.col("archive_path"))).join(out, "base", "left_semi").drop("base")
+
+
+def reindexed(files: DataFrame) -> DataFrame:
+    """Files that a rebuild reads again: with committed bytes, and not opted out."""
+    return files.where((F.col("end_offset") > 0) & ~F.col("skipped"))
+
+
+def get(facts: DataFrame, key: str) -> str | None:
+    """The value of a key; null where it is missing or the table can't be read."""
+    try:
+        row = facts.where(F.col("key") == key).select("value").first()
+    except Exception:
+        return None
+    return row[0] if row else None
+
+
 def relative_paths(files: DataFrame, root: str) -> DataFrame:
     """Archive paths below ``root`` made relative, unless the relative one exists already."""
     short = files.where(F.col("archive_path").startswith(root)).withColumn("short", F.substring("archive_path", len(root) + 1, 1 << 30))
@@ -86,4 +107,6 @@ def failing(checks: DataFrame) -> DataFrame:
 
 def observed(exchanges: DataFrame) -> DataFrame:
     """Figures of a sync, one row."""
-    return exchanges.agg(F.countDistinct("archive_path").alias("files_synced"), F.count("*").alias("new_exchanges"), F.sum("bad_lines").alias("bad_lines"))
+    return exchanges.agg(
+        F.countDistinct("archive_path").alias("files_synced"), F.count("*").alias("new_exchanges"), F.sum("bad_lines").alias("bad_lines"), F.count_if(~fits()).alias("oversize")
+    )

@@ -10,20 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlog.functions.text import project_of
-from braidlog.operators.providers import OPT_OUT
+from braidlog.session import cut
 
 MOST_BYTES = 262_144
 #: Lines of one file that are counted in one task.
 BLOCK = 65_536
 
 
-def segments(facts: DataFrame) -> DataFrame:
+def segments(facts: DataFrame, long: bool | None = None) -> DataFrame:
     """Line facts with the number of their exchange within the file (0: before the first).
 
-    Files are counted in blocks of ``BLOCK`` lines, each a task's work at most, and the starts in the blocks before
-    are added.  Only files of more than one block take part in that second count; where there is none, its
-    branch is empty and falls away at run time.
+    Where no file has ``BLOCK`` lines (``long`` false; null: looked up, which reads line numbers only) one window over
+    each file counts, and its partitioning serves the fold behind it.  Else files are counted in blocks of ``BLOCK`` lines,
+    each a task's work at most, and the starts in the blocks before are added; only the facts that this needs are read again.
     """
+    if long is None:
+        long = not facts.select("line").where(F.col("line") >= BLOCK).isEmpty()
+    if not long:
+        w = Window.partitionBy("archive_path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return facts.withColumn("segment", F.sum(F.when(F.col("start_text").isNotNull(), 1).otherwise(0)).over(w))
     key = ["archive_path", "block"]
     df = facts.withColumn("block", F.floor(F.col("line") / BLOCK))
     is_start = F.when(F.col("start_text").isNotNull(), 1).otherwise(0)
@@ -47,9 +52,9 @@ def _ordered(column: str) -> Column:
     return F.flatten(F.transform(rows, lambda r: r["x"]))
 
 
-def folded(facts: DataFrame) -> DataFrame:
+def folded(facts: DataFrame, long: bool | None = None) -> DataFrame:
     """All exchanges, unanswered ones too: bounds, texts, distinct tools in first-seen order."""
-    seg = segments(facts).where("segment > 0")
+    seg = segments(facts, long).where("segment > 0")
     out = seg.groupBy("archive_path", "segment").agg(
         F.min("line").alias("line_start"),
         F.max("line").alias("line_end"),
@@ -70,16 +75,36 @@ def answered(exchanges: DataFrame) -> DataFrame:
     return exchanges.where((F.col("assistant_message") != "") | (F.size("tool_names") > 0))
 
 
-def indexed(exchanges: DataFrame, meta: DataFrame, harness: str, marker: str = OPT_OUT, skipped: DataFrame | None = None) -> DataFrame:
+def opted_out(exchanges: DataFrame, marker: str) -> DataFrame:
+    """Archive paths with an exchange whose user message holds the marker; a mere part of it in a quotation doesn't count."""
+    return exchanges.where(F.contains("user_message", F.lit(marker))).select("archive_path").distinct()
+
+
+def purged(exchanges: DataFrame, marker: str, skipped: DataFrame | None = None) -> DataFrame:
+    """Exchanges without those of files that opted out, now or (``skipped``) before."""
+    out = opted_out(exchanges, marker)
+    if skipped is not None:
+        out = out.unionByName(skipped.select("archive_path")).distinct()
+    return exchanges.join(out, "archive_path", "left_anti")
+
+
+def fits(most: int = MOST_BYTES) -> Column:
+    """Whether neither message has more than ``most`` bytes; a missing answer has none."""
+    return (F.octet_length("user_message") <= most) & (F.coalesce(F.octet_length("assistant_message"), F.lit(0)) <= most)
+
+
+def byte_starts(lines: DataFrame, text: str) -> DataFrame:
+    """Lines of files with ``byte_start``, the bytes of all lines before in the file, line feeds included."""
+    w = Window.partitionBy("archive_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("byte_start", F.coalesce(F.sum(F.octet_length(text) + 1).over(w), F.lit(0)))
+
+
+def indexed(exchanges: DataFrame, meta: DataFrame, harness: str, marker: str, skipped: DataFrame | None = None) -> DataFrame:
     """Answered exchanges with the facts of their file, without oversized ones and files that opted out.
 
     ``skipped``: archive paths known to have opted out before; opting out is for good.
     """
-    out = exchanges.where(F.contains("user_message", F.lit(marker))).select("archive_path").distinct()
-    if skipped is not None:
-        out = out.unionByName(skipped.select("archive_path")).distinct()
-    fit = (F.octet_length("user_message") <= MOST_BYTES) & (F.octet_length("assistant_message") <= MOST_BYTES)
-    kept = answered(exchanges).where(fit).join(out, "archive_path", "left_anti")
+    kept = answered(purged(exchanges, marker, skipped)).where(fits())
     kept = kept.join(meta.select("archive_path", "session_id", "cwd", "is_sidechain"), "archive_path", "left")
     return kept.select(
         "archive_path", "line_start", "line_end", "session_id", project_of(F.col("cwd")).alias("project"), F.lit(harness).alias("harness"), F.coalesce("is_sidechain", F.lit(False)).alias("is_sidechain"), "ts", "user_message", "assistant_message", "tool_names"
@@ -89,10 +114,11 @@ def indexed(exchanges: DataFrame, meta: DataFrame, harness: str, marker: str = O
 def numbered(exchanges: DataFrame, after: int = 0) -> DataFrame:
     """With ids above ``after`` in the order of (archive_path, line_start): newer ones are larger.
 
-    Numbers come from a range sort and counts per partition; nothing is gathered into one task.
+    Numbers come from a range sort and counts per partition; nothing is gathered into one task.  The sorted rows are
+    written before they are counted, so a partition lost and computed again keeps its numbers.
     """
     order = ["archive_path", "line_start"]
-    ranged = exchanges.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged = cut(exchanges.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     local = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     counts = local.groupBy("part").agg(F.max("n").alias("size"))
     offsets = counts.withColumn("offset", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")

@@ -1,18 +1,17 @@
-"""Full text: postings, document frequencies, pruning of common tokens, BM25.
+"""Parts of full-text search: query tokens, document frequencies, the BM25 formula, top lists.
 
-A query of few tokens needs no inverted index: one scan counts its tokens in each text (``matched``), and
-one global aggregation gives the corpus figures.  For many queries, or a kept index, ``postings`` holds
-(term, id, tf) and ``lengths`` (id, dl), written range-partitioned by term so that a lookup skips row groups.
+The kept index that uses them is in ``operators.index``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidlog.functions.text import tokens
+from braidlog.functions.text import analyzer, tokens
 
 K1, B, COMMON_SHARE, DIGITS = 1.2, 0.75, 0.2, 9
 
@@ -25,48 +24,7 @@ class Token:
 
 def query_tokens(query: str) -> list[Token]:
     """Distinct tokens of a query in order; a single Hangul syllable stands for its prefix."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    words = spark.range(1).select(tokens(F.lit(query))).first()[0]
-    return [Token(w, prefix=len(w) == 1 and "가" <= w <= "힣") for w in dict.fromkeys(words)]
-
-
-def _hits(words: Column, t: Token) -> Column:
-    same = (lambda w: w.startswith(t.text)) if t.prefix else (lambda w: w == t.text)
-    return F.size(F.filter(words, same))
-
-
-def matched(texts: DataFrame, query: list[Token], analyzer=tokens, text: str = "text") -> DataFrame:
-    """All rows of ``texts`` (other columns kept) with ``dl`` and one count per token, tf0, tf1, ..."""
-    words = analyzer(F.col(text))
-    df = texts.withColumn("words", words)
-    out = df.withColumns({"dl": F.size("words"), **{f"tf{i}": _hits(F.col("words"), t) for i, t in enumerate(query)}})
-    return out.drop("words", text)
-
-
-@dataclass(frozen=True)
-class Plan:
-    """What the planner keeps of a query: positions of tokens, their frequencies, and the corpus figures."""
-
-    kept: list[int]
-    df: list[int]
-    total: int
-    avgdl: float
-
-
-def plan(counts: DataFrame, query: list[Token]) -> Plan:
-    """Drop tokens that more than a fifth of all texts hold; if nothing kept matches, restore the rarest.
-
-    One aggregation over all texts, whatever filters a search adds.
-    """
-    row = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"d{i}") for i in range(len(query))]).first()
-    total, df = row["n"], [row[f"d{i}"] for i in range(len(query))]
-    kept = [i for i, t in enumerate(query) if t.prefix or total == 0 or df[i] <= COMMON_SHARE * total]
-    dropped = [i for i in range(len(query)) if i not in kept]
-    if dropped and not any(query[i].prefix or df[i] > 0 for i in kept):
-        kept.append(min(dropped, key=lambda i: (df[i], i)))
-    return Plan(sorted(kept), df, total, float(row["avgdl"] or 0))
+    return [Token(w, prefix=len(w) == 1 and "가" <= w <= "힣") for w in dict.fromkeys(analyzer(False)(query))]
 
 
 def weight(n: Column | int, total: Column | int) -> Column:
@@ -80,54 +38,24 @@ def term_score(idf: Column, tf: Column, dl: Column, avgdl: Column | float) -> Co
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(counts: DataFrame, p: Plan) -> DataFrame:
-    """Rows with at least one kept token, with their score, rounded so that ranks are stable."""
-    if not p.kept:
-        return counts.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    some = F.lit(False)
-    score = F.lit(0.0)
-    for i in p.kept:
-        some = some | (F.col(f"tf{i}") > 0)
-        score = score + term_score(weight(p.df[i], p.total), F.col(f"tf{i}").cast("double"), F.col("dl"), p.avgdl)
-    return counts.where(some).withColumn("score", F.round(score, DIGITS))
-
-
 def top(scored: DataFrame, n: int, score: str = "score", key: str = "id") -> DataFrame:
     """The best ``n`` rows, ties by the smaller key, with their rank."""
     best = scored.orderBy(F.desc(score), F.asc(key)).limit(n)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc(key))))  # n rows
 
 
-def postings(texts: DataFrame, analyzer=tokens, key: str = "id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf) of all texts, or only of the terms in ``terms``; repeats in a text are added up before the shuffle.
-
-    With ``terms`` nothing else of a text is shuffled, which is the way for a batch of queries without an index.
-    """
-    words = texts.select(F.col(key).alias("id"), F.explode(analyzer(F.col(text))).alias("term"))
-    if terms is not None:
-        words = words.join(terms.select("term").distinct(), "term", "left_semi")
-    return words.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"))
-
-
-def lengths(texts: DataFrame, analyzer=tokens, key: str = "id", text: str = "text") -> DataFrame:
-    return texts.select(F.col(key).alias("id"), F.size(analyzer(F.col(text))).alias("dl"))
-
+def frequencies(texts: DataFrame, words: Callable[[Column], Column] = tokens, key: str = "id", text: str = "text") -> DataFrame:
+    """Number of texts per term; repeats within a text are dropped where it is read, so one shuffle carries partial sums."""
+    return texts.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-def frequencies(index: DataFrame) -> DataFrame:
-    """Number of texts per term."""
-    return index.groupBy("term").agg(F.count("*").alias("df"))
 
+def common(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """Terms that more than ``COMMON_SHARE`` of all texts have."""
+    total = texts.count()
+    return frequencies(texts, key=key, text=text).where(F.col("df") > COMMON_SHARE * total)
 
-def batched_bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """Many queries in one job: ``queries`` (query_id, term), distinct pairs -> the best ``n`` ids of each.
 
-    Postings meet the query terms on the term; scores add up per query and id.
-    """
-    total, avgdl = sizes.agg(F.count("*").cast("double"), F.avg("dl")).first()
-    df = frequencies(index.join(queries.select("term").distinct(), "term", "left_semi"))
-    hits = queries.join(df, "term").join(index, "term").join(sizes, "id")
-    hits = hits.where(F.col("df") <= COMMON_SHARE * total)
-    part = term_score(weight(F.col("df").cast("double"), total), F.col("tf").cast("double"), F.col("dl"), avgdl or 0.0)
-    scored = hits.withColumn("part", part).groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def beginning_with(texts: DataFrame, prefix: str, key: str = "id", text: str = "text") -> DataFrame:
+    """id, tf, terms of the texts that have tokens with a prefix: how many, and how many different ones."""
+    words = texts.select(F.col(key).alias("id"), F.filter(tokens(F.col(text)), lambda w: w.startswith(prefix)).alias("ws"))
+    return words.where(F.size("ws") > 0).select("id", F.size("ws").cast("long").alias("tf"), F.size(F.array_distinct("ws")).cast("long").alias("terms"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, KEYWORD, VECTOR, PENALTY = 60, 0.4, 0.6, 0.9
@@ -13,6 +13,16 @@ BONUS = {1: 0.01, 2: 0.005, 3: 0.0025}
 BEST = KEYWORD / (K + 1) + BONUS[1] + VECTOR / (K + 1)
 
 
+def ranked_again(rows: DataFrame, by: str) -> DataFrame:
+    """Ranks of what is left of a list of retrieved rows."""
+    return rows.drop("rank").withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.asc("id"))))  # as few rows as were retrieved
+
+
+def without_session(rows: DataFrame, exchanges: DataFrame, session: str | None) -> DataFrame:
+    """Retrieved rows without those of the asking session; rows without a session stay."""
+    return rows if session is None else rows.join(exchanges.where(F.col("session_id") == session).select("id"), "id", "left_anti")
+
+
 def keyword_part(rank: Column) -> Column:
     bonus = F.when(rank == 1, BONUS[1]).when(rank == 2, BONUS[2]).when(rank == 3, BONUS[3]).otherwise(0.0)
     return F.lit(KEYWORD) / (rank + K) + bonus
@@ -24,10 +34,8 @@ def vector_part(rank: Column) -> Column:
 
 def floored(near: DataFrame, keyword: DataFrame, floor: float) -> DataFrame:
     """Neighbours above the floor, or in the keyword list; ranked again."""
-    from pyspark.sql import Window
-
-    kept = near.join(keyword.select("id", F.lit(True).alias("kw")), "id", "left").where((F.col("cos") >= floor) | F.col("kw")).drop("kw", "rank")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), F.asc("id"))))  # as few rows as were retrieved
+    kept = near.join(keyword.select("id", F.lit(True).alias("kw")), "id", "left").where((F.col("cos") >= floor) | F.col("kw")).drop("kw")
+    return ranked_again(kept, "cos")
 
 
 def fused(keyword: DataFrame | None, near: DataFrame | None) -> DataFrame:

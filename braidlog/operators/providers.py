@@ -20,7 +20,6 @@ NOT_TYPED_A = ["[Request interrupted by user", "<local-command-", "<bash-stdout>
 NOT_TYPED_B = ["# AGENTS.md instructions", "<environment_context>", "<codex_internal_context>", "<user_instructions>", "<recommended_plugins>", "<skill>"]
 #: The tool whose input is the final answer of a subagent, and the name of shell calls, which have none.
 HANDBACK, SHELL = "SubagentHandback", "local_shell"
-OPT_OUT = "DO NOT INDEX THIS CHAT"
 TEXT_BYTES, TOOL_BYTES = 16_384, 4_096
 #: The path part that marks a subagent's file.
 SUBAGENTS = "subagents"

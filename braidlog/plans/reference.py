@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlog.functions import text as tx
-from braidlog.functions.timefn import local_day, midnight_millis, strict_day
+from braidlog.functions.timefn import local_day
 from braidlog.operators import catalog, fulltext, fusion, reading, vectors
 from braidlog.operators import exchanges as ex
 from braidlog.operators import providers as pv
 from braidlog.plans import views as v
+from braidlog.search import chosen
 from braidlog.session import shared_path
 from braidlog.sources.tables import table
 
@@ -55,9 +56,13 @@ def exchange_fold_b(s: Spark, d: str) -> DataFrame:
 
 
 def index_build(s: Spark, d: str) -> DataFrame:
-    """The index of provider A: ids, file facts, opt-outs and oversize applied."""
+    """The index of both providers: ids, file facts, opt-outs and oversize applied."""
     facts = _facts_a(s, d)
-    return ex.numbered(ex.indexed(ex.folded(facts), pv.meta_a(facts), "claude", MARK)).select("id", "archive_path", "line_start", "session_id", "project", "is_sidechain")
+    lines = pv.parsed(v.raw_b(s, d))
+    meta = pv.meta_b(lines)
+    a = ex.indexed(ex.folded(facts), pv.meta_a(facts), "claude", MARK)
+    b = ex.indexed(ex.folded(pv.facts_b(lines, meta)), meta, "codex", MARK)
+    return ex.numbered(a.unionByName(b)).select("id", "archive_path", "line_start", "session_id", "project", "harness", "is_sidechain")
 
 
 def resume_point(s: Spark, d: str) -> DataFrame:
@@ -65,9 +70,8 @@ def resume_point(s: Spark, d: str) -> DataFrame:
 
 
 def line_byte_offsets(s: Spark, d: str) -> DataFrame:
-    w = Window.partitionBy("archive_path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     rows = v.once(table(s, d, "claude").select("archive_path", "line", "row_id", "content"))
-    return rows.select("archive_path", "line", F.coalesce(F.sum(F.octet_length("content") + 1).over(w), F.lit(0)).alias("byte_start"))
+    return ex.byte_starts(rows, "content").select("archive_path", "line", "byte_start")
 
 
 def file_meta_first_nonnull(s: Spark, d: str) -> DataFrame:
@@ -100,27 +104,22 @@ def streaming_exchanges(s: Spark, d: str) -> DataFrame:
 
 
 def filter_project_date(s: Spark, d: str) -> DataFrame:
-    t = table(s, d, "exchanges")
-    day = strict_day(BEFORE)
-    nxt = day.fromordinal(day.toordinal() + 1)
-    return t.where((F.col("project") == "birch-cache") & (F.col("ts") >= midnight_millis(strict_day(AFTER), ZONE)) & (F.col("ts") < midnight_millis(nxt, ZONE))).select("id", "project", "ts")
+    return table(s, d, "exchanges").where(chosen("birch-cache", AFTER, BEFORE, ZONE)).select("id", "project", "ts")
 
 
 def exclude_session(s: Spark, d: str) -> DataFrame:
+    """The newest exchanges without those of the session of the newest one."""
     t = table(s, d, "exchanges").select("id", "session_id", "ts")
-    best = t.orderBy(F.desc("ts"), "id").limit(DEPTH)
-    mine = t.where(F.col("session_id").isNotNull()).orderBy(F.desc("ts"), "id").limit(1).select("session_id")
-    return best.join(mine, best.session_id.eqNullSafe(mine.session_id), "left_anti").select("id", "session_id")
+    mine = t.where(F.col("session_id").isNotNull()).orderBy(F.desc("ts"), "id").first()
+    return fusion.without_session(t.orderBy(F.desc("ts"), "id").limit(DEPTH), t, mine["session_id"] if mine else None).select("id", "session_id")
 
 
 def opt_out_purge(s: Spark, d: str) -> DataFrame:
-    t = table(s, d, "exchanges").select("id", "archive_path", "user_message")
-    return t.join(t.where(F.contains("user_message", F.lit(MARK))).select("archive_path").distinct(), "archive_path", "left_anti").select("id", "archive_path")
+    return ex.purged(table(s, d, "exchanges").select("id", "archive_path", "user_message"), MARK).select("id", "archive_path")
 
 
 def oversize_drop(s: Spark, d: str) -> DataFrame:
-    t = table(s, d, "exchanges")
-    return t.where((F.octet_length("user_message") > 8192) | (F.octet_length("assistant_message") > 8192)).select("id", F.octet_length("user_message").cast("long").alias("n_bytes"))
+    return table(s, d, "exchanges").where(~ex.fits(8192)).select("id", F.octet_length("user_message").cast("long").alias("n_bytes"))
 
 
 # ---- tokens and full text -------------------------------------------------------------------------
@@ -141,40 +140,29 @@ def hangul_bigrams(s: Spark, d: str) -> DataFrame:
 
 
 def strip_diacritics_tokens(s: Spark, d: str) -> DataFrame:
-    df = table(s, d, "documents").where("lang in ('fr', 'es', 'de')")
-    return df.select(F.col("doc_id").alias("id"), F.md5(F.array_join(tx.tokens(tx.fold_marks(F.regexp_replace("text", "[^ -~à-öø-ÿ]", " ")), hangul=False), " ")).alias("digest"))
-
-
-def strip_diacritics_tokens_all(s: Spark, d: str) -> DataFrame:
     """Folded tokens of whole texts in all languages; without SQL, as DuckDB folds other letters too."""
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.array_join(tx.tokens(tx.fold_marks(F.col("text")), hangul=False), " ")).alias("digest"))
 
 
 def token_df(s: Spark, d: str) -> DataFrame:
-    return fulltext.frequencies(fulltext.postings(table(s, d, "documents"), key="doc_id"))
+    return fulltext.frequencies(table(s, d, "documents"), key="doc_id")
 
 
 def prune_common_tokens(s: Spark, d: str) -> DataFrame:
-    index = fulltext.frequencies(fulltext.postings(table(s, d, "documents"), key="doc_id"))
-    total = table(s, d, "documents").count()
-    return index.where(F.col("df") > fulltext.COMMON_SHARE * total)
+    return fulltext.common(table(s, d, "documents"), key="doc_id")
 
 
 def prefix_match(s: Spark, d: str) -> DataFrame:
-    words = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.filter(tx.tokens(F.col("text")), lambda w: w.startswith("che"))).alias("term"))
-    index = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return index.groupBy("id").agg(F.sum("tf").alias("tf"), F.count("*").alias("terms"))
+    return fulltext.beginning_with(table(s, d, "documents"), "che", key="doc_id")
 
 
-def _counts(s: Spark, d: str, query: str = QUERY) -> tuple[DataFrame, list]:
-    q = fulltext.query_tokens(query)
-    return fulltext.matched(v.docs(s, d).select("id", "archive_path", "project", "is_sidechain", "ts", "text"), q), q
+def text_index_build(s: Spark, d: str) -> DataFrame:
+    """The kept index of all documents (built once per application): each term with its number of texts."""
+    return v.text_index(s, d).terms
 
 
-def _keyword(s: Spark, d: str, n: int = DEPTH, keep=None, query: str = QUERY) -> DataFrame:
-    counts, q = _counts(s, d, query)
-    plan = fulltext.plan(counts, q)
-    return fulltext.top(fulltext.bm25(counts if keep is None else counts.where(keep), plan), n).select("id", "score", "rank")
+def _keyword(s: Spark, d: str, n: int = DEPTH, keep: Column | None = None, query: str = QUERY) -> DataFrame:
+    return v.text_index(s, d).best(query, n, keep)
 
 
 def bm25_topk(s: Spark, d: str) -> DataFrame:
@@ -186,9 +174,8 @@ def bm25_filtered(s: Spark, d: str) -> DataFrame:
 
 
 def porter_bm25(s: Spark, d: str) -> DataFrame:
-    q = [fulltext.Token(tx.porter(t.text)) for t in fulltext.query_tokens(QUERY)]
-    counts = fulltext.matched(v.docs(s, d).select("id", "text"), q, tx.analyzed)
-    return fulltext.top(fulltext.bm25(counts, fulltext.plan(counts, q)), DEPTH).select("id", "score", "rank")
+    """As bm25_topk, by the index with folded marks and stems; without SQL, as DuckDB has no stemmer here."""
+    return v.text_index(s, d, True).best(QUERY, DEPTH).withColumn("rank", F.col("rank").cast("long"))
 
 
 def keyword_only_search(s: Spark, d: str) -> DataFrame:
@@ -197,12 +184,9 @@ def keyword_only_search(s: Spark, d: str) -> DataFrame:
 
 
 def search_many(s: Spark, d: str) -> DataFrame:
-    """Twenty queries from the first words of the test items, in one job."""
-    items = table(s, d, "eval_items").where("item_id % 8 = 0")
-    terms = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    t = table(s, d, "documents")
-    best = fulltext.batched_bm25(fulltext.postings(t, key="doc_id", terms=terms), fulltext.lengths(t, key="doc_id"), terms, 5)
-    return best.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    """The test items whose id is divisible by 20 as queries against all documents, in one job."""
+    items = table(s, d, "eval_items").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return v.text_index(s, d).best_of_many(items, 5).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # ---- vectors and fusion ---------------------------------------------------------------------------
@@ -221,6 +205,12 @@ def knn_filtered(s: Spark, d: str) -> DataFrame:
     return _near(s, d, keep=F.col("project") == "label_3").select("id", "cos", F.col("rank").cast("long").alias("rank"))
 
 
+def knn_many(s: Spark, d: str) -> DataFrame:
+    """The ten nearest of all vectors to each vector whose id is divisible by 20."""
+    t = v.vecs(s, d)
+    return vectors.nearest_of_many(t, t.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), LIMIT).withColumn("rank", F.col("rank").cast("long"))
+
+
 def knn_floor_or_keyword(s: Spark, d: str) -> DataFrame:
     return fusion.floored(_near(s, d, 300), _keyword(s, d), FLOOR).select("id", "cos", F.col("rank").cast("long").alias("rank"))
 
@@ -250,12 +240,16 @@ def hybrid_search(s: Spark, d: str) -> DataFrame:
 
 
 def multi_concept_and(s: Spark, d: str) -> DataFrame:
+    """Conversations that both concepts hit, by keywords or by vectors."""
     parts = None
     t = v.docs(s, d).select("id", "archive_path", "is_sidechain")
     for i, c in enumerate(CONCEPTS):
-        one = fusion.penalised(fusion.fused(_keyword(s, d, 300, query=c), None).join(t, "id")).select(F.lit(i).alias("concept"), "archive_path", "id", "raw", "kw")
+        keyword = _keyword(s, d, 300, query=c)
+        near = fusion.floored(vectors.nearest(v.vecs(s, d).select("id", "embedding"), v.vector_of(s, d, i), 300), keyword, FLOOR)
+        one = fusion.penalised(fusion.fused(keyword, near).join(t, "id")).select(F.lit(i).alias("concept"), "archive_path", "id", "raw", "kw")
         parts = one if parts is None else parts.unionByName(one)
-    return fusion.all_concepts(parts, len(CONCEPTS)).select("archive_path", "id", F.round(fusion.scaled(F.col("raw")), 9).alias("score"))
+    best = fusion.all_concepts(parts, len(CONCEPTS))
+    return best.select("archive_path", "id", F.round(fusion.scaled(F.col("raw")), 9).alias("score"), "kw")
 
 
 def pending_embeddings(s: Spark, d: str) -> DataFrame:
@@ -263,8 +257,10 @@ def pending_embeddings(s: Spark, d: str) -> DataFrame:
 
 
 def hashed_embedding(s: Spark, d: str) -> DataFrame:
-    e = vectors.embed(64)(F.col("text"))
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.size(e).alias("dim"), F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
+    """Vectors of 384 numbers of all documents; their digest, size and length."""
+    e = vectors.embed(384)(F.col("text"))
+    df = table(s, d, "documents").select(F.col("doc_id").alias("id"), e.alias("e"))
+    return df.select("id", F.size("e").alias("dim"), F.md5(F.array_join(F.transform("e", lambda x: F.round(x.cast("double"), 4).cast("string")), " ")).alias("digest"), F.round(F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"))
 
 
 def embedding_text(s: Spark, d: str) -> DataFrame:
@@ -276,13 +272,7 @@ def embedding_text(s: Spark, d: str) -> DataFrame:
 
 
 def snippet_cards(s: Spark, d: str) -> DataFrame:
-    t = table(s, d, "exchanges")
-    cut = lambda c: tx.one_line(F.regexp_replace(tx.first_chars(F.coalesce(F.col(c), F.lit("")), 200), "[^ -~\n\t]", "?"))
-    return t.where("ts > 0").select("id", "project", local_day(F.col("ts")).alias("day"), cut("user_message").alias("user_line"), cut("assistant_message").alias("assistant_line"))
-
-
-def snippet_cards_all(s: Spark, d: str) -> DataFrame:
-    """Cards of all rows with all their letters; without SQL, as DuckDB's white space is ASCII only."""
+    """Cards of all rows with all their letters."""
     cut = lambda c: tx.one_line(tx.first_chars(F.coalesce(F.col(c), F.lit("")), 200))
     return table(s, d, "exchanges").select("id", "project", local_day(F.col("ts")).alias("day"), cut("user_message").alias("user_line"), cut("assistant_message").alias("assistant_line"))
 
@@ -313,8 +303,7 @@ def truncate_chars(s: Spark, d: str) -> DataFrame:
 
 
 def truncate_bytes(s: Spark, d: str) -> DataFrame:
-    cut = tx.cut_bytes(F.col("text"), 1000)
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.octet_length(cut).cast("long").alias("n_bytes"), F.col("text").startswith(F.regexp_replace(cut, "…\\[truncated\\]$", "")).alias("is_prefix"))
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.md5(tx.cut_bytes(F.col("text"), 1000)).alias("digest"))
 
 
 # ---- JSON -----------------------------------------------------------------------------------------
@@ -380,8 +369,12 @@ def health_checks(s: Spark, d: str) -> DataFrame:
 
 def skipped_archives(s: Spark, d: str) -> DataFrame:
     """Exchanges whose archive, in any generation, opted out."""
-    out = table(s, d, "files").where("skipped").select(tx.base_path(F.col("archive_path")).alias("base")).distinct()
-    return table(s, d, "exchanges").withColumn("base", tx.base_path(F.col("archive_path"))).join(out, "base", "left_semi").select("id", "archive_path")
+    return catalog.opted_out(table(s, d, "exchanges").select("id", "archive_path"), table(s, d, "files"))
+
+
+def reindex_candidates(s: Spark, d: str) -> DataFrame:
+    files = catalog.latest(table(s, d, "files"), "source_path", "mtime", "generation", "end_offset")
+    return catalog.reindexed(files).select("source_path", "archive_path", "end_offset")
 
 
 # ---- extensions: not part of the reference ---------------------------------------------------------
@@ -408,9 +401,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         exchange_fold, exchange_drop_unanswered, exchange_tools_ordered_distinct, exchange_fold_b, index_build, resume_point, line_byte_offsets, file_meta_first_nonnull, signal_max_rank, bad_lines_per_file, sync_stats, streaming_exchanges,
-        filter_project_date, exclude_session, opt_out_purge, oversize_drop, tokenize, hangul_bigrams, strip_diacritics_tokens, strip_diacritics_tokens_all, token_df, prune_common_tokens, prefix_match, bm25_topk, bm25_filtered, porter_bm25, keyword_only_search, search_many,
-        knn_topk, knn_filtered, knn_floor_or_keyword, vector_only_search, rrf_fusion, rrf_sidechain_penalty, hybrid_search, multi_concept_and, pending_embeddings, hashed_embedding, embedding_text, snippet_cards, snippet_cards_all, read_range, read_page_budget, rendered_lines,
-        truncate_chars, truncate_bytes, json_line_facts, content_dispatch, latest_upsert, delete_suffix, generation_current, discovered_left_join_files, already_known, not_exists_relative_paths, project_from_cwd, health_counts, health_checks, skipped_archives,
+        filter_project_date, exclude_session, opt_out_purge, oversize_drop, tokenize, hangul_bigrams, strip_diacritics_tokens, token_df, prune_common_tokens, prefix_match, text_index_build, bm25_topk, bm25_filtered, porter_bm25, keyword_only_search, search_many,
+        knn_topk, knn_filtered, knn_many, knn_floor_or_keyword, vector_only_search, rrf_fusion, rrf_sidechain_penalty, hybrid_search, multi_concept_and, pending_embeddings, hashed_embedding, embedding_text, snippet_cards, read_range, read_page_budget, rendered_lines,
+        truncate_chars, truncate_bytes, json_line_facts, content_dispatch, latest_upsert, delete_suffix, generation_current, discovered_left_join_files, already_known, not_exists_relative_paths, project_from_cwd, health_counts, health_checks, skipped_archives, reindex_candidates,
         ext_session_window_events, ext_tumbling_window_events, ext_rollup_corpus,
     )
 }
@@ -432,9 +425,17 @@ cutu AS (SELECT archive_path, line, """ + ", ".join(
 _BLOCK = "CASE WHEN u IS NULL THEN '' ELSE 'L' || line || ' **User:** ' || u || chr(10) || chr(10) END || CASE WHEN coalesce(a, '') = '' THEN '' ELSE 'L' || line || ' **Assistant:** ' || a || chr(10) || chr(10) END"
 
 
+def _one_line(column: str) -> str:
+    """SQL for the first 200 letters of a column in one line; white space as Unicode has it."""
+    space = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+".replace(r"\x{1c}-\x{1f}", "")
+    return f"trim(regexp_replace(substr(coalesce({column}, ''), 1, 200), '{space}', ' ', 'g'))"
+
+
 def _concept(i: int, q: str) -> str:
-    inner = v.sql_bm25(q.split(), n=300)
-    return f"SELECT {i} concept, d.archive_path, d.id, {_PEN} raw FROM (SELECT id, 0.4::DOUBLE / (rank + 60) + {_BONUS} raw FROM (WITH {v.DOCS}, {inner} SELECT * FROM bm)) x JOIN (SELECT doc_id id, source archive_path, coalesce(doc_id % 5 = 0, false) is_sidechain FROM documents) d USING (id)"
+    """SQL for one concept's list: keywords and vectors, floor, fusion, penalty."""
+    fused = _PARTS.format(near="fl")
+    return f"""SELECT {i} concept, d.archive_path, d.id, {_PEN} raw, kw FROM (SELECT id, sum(part) raw, bool_or(kw) kw FROM (WITH {v.DOCS}, {v.VECS}, {v.sql_bm25(q.split(), n=300)}, {v.sql_knn(n=300, vec_id=i)}, {_FLOOR} {fused}) GROUP BY id) x
+JOIN (SELECT doc_id id, source archive_path, coalesce(doc_id % 5 = 0, false) is_sidechain FROM documents) d USING (id)"""
 
 
 # provider B: lines, signals, facts and fold in SQL
@@ -469,6 +470,15 @@ eb AS (SELECT archive_path, line_start, line_end, user_message, CASE WHEN a <> '
 _WIN = "PARTITION BY archive_path ORDER BY line"
 
 ORACLE = {
+    "index_build": f"""WITH {v.FOLD_A}, {_FOLD_B},
+ma AS (SELECT archive_path, arg_min(sessionId, line) FILTER (j IS NOT NULL AND sessionId IS NOT NULL) session_id, arg_min(cwd, line) FILTER (j IS NOT NULL AND cwd IS NOT NULL) cwd,
+  list_contains(string_split(archive_path, '/'), 'subagents') OR coalesce(arg_min(isSidechain, line) FILTER (j IS NOT NULL AND isSidechain IS NOT NULL), false) is_sidechain FROM ja GROUP BY archive_path),
+hb AS (SELECT archive_path, CASE WHEN json_type(p, '$.id') = 'VARCHAR' THEN json_extract_string(p, '$.id') END session_id, CASE WHEN json_type(p, '$.cwd') = 'VARCHAR' THEN json_extract_string(p, '$.cwd') END cwd, coalesce(json_type(p, '$.source.subagent') <> 'NULL', false) is_sidechain
+  FROM lb WHERE type = 'session_meta' AND p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY archive_path ORDER BY line) = 1),
+al AS (SELECT archive_path, line_start, user_message, assistant_message, tools, session_id, cwd, 'claude' harness, coalesce(is_sidechain, false) is_sidechain FROM ea LEFT JOIN ma USING (archive_path)
+  UNION ALL SELECT archive_path, line_start, user_message, assistant_message, tools, session_id, cwd, 'codex', coalesce(is_sidechain, false) FROM eb LEFT JOIN hb USING (archive_path))
+SELECT row_number() OVER (ORDER BY archive_path, line_start) id, archive_path, line_start, session_id, coalesce(list_filter(string_split(cwd, '/'), lambda x: x <> '')[-1], 'unknown') project, harness, is_sidechain FROM al
+WHERE (assistant_message <> '' OR tools <> '') AND strlen(user_message) <= 262144 AND strlen(assistant_message) <= 262144 AND archive_path NOT IN (SELECT archive_path FROM al WHERE contains(user_message, '{MARK}'))""",
     "exchange_fold_b": f"WITH {_FOLD_B} SELECT * FROM eb WHERE assistant_message <> '' OR tools <> ''",
     "signal_max_rank": f"WITH {_FOLD_B} SELECT archive_path, signal, nullif(session_id, '') session_id FROM mb",
     "hangul_bigrams": f"SELECT doc_id id, md5({v.sql_hangul('text')}) digest FROM documents WHERE regexp_matches(text, '[가-힣]')",
@@ -482,7 +492,7 @@ SELECT archive_path, line, md5(y) digest, nullif(arg_max(CASE WHEN nxt IS NULL T
     "exchange_tools_ordered_distinct": f"WITH {v.FOLD_A} SELECT archive_path, line_start, tools FROM ea WHERE tools <> ''",
     "resume_point": f"WITH {v.FOLD_A} SELECT archive_path, max(line_start) reparse_line FROM ea GROUP BY 1",
     "bad_lines_per_file": f"WITH {v.FOLD_A} SELECT archive_path, count(*) FILTER (is_bad) bad_lines FROM fa GROUP BY 1 HAVING count(*) FILTER (is_bad) > 0",
-    "sync_stats": f"WITH {v.FOLD_A} SELECT count(DISTINCT archive_path) files_synced, count(*) new_exchanges, sum(bad_lines)::BIGINT bad_lines FROM ea WHERE assistant_message <> '' OR tools <> ''",
+    "sync_stats": f"WITH {v.FOLD_A} SELECT count(DISTINCT archive_path) files_synced, count(*) new_exchanges, sum(bad_lines)::BIGINT bad_lines, count(*) FILTER (strlen(user_message) > 262144 OR strlen(assistant_message) > 262144) oversize FROM ea WHERE assistant_message <> '' OR tools <> ''",
     "line_byte_offsets": "SELECT archive_path, line, coalesce(sum(strlen(content) + 1) OVER (PARTITION BY archive_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT byte_start FROM (SELECT * FROM claude QUALIFY row_number() OVER (PARTITION BY archive_path, line ORDER BY row_id) = 1)",
     "file_meta_first_nonnull": f"""WITH {v.FOLD_A} SELECT archive_path, arg_min(sessionId, line) FILTER (j IS NOT NULL AND sessionId IS NOT NULL) session_id, arg_min(cwd, line) FILTER (j IS NOT NULL AND cwd IS NOT NULL) cwd,
 list_contains(string_split(archive_path, '/'), 'subagents') OR coalesce(arg_min(isSidechain, line) FILTER (j IS NOT NULL AND isSidechain IS NOT NULL), false) is_sidechain FROM ja GROUP BY archive_path""",
@@ -490,18 +500,22 @@ list_contains(string_split(archive_path, '/'), 'subagents') OR coalesce(arg_min(
     "exclude_session": f"""WITH b AS (SELECT id, session_id FROM exchanges ORDER BY ts DESC, id LIMIT {DEPTH}), m AS (SELECT session_id FROM exchanges WHERE session_id IS NOT NULL ORDER BY ts DESC, id LIMIT 1)
 SELECT id, session_id FROM b WHERE session_id IS NULL OR session_id NOT IN (SELECT session_id FROM m)""",
     "opt_out_purge": f"SELECT id, archive_path FROM exchanges WHERE archive_path NOT IN (SELECT archive_path FROM exchanges WHERE contains(user_message, '{MARK}'))",
-    "oversize_drop": "SELECT id, strlen(user_message)::BIGINT n_bytes FROM exchanges WHERE strlen(user_message) > 8192 OR strlen(assistant_message) > 8192",
+    "oversize_drop": "SELECT id, strlen(user_message)::BIGINT n_bytes FROM exchanges WHERE strlen(user_message) > 8192 OR coalesce(strlen(assistant_message), 0) > 8192",
+    "text_index_build": f"SELECT term, count(DISTINCT id) df FROM (SELECT doc_id id, unnest({v.sql_terms('text')}) term FROM documents) GROUP BY 1",
+    "knn_many": """WITH v AS (SELECT vec_id id, embedding::DOUBLE[] e FROM embeddings), x AS (SELECT q.id query_id, v.id, round(power(list_distance(v.e, q.e), 2), 7) d FROM v, v q WHERE q.id % 20 = 0)
+SELECT query_id, id, round(1 - d / 2, 8) cos, row_number() OVER (PARTITION BY query_id ORDER BY d, id) rank FROM x QUALIFY rank <= 10""",
+    "reindex_candidates": """SELECT source_path, archive_path, end_offset FROM (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY mtime DESC, generation DESC, end_offset DESC) = 1) WHERE end_offset > 0 AND NOT skipped""",
+    "truncate_bytes": "SELECT doc_id id, md5(CASE WHEN strlen(text) <= 1000 THEN text ELSE substr(text, 1, list_max(list_filter(range(240, 1001), lambda k: strlen(substr(text, 1, k::INT)) <= 1000))::INT) || '…[truncated]' END) digest FROM documents",
     "tokenize": f"SELECT id, len(ws)::BIGINT n_tokens, len(list_distinct(ws))::BIGINT n_distinct, ws[1] first_token, md5(array_to_string(ws, ' ')) digest FROM (SELECT doc_id id, {v.sql_terms('text')} ws FROM documents)",
     "token_df": f"SELECT term, count(DISTINCT id) df FROM (SELECT doc_id id, unnest({v.sql_terms('text')}) term FROM documents) GROUP BY 1",
     "prune_common_tokens": f"SELECT term, count(DISTINCT id) df FROM (SELECT doc_id id, unnest({v.sql_terms('text')}) term FROM documents) GROUP BY 1 HAVING count(DISTINCT id) > 0.2 * (SELECT count(*) FROM documents)",
     "prefix_match": f"SELECT id, count(*) tf, count(DISTINCT term) terms FROM (SELECT doc_id id, unnest({v.sql_terms('text')}) term FROM documents) WHERE starts_with(term, 'che') GROUP BY 1",
-    "strip_diacritics_tokens": r"SELECT doc_id id, md5(array_to_string(list_filter(string_split_regex(strip_accents(lower(regexp_replace(text, '[^ -~à-öø-ÿ]', ' ', 'g'))), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ')) digest FROM documents WHERE lang IN ('fr', 'es', 'de')",
     "bm25_topk": f"{_BM} SELECT id, score, rank FROM bm",
     "bm25_filtered": f"WITH {v.DOCS}, {v.sql_bm25(_Q, where=chr(39).join(['project = ', 'birch-cache', '']))} SELECT id, score, rank FROM bm",
     "keyword_only_search": f"{_BM} SELECT id, round(least(greatest({_PEN} / {_BEST}, 0), 1), 9) score FROM (SELECT id, 0.4::DOUBLE / (rank + 60) + {_BONUS} raw FROM bm) JOIN docs USING (id) ORDER BY score DESC, id DESC LIMIT {LIMIT}",
-    "search_many": f"""WITH w AS (SELECT doc_id id, {v.sql_terms('text')} ws FROM documents), c AS (SELECT count(*)::DOUBLE total, avg(coalesce(len(ws), -1)) avgdl FROM w),
+    "search_many": f"""WITH w AS (SELECT doc_id id, {v.sql_terms('text')} ws FROM documents), c AS (SELECT count(*)::DOUBLE total, avg(coalesce(len(ws), 0)) avgdl FROM w),
 p AS (SELECT id, term, count(*) tf FROM (SELECT id, unnest(ws) term FROM w) GROUP BY 1, 2), df AS (SELECT term, count(*) n FROM p GROUP BY 1),
-q AS (SELECT DISTINCT item_id query_id, unnest({v.sql_terms('text')}) term FROM eval_items WHERE item_id % 8 = 0),
+q AS (SELECT DISTINCT item_id query_id, unnest({v.sql_terms('text')}) term FROM eval_items WHERE item_id % 20 = 0),
 sc AS (SELECT query_id, p.id, round(sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avgdl))), 9) score FROM q JOIN df USING (term) JOIN p USING (term) JOIN w ON w.id = p.id, c WHERE n <= 0.2 * total GROUP BY 1, 2)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) rank FROM sc QUALIFY rank <= 5""",
     "knn_topk": f"WITH {v.VECS}, {v.sql_knn()} SELECT id, cos, rank FROM kn",
@@ -512,12 +526,11 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
     "rrf_sidechain_penalty": f"{_HY} SELECT id, round({_PEN}, 9) raw, is_sidechain FROM (SELECT id, sum(part) raw FROM ({_PARTS.format(near='kn')}) GROUP BY id) JOIN docs USING (id)",
     "hybrid_search": f"""{_HY}, {_FLOOR}, h AS (SELECT id, {_PEN} raw, kw FROM (SELECT id, sum(part) raw, bool_or(kw) kw FROM ({_PARTS.format(near='fl')}) GROUP BY id) JOIN docs USING (id) ORDER BY raw DESC, id DESC LIMIT {LIMIT})
 SELECT id, project, ts, archive_path, round(least(greatest(raw / {_BEST}, 0), 1), 9) score, substr(text, 1, 200) snippet, kw FROM h JOIN docs USING (id)""",
-    "multi_concept_and": f"""WITH r AS ({' UNION ALL '.join(_concept(i, q) for i, q in enumerate(CONCEPTS))}), b AS (SELECT archive_path, concept, max(raw) raw, arg_max(id, (raw, id)) id FROM r GROUP BY 1, 2)
-SELECT archive_path, arg_max(id, (raw, id)) id, round(round(avg(raw), 12) / {_BEST}, 9) score FROM b GROUP BY 1 HAVING count(*) = {len(CONCEPTS)}""",
+    "multi_concept_and": f"""WITH r AS ({' UNION ALL '.join(_concept(i, q) for i, q in enumerate(CONCEPTS))}), b AS (SELECT archive_path, concept, max(raw) raw, arg_max(id, (raw, id)) id, arg_max(kw, (raw, id)) kw FROM r GROUP BY 1, 2)
+SELECT archive_path, arg_max(id, (raw, id)) id, round(least(round(avg(raw), 12) / {_BEST}, 1), 9) score, bool_or(kw) kw FROM b GROUP BY 1 HAVING count(*) = {len(CONCEPTS)}""",
     "pending_embeddings": "SELECT doc_id id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "embedding_text": "SELECT id, md5('passage: ' || substr(x, 1, 2000)) digest, length('passage: ' || substr(x, 1, 2000)) n FROM (SELECT id, 'User: ' || user_message || chr(10) || chr(10) || 'Assistant: ' || coalesce(assistant_message, '') || chr(10) || chr(10) || 'Tools: ' || array_to_string(tool_names, ',') x FROM exchanges)",
-    "snippet_cards": r"""SELECT id, project, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') "day", trim(regexp_replace(regexp_replace(substr(coalesce(user_message, ''), 1, 200), '[^ -~\n\t]', '?', 'g'), '\s+', ' ', 'g')) user_line,
-trim(regexp_replace(regexp_replace(substr(coalesce(assistant_message, ''), 1, 200), '[^ -~\n\t]', '?', 'g'), '\s+', ' ', 'g')) assistant_line FROM exchanges WHERE ts > 0""",
+    "snippet_cards": rf"""SELECT id, project, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') "day", {_one_line('user_message')} user_line, {_one_line('assistant_message')} assistant_line FROM exchanges""",
     "read_range": f"WITH {_ITEMS} SELECT archive_path, line, md5({_BLOCK}) digest FROM cutu WHERE line BETWEEN 5 AND 40 AND {_BLOCK} <> ''",
     "truncate_chars": "SELECT doc_id id, md5(substr(text, 1, 200)) digest FROM documents",
     "json_line_facts": "SELECT event_id, try_cast(json_extract(props, '$.k') AS BIGINT) k FROM events",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidlog.operators.index import TextIndex
+from braidlog.operators.providers import NOT_TYPED_A
+from braidlog.session import shared_path
 from braidlog.sources.tables import table
 
 
@@ -43,11 +46,25 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str, bool], str] = {}
+
+
+def text_index(spark: SparkSession, d: str, stem: bool = False) -> TextIndex:
+    """The kept index of ``docs``, built at its first use in an application."""
+    key = (spark.sparkContext.applicationId, d, stem)
+    if key not in _INDEXES:
+        path = shared_path(spark, "index")
+        TextIndex.write(docs(spark, d).select("id", "text", "project", "ts"), path, stem)
+        _INDEXES[key] = path
+    return TextIndex.open(spark, _INDEXES[key], stem)
+
+
 def vecs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("label_"), F.col("label").cast("string")).alias("project"))
 
 
 def vector_of(spark: SparkSession, d: str, vec_id: int) -> list[float]:
+    """The query vector that the tables hold under an id."""
     return list(table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
@@ -81,7 +98,7 @@ def sql_bm25(query: list[str], where: str = "true", n: int = 50) -> str:
     return f"""
 q(i, t) AS (VALUES {values}),
 w AS (SELECT id, archive_path, project, is_sidechain, ts, {sql_terms('text')} ws FROM docs),
-c AS (SELECT count(*)::DOUBLE total, avg(coalesce(len(ws), -1)) avgdl FROM w),
+c AS (SELECT count(*)::DOUBLE total, avg(coalesce(len(ws), 0)) avgdl FROM w),
 tf AS (SELECT w.id, w.project, w.ts, len(ws) dl, q.i, len(list_filter(ws, lambda x: x = q.t)) f FROM w, q),
 df AS (SELECT i, count(*) FILTER (f > 0) n FROM tf GROUP BY i),
 fit AS (SELECT i, n FROM df, c WHERE n <= 0.2 * total),
@@ -104,8 +121,7 @@ def sql_joined(parts: str) -> str:
     return f"list_reduce(list_prepend('', coalesce({parts}, [])), lambda a, x: CASE WHEN a = '' THEN x ELSE a || chr(10) || chr(10) || x END)"
 
 
-PREFIXES_A = ["[Request interrupted by user", "<local-command-", "<bash-stdout>", "<bash-stderr>", "<teammate-message", "Another Claude session sent a message:"]
-STARTS = " OR ".join(f"starts_with(regexp_replace(said, '^\\s+', ''), '{p}')" for p in PREFIXES_A)
+STARTS = " OR ".join(f"starts_with(regexp_replace(said, '^\\s+', ''), '{p}')" for p in NOT_TYPED_A)
 #: CTEs la (lines), fa (facts), sa (segments), ea (exchanges) of provider A over the table of its lines.
 FOLD_A = f"""
 la AS (SELECT * FROM claude QUALIFY row_number() OVER (PARTITION BY archive_path, line ORDER BY row_id) = 1),

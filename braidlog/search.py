@@ -9,10 +9,11 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidlog.functions.text import first_chars, one_line
+from braidlog.functions.text import base_path, first_chars, one_line
 from braidlog.functions.timefn import local_day, midnight_millis, strict_day
-from braidlog.operators import fulltext, fusion, reading
+from braidlog.operators import fusion, reading
 from braidlog.operators import vectors as vec
+from braidlog.operators.index import TextIndex
 
 MOST, DEEP, CONCEPTS = 50, 300, 5
 
@@ -43,11 +44,28 @@ def checked_limit(limit: object) -> int:
     return min(max(limit, 1), MOST)
 
 
+def chosen(project: str | None = None, after: str | date | None = None, before: str | date | None = None, zone: str = "UTC") -> Column:
+    """Filter on project and days (both included, in a zone); it reaches the scan of whatever has ``project`` and ``ts``."""
+    day = lambda x: strict_day(x) if isinstance(x, str) else x
+    keep = F.lit(True)
+    if project is not None:
+        if not project:
+            raise ValueError("the project is empty")
+        keep = keep & (F.col("project") == project)
+    if after is not None:
+        keep = keep & (F.col("ts") >= midnight_millis(day(after), zone))
+    if before is not None:
+        keep = keep & (F.col("ts") < midnight_millis(day(before) + timedelta(days=1), zone))
+    return keep
+
+
 @dataclass
 class Engine:
     """``exchanges`` as in the index; ``vectors`` (id, embedding, project, ts, is_sidechain), if any.
 
-    ``embed_query`` turns a text into a vector; if it fails, the search goes on with keywords alone.
+    ``index`` is the kept text index of user and assistant messages (``TextIndex.write(engine.texts(), path)``); without one the
+    texts are read for each search.  ``embed_query`` turns a text into a vector, once per query; if it fails, the search
+    goes on with keywords alone.
     """
 
     exchanges: DataFrame
@@ -55,69 +73,55 @@ class Engine:
     embed_query: Callable[[str], Sequence[float]] | None = None
     floor: float = vec.FLOOR
     zone: str = "UTC"
+    index: TextIndex | None = None
 
-    def _filter(self, project: str | None, after: str | date | None, before: str | date | None) -> Column:
-        day = lambda x: strict_day(x) if isinstance(x, str) else x
-        keep = F.lit(True)
-        if project is not None:
-            if not project:
-                raise ValueError("the project is empty")
-            keep = keep & (F.col("project") == project)
-        if after is not None:
-            keep = keep & (F.col("ts") >= midnight_millis(day(after), self.zone))
-        if before is not None:
-            keep = keep & (F.col("ts") < midnight_millis(day(before) + timedelta(days=1), self.zone))
-        return keep
-
-    def _texts(self) -> DataFrame:
+    def texts(self) -> DataFrame:
+        """What the text index is built from: both messages, not the tools."""
         return self.exchanges.select("id", "project", "ts", F.concat_ws("\n", "user_message", "assistant_message").alias("text"))
 
-    def _ranked(self, query: str, n: int, keep: Column, exclude: str | None, use_vectors: bool) -> tuple[DataFrame, bool]:
+    def _index(self) -> TextIndex:
+        if self.index is None:
+            self.index = TextIndex.of(self.texts())
+        return self.index
+
+    def _ranked(self, query: str, n: int, keep: Column, exclude: str | None, vector: Sequence[float] | None) -> tuple[DataFrame, bool]:
         """id, raw, kw of one concept, before the cut."""
-        tokens = fulltext.query_tokens(query)
-        counts = fulltext.matched(self._texts(), tokens)
-        # corpus figures first, over everything; filters only choose candidates
-        keyword = fulltext.top(fulltext.bm25(counts.where(keep), fulltext.plan(counts, tokens)), n).select("id", "score", "rank")
+        # the index has figures of the whole corpus; filters only choose candidates
+        keyword = self._index().best(query, n, keep)
         near = None
-        if use_vectors:
-            near = vec.nearest(self.vectors.where(keep).select("id", "embedding"), self.embed_query(query), n)
+        if vector is not None:
+            near = vec.nearest(self.vectors.where(keep).select("id", "embedding"), vector, n)
             near = fusion.floored(near, keyword, self.floor)
         facts = self.exchanges.select("id", "session_id", "archive_path", "is_sidechain")
         if exclude is not None:
-            own = self.exchanges.where(F.col("session_id") == exclude).select("id")
-            keyword = self._again(keyword.join(own, "id", "left_anti"), "score")
-            near = None if near is None else self._again(near.join(own, "id", "left_anti"), "cos")
+            keyword = fusion.ranked_again(fusion.without_session(keyword, self.exchanges, exclude), "score")
+            near = None if near is None else fusion.ranked_again(fusion.without_session(near, self.exchanges, exclude), "cos")
         merged = fusion.fused(keyword, near).join(facts, "id")
         return fusion.penalised(merged), near is not None
 
-    @staticmethod
-    def _again(rows: DataFrame, by: str) -> DataFrame:
-        return rows.drop("rank").withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), F.asc("id"))))  # at most n rows
-
     def search(
         self, query: str | Sequence[str], limit: int = 10, after: str | date | None = None, before: str | date | None = None, project: str | None = None, exclude_session: str | None = None
     ) -> Answer:
         """The best exchanges; of several concepts, those of conversations that all of them hit."""
-        queries, limit, keep = checked_queries(query), checked_limit(limit), self._filter(project, after, before)
+        queries, limit, keep = checked_queries(query), checked_limit(limit), chosen(project, after, before, self.zone)
         if any(not any(c.isalnum() for c in q) for q in queries):
             return Answer(self._cards(self.exchanges.where(F.lit(False)).select("id", F.lit(0.0).alias("raw"), F.lit(False).alias("kw"))), False)
         notes: list[str] = []
-        use = self.vectors is not None and self.embed_query is not None
-        if use:
+        embedded: list[Sequence[float] | None] = [None] * len(queries)
+        if self.vectors is not None and self.embed_query is not None:
             try:
-                self.embed_query("probe")
+                embedded = [self.embed_query(q) for q in queries]
             except Exception as e:  # a broken model must not break the search
                 notes.append(f"keywords only: {e}")
-                use = False
         else:
             notes.append("keywords only")
         if len(queries) == 1:
-            ranked, used = self._ranked(queries[0], max(50, 3 * limit), keep, exclude_session, use)
+            ranked, used = self._ranked(queries[0], max(50, 3 * limit), keep, exclude_session, embedded[0])
             best = ranked.select("id", "raw", "kw")
         else:
             parts = []
             for i, q in enumerate(queries):
-                ranked, used = self._ranked(q, DEEP, keep, exclude_session, use)
+                ranked, used = self._ranked(q, DEEP, keep, exclude_session, embedded[i])
                 cut = ranked.orderBy(F.desc("raw"), F.desc("id")).limit(2 * DEEP)
                 parts.append(cut.select(F.lit(i).alias("concept"), "archive_path", "id", "raw", "kw"))
             every = parts[0]
@@ -144,17 +148,22 @@ class Engine:
 
     def search_many(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """Keyword search for many queries (query_id, query) in one job: query_id, id, score, rank."""
-        terms = queries.select("query_id", F.explode(F.array_distinct(fulltext.tokens(F.col("query")))).alias("term")).distinct()
-        return fulltext.batched_bm25(fulltext.postings(self._texts(), terms=terms), fulltext.lengths(self._texts()), terms, checked_limit(limit))
+        return self._index().best_of_many(queries, checked_limit(limit))
 
     @staticmethod
-    def read(items: DataFrame, path: str, start: int | None = None, end: int | None = None, skipped: DataFrame | None = None) -> DataFrame:
-        """One page of a file as text; files that opted out, in any generation, are refused."""
-        from braidlog.functions.text import base_path
+    def read(items: DataFrame, path: str, start: int | None = None, end: int | None = None, skipped: DataFrame | None = None, kinds: Sequence[str] | None = None, registry: bool = True) -> DataFrame:
+        """One page of a file as text; files that opted out, in any generation, are refused.
 
+        ``skipped`` (archive_path) lists the files that opted out; where there is a registry of files and it can't be given, nothing
+        is read.  ``registry=False`` says that there is none.  ``kinds``: the folders below the archive's root that may be read.
+        """
         parts = path.split("/")
-        if path.startswith("/") or ".." in parts:
+        if path.startswith("/") or any(p in ("", ".", "..") for p in parts) or "\\" in path:
             raise ValueError("path outside archive")
+        if kinds is not None and parts[1 if parts[0] == "conversation-archive" else 0] not in kinds:
+            raise ValueError("path of an unknown kind")
+        if skipped is None and registry:
+            raise PermissionError("without the list of files that opted out nothing is read")
         if skipped is not None and not skipped.where(base_path(F.col("archive_path")) == base_path(F.lit(path))).isEmpty():
             raise PermissionError("the conversation opted out")
         return reading.page_text(reading.pages(items.where(F.col("archive_path") == path), start or 1, end))

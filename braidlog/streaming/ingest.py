@@ -37,7 +37,7 @@ COMMITS = "batch bigint, files bigint, new_exchanges bigint, last_id bigint"
 class Ingest:
     """One source folder of one kind (``a`` or ``b``), and the tables built from it."""
 
-    def __init__(self, spark: SparkSession, source: str, root: str, kind: str, provider: str, marker: str = pv.OPT_OUT) -> None:
+    def __init__(self, spark: SparkSession, source: str, root: str, kind: str, provider: str, marker: str) -> None:
         self.spark, self.source, self.root, self.kind, self.provider, self.marker = spark, source, root, kind, provider, marker
         spark.dataSource.register(JsonLines)
 
@@ -133,7 +133,7 @@ class Ingest:
         return vectors.attach(self._table("vectors", VECTORS).select("id", "embedding").dropDuplicates(["id"]), self.exchanges())
 
 
-def one_shot(spark: SparkSession, source: str, kind: str, provider: str, marker: str = pv.OPT_OUT) -> DataFrame:
+def one_shot(spark: SparkSession, source: str, kind: str, provider: str, marker: str) -> DataFrame:
     """Exchanges of whole files, without any state."""
     spark.dataSource.register(JsonLines)
     lines = spark.read.format("json_lines").option("path", source).load().where("raw is not null")

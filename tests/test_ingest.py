@@ -5,11 +5,13 @@ import os
 
 import pytest
 from braidlog.operators import exchanges as ex
-from braidlog.operators import providers as pv
 from braidlog.sources import jsonl
 from braidlog.streaming.ingest import Ingest, one_shot
 
 
+MARK = "<<leave-this-chat-out>>"
+
+
 def a(kind, content, **more):
     return json.dumps({"type": kind, "timestamp": "2025-01-01T10:00:00Z", "message": {"role": kind, "content": content}, **more})
 
@@ -44,7 +46,7 @@ def rows(df):
 
 def test_fold_of_provider_a(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text("\n".join(MAIN_A) + "\n")
-    got = rows(one_shot(spark, str(tmp_path), "k", "a"))
+    got = rows(one_shot(spark, str(tmp_path), "k", "a", MARK))
     assert [(r[1], r[2], r[8], r[9], r[10]) for r in got] == [
         (1, 6, "first question", "part one\n\npart two", ["Bash", "Read"]),
         (7, 10, "second\nquestion", "handed back", ["SubagentHandback"]),
@@ -55,18 +57,18 @@ def test_fold_of_provider_a(spark, tmp_path):
 def test_fold_of_provider_b(spark, tmp_path):
     """The strongest signal of all lines counts, the first header, and streamed text only where no answer is."""
     (tmp_path / "y.jsonl").write_text("\n".join(MAIN_B) + "\n")
-    (got,) = rows(one_shot(spark, str(tmp_path), "k", "b"))
+    (got,) = rows(one_shot(spark, str(tmp_path), "k", "b", MARK))
     assert got[1:6] == (8, 11, "s2", "beta", "codex") and got[8:] == ("strong start", "streamed", ["exec", "local_shell"])
     weak = [x for x in MAIN_B if "item_completed" not in x and "user_message" not in x]
     (tmp_path / "y.jsonl").write_text("\n".join(weak) + "\n")
-    assert [(r[8], r[9]) for r in rows(one_shot(spark, str(tmp_path), "k", "b"))] == [("weak start", "answer to weak\n\nanswer to middle")]
+    assert [(r[8], r[9]) for r in rows(one_shot(spark, str(tmp_path), "k", "b", MARK))] == [("weak start", "answer to weak\n\nanswer to middle")]
 
 
 def test_subagent_of_provider_b(spark, tmp_path):
     lines = [b("session_meta", {"id": "p", "cwd": "/w/c", "source": {"subagent": {"thread_spawn": {"agent_path": "/root/x"}}}}), said("no start here", "user"),
              b("response_item", {"type": "agent_message", "recipient": "/root/x", "content": [{"type": "input_text", "text": "task"}]}), said("done")]
     (tmp_path / "z.jsonl").write_text("\n".join(lines) + "\n")
-    (got,) = rows(one_shot(spark, str(tmp_path), "k", "b"))
+    (got,) = rows(one_shot(spark, str(tmp_path), "k", "b", MARK))
     assert got[6] is True and got[8:10] == ("task", "done")
 
 
@@ -77,19 +79,19 @@ def test_any_chunking_equals_one_run(spark, tmp_path, provider, lines, step):
     size = {"short": len(body) // 3 + 1, "longest": max(map(len, lines)) + 1, "whole": len(body)}[step]
     src = tmp_path / "src"
     src.mkdir()
-    job = Ingest(spark, str(src), str(tmp_path / "state"), "k", provider)
+    job = Ingest(spark, str(src), str(tmp_path / "state"), "k", provider, MARK)
     for i in range(0, len(body), size):
         with open(src / "f.jsonl", "ab") as f:
             f.write(body[i : i + size])
         job.sync()
-    assert rows(job.exchanges()) == rows(one_shot(spark, str(src), "k", provider))
+    assert rows(job.exchanges()) == rows(one_shot(spark, str(src), "k", provider, MARK))
     assert job.sync()["batches"] == 0
 
 
 def test_growth_rewrite_and_opt_out(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
-    job = Ingest(spark, str(src), str(tmp_path / "state"), "k", "a")
+    job = Ingest(spark, str(src), str(tmp_path / "state"), "k", "a", MARK)
     (src / "f.jsonl").write_text("\n".join([a("user", "one"), a("assistant", [{"type": "text", "text": "x"}])]) + "\n")
     job.sync()
     first = job.exchanges().first()
@@ -105,7 +107,7 @@ def test_growth_rewrite_and_opt_out(spark, tmp_path):
     (third,) = job.exchanges().collect()
     assert third["archive_path"].endswith("f.gen-1.jsonl") and third["user_message"] == "other" and third["id"] > second["id"]
     with open(src / "f.jsonl", "a") as f:
-        f.write(a("user", f"please: {pv.OPT_OUT}") + "\n")
+        f.write(a("user", f"please: {MARK}") + "\n")
     job.sync()
     assert job.exchanges().isEmpty() and job.files().first()["skipped"]
     with open(src / "f.jsonl", "a") as f:
@@ -118,7 +120,7 @@ def test_oversize_is_counted_in_bytes(spark, tmp_path):
     big = "é" * (ex.MOST_BYTES // 2)
     for n, kept in ((0, 1), (1, 0)):
         (tmp_path / "f.jsonl").write_text(a("user", big + "x" * n) + "\n" + a("assistant", [{"type": "text", "text": "ok"}]) + "\n")
-        assert one_shot(spark, str(tmp_path), "k", "a").count() == kept
+        assert one_shot(spark, str(tmp_path), "k", "a", MARK).count() == kept
 
 
 def test_walk_skips_old_generations_and_loops(tmp_path):

@@ -1,12 +1,14 @@
 """Ranking, search, reading, catalog: the behaviours that are easy to get wrong, with exact numbers."""
 
 import math
+from dataclasses import dataclass
 
 import pytest
 from braidlog.functions import text as tx
-from braidlog.functions.timefn import midnight_millis, millis, strict_day
+from braidlog.functions.timefn import local_day, midnight_millis, millis, strict_day
 from braidlog.operators import catalog, fulltext, fusion, reading, vectors
 from braidlog.operators import exchanges as ex
+from braidlog.operators.index import TextIndex
 from braidlog.plans import reference
 from braidlog.search import Engine, checked_limit, checked_queries
 from pyspark.sql import functions as F
@@ -86,12 +88,64 @@ def test_keyword_scores(spark):
     assert [i for i, _ in found(Engine(corpus(spark, [(1, "zebra"), (2, "zebra"), *FILL])), "zebra")] == [1, 2]
 
 
+def index(spark, rows, stem=True):
+    return TextIndex.of(corpus(spark, rows).select("id", "project", "ts", F.col("user_message").alias("text")), stem)
+
+
 def test_common_tokens(spark):
-    counts = lambda q: fulltext.matched(corpus(spark, [(1, "filler zebra"), *FILL]).select("id", F.col("user_message").alias("text")), q)
+    i = index(spark, [(1, "filler zebra"), *FILL])
     # common ones go; if nothing left matches, the rarer of them comes back (30 texts against 31)
     for query, kept in (("filler zebra", [1]), ("filler text", [1]), ("text filler", [0]), ("filler nothing", [0, 1]), ("nothing", [0])):
-        q = fulltext.query_tokens(query)
-        assert fulltext.plan(counts(q), q).kept == kept, query
+        assert i.plan(query).kept == kept, query
+    many = spark.createDataFrame([(k, q) for k, q in enumerate(["filler zebra", "filler text", "text filler", "filler nothing", "nothing", "!!"])], "query_id bigint, query string")
+    got = i.best_of_many(many, 40).collect()
+    for k, q in enumerate(["filler zebra", "filler text", "text filler", "filler nothing", "nothing"]):
+        assert sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == k) == sorted((r["rank"], r["id"], r["score"]) for r in i.best(q, 40).collect()), q
+    assert all(r["query_id"] != 5 for r in got)
+
+
+def test_stems_marks_and_prefixes(spark):
+    rows = [(1, "searching the caches"), (2, "Café search"), (3, "값이 검색추천"), (4, None), (5, "값 값지다"), *FILL]
+    i = index(spark, rows)
+    best = lambda q: [r["id"] for r in i.best(q, 10).orderBy("rank").collect()]
+    assert best("searches") == [2, 1] and best("cafe") == [2] and best("cache") == [1] and best("검색") == [3] and set(best("값")) == {3, 5}
+    assert i.total == 35 and [r["id"] for r in index(spark, rows, False).best("searches", 10).collect()] == []
+    many = spark.createDataFrame([(1, "값"), (2, "searches 값")], "query_id bigint, query string")
+    for k, q in ((1, "값"), (2, "searches 값")):
+        assert {(r["id"], r["score"], r["rank"]) for r in i.best_of_many(many, 10).where(f"query_id = {k}").collect()} == {(r["id"], r["score"], r["rank"]) for r in i.best(q, 10).collect()}
+
+
+def test_bm25_by_hand(spark):
+    """Scores of the kept index equal the formula, computed from tokens in Python, filters or not."""
+    import random
+
+    r = random.Random(2)
+    texts = {k: " ".join(r.choice("ant bee cow dog eel fox gnu hen".split()) for _ in range(r.randint(0, 12))) for k in range(60)}
+    i = index(spark, [(k, t, {"project": "p" if k % 3 else "q"}) for k, t in texts.items()], False)
+    words = {k: t.split() for k, t in texts.items()}
+    total, avgdl = len(texts), sum(map(len, words.values())) / len(texts)
+    n = {w: sum(w in x for x in words.values()) for w in ("ant", "bee")}
+    want = {}
+    for k, x in words.items():
+        part = [max(math.log((total - n[w] + 0.5) / (n[w] + 0.5)), 1e-6) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / avgdl)) for w in n]
+        if any(part):
+            want[k] = round(sum(part), 9)
+    p = i.plan("ant bee")
+    both = type(p)(p.terms, p.df, [0, 1])
+    assert p.df == [n["ant"], n["bee"]]
+    assert {r["id"]: r["score"] for r in i.scored(both).collect()} == pytest.approx(want) and {r["id"] for r in i.scored(both, F.col("project") == "q").collect()} == {k for k in want if k % 3 == 0}
+
+
+def test_a_kept_index_reads_its_terms_only(spark, tmp_path):
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 400}" for j in range(20))) for k in range(400)]
+    texts = corpus(spark, rows).select("id", "project", "ts", F.col("user_message").alias("text"))
+    i = TextIndex.write(texts, str(tmp_path / "index"), False)
+    again = TextIndex.open(spark, str(tmp_path / "index"), False)
+    assert [tuple(r) for r in again.best("w5 w9", 7).collect()] == [tuple(r) for r in TextIndex.of(texts, False).best("w5 w9", 7).collect()] and i.total == 400
+    p = plan_of(again.scored(again.plan("w5 w9"), F.col("project") == "p"))
+    assert "In(term, [w5,w9])" in p and "EqualTo(project,p)" in p and "ReadSchema: struct<term:string,id:bigint,tf:int,dl:int,project:string>" in p
+    e = Engine(corpus(spark, rows), index=again)
+    assert e.search("w5", limit=3).hits.count() == 3
 
 
 def test_floor_then_rank_and_keyword_exemption(spark):
@@ -157,7 +211,42 @@ def test_neighbours(spark):
     got = vectors.nearest(v.select("id", "embedding"), axis(1.0), 2).collect()
     assert [(r["id"], r["rank"]) for r in got] == [(2, 1), (1, 2)] and got[0]["cos"] == pytest.approx(0.9, abs=1e-6)
     zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0])], "id bigint, embedding array<float>")
-    assert [(r["id"], r["cos"]) for r in vectors.nearest(zero, [1.0, 0.0], 5).collect()] == [(1, 0.5)]
+    assert [(r["id"], r["cos"]) for r in vectors.nearest(zero.where("id = 1"), [1.0, 0.0], 5).collect()] == [(1, 0.5)]
+    for bad in (zero, spark.createDataFrame([(1, None)], "id bigint, embedding array<float>")):
+        with pytest.raises(Exception, match="hasn't 2 numbers"):
+            vectors.nearest(bad, [1.0, 0.0], 5).collect()
+    assert vectors.nearest(zero.where("false"), [1.0, 0.0], 5).collect() == []
+    many = spark.createDataFrame([(7, axis(1.0)), (8, axis(0.5))], "query_id bigint, embedding array<float>")
+    for at_once in (1, 100):
+        got = vectors.nearest_of_many(v.select("id", "embedding"), many, 2, at_once).collect()
+        assert {(r["query_id"], r["id"], r["rank"]) for r in got} == {(7, 2, 1), (7, 1, 2), (8, 1, 1), (8, 3, 2)}
+    assert vectors.nearest_of_many(v.select("id", "embedding"), many.where("false"), 2).collect() == []
+
+
+def test_embedders_are_plugged_in_and_checked(spark):
+    @dataclass(frozen=True)
+    class Axis:
+        dim: int = 2
+        gives: int = 2
+
+        def make(self):
+            return lambda texts: [[float(len(t))] * self.gives for t in texts]
+
+    df = spark.createDataFrame([("ab",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(vectors.embed(Axis())(F.col("t"))).collect()] == [[2.0, 2.0], None, [0.0, 0.0]]
+    with pytest.raises(Exception, match="some without 2 numbers"):
+        df.select(vectors.embed(Axis(gives=3))(F.col("t"))).collect()
+
+
+def test_days_in_any_session_zone(spark):
+    """Days and midnights don't depend on the zone of the session."""
+    try:
+        for zone in ("UTC", "Asia/Tokyo", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            row = spark.range(1).select(midnight_millis(strict_day("2018-11-04"), "America/Sao_Paulo"), midnight_millis(strict_day("2025-03-01"), "America/Sao_Paulo"), local_day(F.lit(1741489200000), "America/Sao_Paulo"), local_day(F.lit(0)), local_day(F.lit(-1))).first()
+            assert list(row) == [1541300400000, 1740798000000, "2025-03-09", "1970-01-01", "1969-12-31"], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert vectors._fnv("a") == 0xAF63DC4C8601EC8C and vectors.hashed("!", 8) == [0.0] * 8 and sum(x * x for x in vectors.hashed("A b a", 384)) == pytest.approx(1, abs=1e-6)
 
 
@@ -192,10 +281,16 @@ def test_first_line_is_cut_to_fit(spark):
 
 def test_reading_is_guarded(spark):
     df = items(spark, [("k/f.jsonl", 1, ["a"])])
-    assert Engine.read(df, "k/f.jsonl").first()["text"] == "L1 a\n\n"
-    for bad in ("/etc/passwd", "k/../x"):
+    none = spark.createDataFrame([], "archive_path string")
+    assert Engine.read(df, "k/f.jsonl", skipped=none).first()["text"] == "L1 a\n\n" == Engine.read(df, "k/f.jsonl", registry=False).first()["text"]
+    for bad in ("/etc/passwd", "k/../x", "k//x", "./k", "k\\x"):
         with pytest.raises(ValueError):
-            Engine.read(df, bad)
+            Engine.read(df, bad, skipped=none)
+    with pytest.raises(ValueError):
+        Engine.read(df, "k/f.jsonl", skipped=none, kinds=["j"])
+    assert Engine.read(df, "k/f.jsonl", skipped=none, kinds=["k"]).count() == 1
+    with pytest.raises(PermissionError):
+        Engine.read(df, "k/f.jsonl")
     out = spark.createDataFrame([("k/f.gen-2.jsonl",)], "archive_path string")
     with pytest.raises(PermissionError):
         Engine.read(df, "k/f.jsonl", skipped=out)
@@ -301,11 +396,11 @@ def test_whole_texts_are_folded(spark, tmp_path):
                 out.append(base[0] if "a" <= base[0] <= "z" else c)
         return " ".join(re.findall(r"[^\W_]+", "".join(out)))
 
-    got = {r["id"]: r["digest"] for r in reference.strip_diacritics_tokens_all(spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["digest"] for r in reference.strip_diacritics_tokens(spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else hashlib.md5(fold(t).encode()).hexdigest() for i, t in enumerate(texts)}
 
 
 def test_cards_keep_all_letters_and_rows(spark, tmp_path):
     rows = [(1, "p", 0, "é\u00a0 ü\n漢", None), (2, "p", 1_700_000_000_000, "x" * 250, "ж")]
     spark.createDataFrame(rows, "id bigint, project string, ts bigint, user_message string, assistant_message string").write.parquet(f"{tmp_path}/exchanges.parquet")
-    assert sorted(tuple(r) for r in reference.snippet_cards_all(spark, str(tmp_path)).collect()) == [(1, "p", "1970-01-01", "é ü 漢", ""), (2, "p", "2023-11-14", "x" * 200, "ж")]
+    assert sorted(tuple(r) for r in reference.snippet_cards(spark, str(tmp_path)).collect()) == [(1, "p", "1970-01-01", "é ü 漢", ""), (2, "p", "2023-11-14", "x" * 200, "ж")]
