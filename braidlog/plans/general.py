@@ -14,23 +14,32 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return drift.parsed_lines(table(spark, d, "modern"), "modern").unionByName(drift.parsed_lines(table(spark, d, "legacy"), "legacy"))
 
 
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    return cut(drift.file_versions(drift.shapes(_lines(spark, d))))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per change of a file's members against the registry."""
-    steps = drift.changes(cut(drift.shapes(_lines(spark, d))), table(spark, d, "line_fields"))
-    return steps.select("tbl", "archive_path", "record_type", "field_path", "change")
+    per_file = _versions(spark, d)
+    return drift.of_files(drift.changes(drift.known_versions(per_file), table(spark, d, "line_fields")), per_file)
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     """All lines of modern and legacy in one table with the registered members."""
     registry = table(spark, d, "line_fields")
     rows = [(r[0], r[1]) for r in registry.select("field_path", "json_type").distinct().collect()]  # the registry: a fixed number of rows
-    lines = _lines(spark, d)
-    return drift.consistent_table(lines, drift.changes(cut(drift.shapes(lines)), registry), rows)
+    per_file = _versions(spark, d)
+    return drift.consistent_table(_lines(spark, d), per_file, drift.steps(drift.changes(drift.known_versions(per_file), registry)), rows)
 
 
 def p4_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Schema versions of each record type, with their fingerprint and use."""
-    return drift.versions(drift.shapes(_lines(spark, d))).select("tbl", "record_type", "version", "fingerprint", F.to_json("shape").alias("shape"), "n_lines", "n_files")
+    """Schema versions of each record type, with their fingerprint, use, and what changed since the one before."""
+    return drift.versions(_versions(spark, d))
+
+
+def p4_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The migration steps of each version, in order."""
+    return drift.steps(drift.changes(drift.known_versions(_versions(spark, d)), table(spark, d, "line_fields")))
 
 
 def _objects(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +75,7 @@ def p5_bridge(spark: SparkSession, d: str) -> DataFrame:
     return nesting.bridge(_texts(spark, d), "value").withColumns({"parent_id": F.hex("parent_id"), "child_id": F.hex("child_id")})
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_table, p4_versions, p5_found, p5_objects, p5_nodes, p5_bridge)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_table, p4_versions, p4_steps, p5_found, p5_objects, p5_nodes, p5_bridge)}
 
 P4_LINES = """
 lines AS (
@@ -100,7 +109,19 @@ cand AS (
 ren AS (SELECT * FROM cand WHERE k = 1)
 """
 
+P4_VERSIONS = """
+shp AS (SELECT o.tbl, o.archive_path, o.record_type, o.row_id, coalesce(list({'path': m.field_path, 'kind': m.kind} ORDER BY m.field_path) FILTER (m.field_path IS NOT NULL), []) s
+  FROM ok o LEFT JOIN mem m ON o.tbl = m.tbl AND o.archive_path = m.archive_path AND o.row_id = m.row_id WHERE o.record_type IS NOT NULL GROUP BY ALL),
+fv AS (SELECT tbl, archive_path, record_type, sha256(array_to_string(list_sort(list(DISTINCT sha256(to_json(s)))), ',')) fingerprint, count(*) n, list_distinct(flatten(list(s))) members FROM shp GROUP BY ALL),
+st AS (SELECT tbl, row_id, epoch_us(ingested_at) t0 FROM (SELECT 'modern' tbl, row_id, ingested_at FROM modern UNION ALL SELECT 'legacy', row_id, ingested_at FROM legacy)),
+fa AS (SELECT s.tbl, s.archive_path, s.record_type, min(t0) t0 FROM shp s JOIN st USING (tbl, row_id) GROUP BY ALL),
+kv AS (SELECT tbl, record_type, fingerprint, sum(n)::BIGINT n_lines, count(*) n_files, min(t0) t0, list_transform(list_sort(any_value(members)), lambda m: m.path || ':' || m.kind) mm FROM fv JOIN fa USING (tbl, archive_path, record_type) GROUP BY ALL),
+nv AS (SELECT *, row_number() OVER w version, coalesce(lag(mm) OVER w, []) b FROM kv WINDOW w AS (PARTITION BY tbl, record_type ORDER BY t0, fingerprint))
+"""
+
 ORACLE = {
+    "p4_versions": f"""WITH {P4_LINES}, {P4_VERSIONS}
+SELECT tbl, record_type, version, fingerprint, n_lines, n_files, array_to_string(list_filter(mm, lambda x: NOT list_contains(b, x)), ',') gained, array_to_string(list_filter(b, lambda x: NOT list_contains(mm, x)), ',') lost FROM nv""",
     "p4_found": f"""
 WITH {P4_LINES}
 SELECT tbl, archive_path, record_type, field_path, 'retyped' change FROM known WHERE len(list_filter(kinds, lambda x: x <> json_type)) > 0

@@ -63,8 +63,9 @@ def brute(rows, registry):
 def found(spark, rows, registry=REG):
     lines = drift.parsed_lines(spark.createDataFrame(rows, LINES), "t")
     reg = spark.createDataFrame(registry, "tbl string, record_type string, field_path string, json_type string, required boolean")
-    steps = drift.changes(drift.shapes(lines), reg)
-    return Counter(tuple(r) for r in steps.select("tbl", "archive_path", "record_type", "field_path", "change").collect()), lines, steps
+    per_file = drift.file_versions(drift.shapes(lines))
+    changes = drift.changes(drift.known_versions(per_file), reg)
+    return Counter(tuple(r) for r in drift.of_files(changes, per_file).select("tbl", "archive_path", "record_type", "field_path", "change").collect()), lines, per_file, changes
 
 
 def row(i, a, p, t="a"):
@@ -91,12 +92,39 @@ def test_changes_equal_brute_force(spark):
 
 def test_rename_default_and_cast(spark):
     rows = [row(1, "f", {"x": "a", "item": {"k": [1]}}), row(2, "f", {"x2": "b", "y": "12", "item": {"k": [2]}}), row(3, "f", {"x": "c", "y": True, "item": "no"}), row(4, "f", "{"), row(5, "f", {"x": 7, "item": {"k": []}})]
-    got, lines, steps = found(spark, rows)
+    got, lines, per_file, changes = found(spark, rows)
     assert ("t", "f", "a", "payload.x", "renamed") in got
-    table = drift.consistent_table(lines, steps, [(f, k) for *_, f, k, _ in [(r[0], r[2], r[3], r[4]) for r in REG]])
+    members = [(r[2], r[3]) for r in REG]
+    table = drift.consistent_table(lines, per_file, drift.steps(changes), members)
     out = {r["row_id"]: r for r in table.collect()}
     assert [out[i]["payload_x"] for i in (1, 2, 3, 4, 5)] == ["a", "b", "c", None, "7"] and out[2]["payload_y"] == 12.0
-    assert out[1]["payload_item_k"] == "[1]" and out[3]["payload_item"] is None and not out[4]["readable"]
+    assert out[1]["payload_item_k"] == "[1]" and not out[4]["readable"]
+    assert json.loads(out[3]["rest"])["payload.item"] == '"no"' and "payload.item" in out[3]["failed"].split(",")
+    assert "rename payload.x" in out[2]["applied"] and "cast payload.x" in out[5]["applied"] and out[1]["rest"] == "{}" and out[1]["version"] == out[5]["version"]
+    given = drift.consistent_table(lines, per_file, drift.steps(changes), members, {"payload.y": "5"})
+    assert {r["row_id"]: r["payload_y"] for r in given.collect()}[1] == 5.0
+
+
+def test_nothing_is_lost_in_the_table(spark):
+    """Every non-null member is in a column, or in ``rest``; a value that can't be cast is named and kept."""
+    rows = [row(1, "f", {"x": "a", "y": "no number", "z": "s", "u": {"v": 1}}), row(2, "g", {"x": "a", "y": [1], "item": {"k": "text", "m": 2}}), row(3, "g", {"x": None, "y": 3})]
+    _, lines, per_file, changes = found(spark, rows)
+    out = {r["row_id"]: r for r in drift.consistent_table(lines, per_file, drift.steps(changes), [(r[2], r[3]) for r in REG]).collect()}
+    assert out[1]["failed"] == "payload.y" and json.loads(out[1]["rest"])["payload.y"] == '"no number"' and json.loads(json.loads(out[1]["rest"])["payload.u"]) == {"v": 1}
+    assert set(out[2]["failed"].split(",")) == {"payload.y", "payload.item.k"} and {"payload.y", "payload.item.k", "payload.item.m"} <= set(json.loads(out[2]["rest"]))
+    assert out[3]["failed"] == "" and out[3]["payload_y"] == 3.0
+
+
+def test_versions_and_steps(spark):
+    """Files written alike share a version; versions are numbered by first appearance and know their differences and steps."""
+    rows = [row(i, a, p) for i, (a, p) in enumerate([("f", {"x": "a", "y": 1, "item": {"k": []}}), ("g", {"x": "b", "y": 2, "item": {"k": []}}), ("h", {"x2": "c", "y": 3, "item": {"k": []}})])]
+    df = spark.createDataFrame([(*r[:5], f"2025-01-0{i + 1} 00:00:00") for i, r in enumerate(rows)], "row_id bigint, archive_path string, line bigint, type string, payload string, ingested_at string").withColumn("ingested_at", F.col("ingested_at").cast("timestamp_ntz"))
+    per_file = drift.file_versions(drift.shapes(drift.parsed_lines(df, "t")))
+    v1, v2 = drift.versions(per_file).orderBy("version").collect()
+    assert (v1["version"], v1["n_files"], v2["version"], v2["gained"], v2["lost"]) == (1, 2, 2, "payload.x2:string", "payload.x:string")
+    reg = spark.createDataFrame(REG, "tbl string, record_type string, field_path string, json_type string, required boolean")
+    steps = drift.steps(drift.changes(drift.known_versions(per_file), reg)).where(F.col("fingerprint") == v2["fingerprint"]).orderBy("place", "field_path").collect()
+    assert ("rename", "payload.x", "payload.x2") in [(r["rule"], r["field_path"], r["argument"]) for r in steps] and [r["place"] for r in steps] == sorted(r["place"] for r in steps)
 
 
 def test_empty_tables(spark):
