@@ -206,7 +206,43 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_exchanges, p1_claude, p2_found, p2_groups, p2_forks, p3_found, p6_found, p7_found, p7_pieces, p8_packed, p9_found, p9_report, p10_found, p10_restored)}
 
+_SOLID = r"[^\s\p{Z}\p{C}]"
+_AT = r"""CASE WHEN regexp_full_match(t, '\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}([.,]\d+)?\s?([Zz]|[+-]\d{2}(:?\d{2})?)')
+    AND try_cast(substr(t, 1, 10) AS DATE) IS NOT NULL AND substr(t, 12, 2) < '24' AND substr(t, 15, 2) < '60' AND substr(t, 18, 2) < '60' AND (upper(right(t, 1)) = 'Z' OR (substr(z, 1, 2) < '24' AND substr(z || '00', 3, 2) < '60'))
+  THEN epoch_us(try_cast(substr(t, 1, 10) AS DATE)::TIMESTAMP) + (substr(t, 12, 2)::BIGINT * 3600 + substr(t, 15, 2)::BIGINT * 60 + substr(t, 18, 2)::BIGINT) * 1000000 + rpad(substr(regexp_extract(t, '[.,](\d+)', 1), 1, 6), 6, '0')::BIGINT
+    - CASE WHEN upper(right(t, 1)) = 'Z' THEN 0 ELSE (CASE WHEN starts_with(zone, '-') THEN -1 ELSE 1 END) * (substr(z, 1, 2)::BIGINT * 3600 + substr(z || '00', 3, 2)::BIGINT * 60) * 1000000 END END"""
+
+
+def _texts_say(blocks: str, typed: str) -> str:
+    return f"len(list_filter(CASE WHEN json_type({blocks}) = 'ARRAY' THEN ({blocks})::JSON[] ELSE [] END, lambda b: {typed} json_type(b, '$.text') = 'VARCHAR' AND regexp_matches(json_extract_string(b, '$.text'), '{_SOLID}'))) > 0"
+
+
 ORACLE = {
+    "p2_found": r"""
+WITH w AS (SELECT id, list_transform(regexp_extract_all(coalesce(user_message, '') || ' ' || coalesce(assistant_message, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)) w FROM exchanges),
+g AS (SELECT DISTINCT id, hash(w[i], w[i + 1], w[i + 2]) h FROM (SELECT id, w, unnest(range(1, len(w) - 1)) i FROM w)),
+n AS (SELECT id, count(*) n FROM g GROUP BY 1),
+s AS (SELECT a.id id_a, b.id id_b, count(*) k FROM g a JOIN g b USING (h) WHERE a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM s JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE k >= 0.5 * (a.n + b.n - k)
+""",
+    "p6_found": f"""
+WITH o AS (SELECT archive_path, min(sessionId) other FROM claude WHERE sessionId IS NOT NULL GROUP BY 1),
+c AS (SELECT *, CASE WHEN json_valid(content) THEN content::JSON END j FROM claude),
+m AS (SELECT *, CASE WHEN json_valid(payload) THEN payload::JSON END j FROM modern),
+h AS (SELECT archive_path, json_extract_string(j, '$.id') session_id FROM m WHERE type = 'session_meta' AND json_type(j, '$.id') = 'VARCHAR' QUALIFY row_number() OVER (PARTITION BY archive_path ORDER BY line, row_id) = 1),
+x AS (
+  SELECT 'claude' tbl, coalesce(sessionId, other) session_id, timestamp, archive_path, line, row_id, role FROM c LEFT JOIN o USING (archive_path)
+  WHERE (role IS NULL OR role IN ('user', 'assistant')) AND NOT coalesce(isMeta, false) AND NOT coalesce(isCompactSummary, false) AND coalesce(origin_kind, 'human') = 'human'
+    AND (CASE WHEN json_type(j) = 'VARCHAR' THEN regexp_matches(json_extract_string(j, '$'), '{_SOLID}') ELSE {_texts_say('j', "json_extract_string(b, '$.type') = 'text' AND ")} END)
+  UNION ALL
+  SELECT 'modern', session_id, timestamp, archive_path, line, row_id, json_extract_string(j, '$.role') FROM m JOIN h USING (archive_path)
+  WHERE type = 'response_item' AND json_extract_string(j, '$.type') = 'message' AND coalesce(json_extract_string(j, '$.role'), 'user') IN ('user', 'assistant') AND {_texts_say("j -> '$.content'", '')}),
+d AS (SELECT *, trim(timestamp) t, regexp_extract(trim(timestamp), '([Zz]|[+-]\\d{{2}}:?\\d{{0,2}})$', 1) zone FROM x WHERE session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tbl, archive_path, line ORDER BY row_id) = 1),
+e AS (SELECT *, {_AT} at_us FROM (SELECT *, regexp_replace(zone, '[^0-9]', '', 'g') z FROM d)),
+r AS (SELECT *, row_number() OVER w - 1 pos, lead(role) OVER w after, count(*) OVER p n, count(at_us) OVER p timed, count(role) OVER p roled FROM e WINDOW w AS (PARTITION BY tbl, session_id ORDER BY at_us, archive_path, line), p AS (PARTITION BY tbl, session_id)),
+k AS (SELECT tbl, session_id FROM r GROUP BY 1, 2 HAVING bool_and(n = timed AND n = roled) AND bool_and(pos > 0 OR role = 'user') AND bool_and(role <> 'user' OR coalesce(after, 'user') = 'assistant'))
+SELECT tbl, session_id, pos, row_id FROM r SEMI JOIN k USING (tbl, session_id)
+""",
     "p7_found": """
 SELECT 'exchanges' tbl, id row_id, 'user_message' field, 0::BIGINT item_pos FROM exchanges WHERE length(user_message) > 2000
 UNION ALL SELECT 'exchanges', id, 'assistant_message', 0 FROM exchanges WHERE length(assistant_message) > 2000
