@@ -45,19 +45,21 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, files in os.walk(here):
             for f in files:
-                if f.endswith(".py"):
+                if f.endswith((".py", ".json")):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.join(name, os.path.relpath(full, here)))
     sc.addPyFile(path)
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local folder."""
+    """The cluster's ``spark.checkpoint.dir``; only in a local session without it (tests, a laptop) a local folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="braidlog-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -2,11 +2,12 @@
 
 import oracle
 import pytest
+from braidlog.plans import registry
 
 import __spark_entry__ as entry
 
 D = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -19,4 +20,4 @@ def test_query(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() > 0 and set(SQL) <= set(QUERIES)
+    assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
