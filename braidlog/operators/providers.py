@@ -144,6 +144,15 @@ def meta_a(facts: DataFrame) -> DataFrame:
     )
 
 
+def file_meta_a(lines: DataFrame) -> DataFrame:
+    """As ``meta_a``, from parsed lines, with all columns that both providers know of a file."""
+    facts = facts_a(lines)
+    flag = F.min_by("line_sidechain", F.when(F.col("line_sidechain").isNotNull(), F.col("line")))
+    known = facts.groupBy("archive_path").agg(flag.isNotNull().alias("sidechain_known"))
+    none = {"agent_path": F.lit(None).cast("string"), "signal": F.lit(None).cast("int"), "header": F.lit(None).cast("boolean")}
+    return meta_a(facts).join(known, "archive_path").withColumns(none)
+
+
 SIGNALS = ["response_item", "user_message", "item_completed"]
 
 
@@ -161,7 +170,7 @@ def meta_b(lines: DataFrame) -> DataFrame:
     signal = F.when(_completed_user(v), 2).when(_is(v, "$.type", "event_msg") & _is(v, "$.payload.type", "user_message"), 1).otherwise(0)
     got = lines.select("archive_path", "line", F.when(head, header).alias("h"), signal.alias("signal"))
     got = got.groupBy("archive_path").agg(F.min_by("h", F.when(F.col("h").isNotNull(), F.col("line"))).alias("h"), F.max("signal").alias("signal"))
-    return got.select("archive_path", "h.session_id", "h.cwd", F.coalesce("h.is_sidechain", F.lit(False)).alias("is_sidechain"), "h.agent_path", "signal")
+    return got.select("archive_path", "h.session_id", "h.cwd", F.coalesce("h.is_sidechain", F.lit(False)).alias("is_sidechain"), "h.agent_path", "signal", F.col("h").isNotNull().alias("header"))
 
 
 def facts_b(lines: DataFrame, meta: DataFrame) -> DataFrame:

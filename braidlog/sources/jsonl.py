@@ -53,6 +53,15 @@ def walk(root: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
+def is_folder(path: str) -> bool:
+    return os.path.isdir(path)
+
+
+def unreadable(root: str) -> list[str]:
+    """Source files that can't be opened now."""
+    return [p for p, _ in walk(root) if not os.access(os.path.join(root, p), os.R_OK)]
+
+
 def whole_lines(path: str, size: int) -> int:
     """Offset behind the last line feed before ``size``; searched backwards."""
     with open(path, "rb") as f:

@@ -6,7 +6,7 @@ import os
 import pytest
 from braidlog.operators import exchanges as ex
 from braidlog.sources import jsonl
-from braidlog.streaming.ingest import Ingest, one_shot
+from braidlog.streaming.ingest import INDEX_VERSION, Ingest, Library, Scheduler, one_shot
 
 
 MARK = "<<leave-this-chat-out>>"
@@ -135,3 +135,77 @@ def test_whole_lines(tmp_path):
     f = tmp_path / "x"
     f.write_bytes(b"a\nbb\nccc")
     assert [jsonl.whole_lines(str(f), n) for n in (8, 5, 4, 1, 0)] == [5, 5, 2, 0, 0]
+
+
+def test_a_growing_file_is_resumed_at_its_last_exchange(spark, tmp_path):
+    """Earlier exchanges keep their ids and aren't built again; only the lines from the last one on are read."""
+    src = tmp_path / "src"
+    src.mkdir()
+    job = Ingest(spark, str(src), str(tmp_path / "state"), "k", "a", MARK)
+
+    def turn(q, x):
+        return a("user", q, sessionId="s") + "\n" + a("assistant", [{"type": "text", "text": x}]) + "\n"
+
+    (src / "f.jsonl").write_text(turn("one", "x1") + turn("two caching", "x2") + "{bad\n")
+    assert job.sync() == {"batches": 1, "files_synced": 1, "new_exchanges": 2, "bad_lines": 1, "oversize": 0, "errors": 0}
+    ids = {r["user_message"]: r["id"] for r in job.exchanges().collect()}
+    with open(src / "f.jsonl", "a") as f:
+        f.write(turn("three", "x3"))
+    got = job.sync()
+    now = {r["user_message"]: r["id"] for r in job.exchanges().collect()}
+    assert got["new_exchanges"] == 2 and now["one"] == ids["one"] and now["two caching"] > ids["two caching"] and set(now) == {"one", "two caching", "three"}
+    row = job.files().first()
+    assert (row["from_line"], row["reparse_line"], row["reparse_batch"], row["n_lines"]) == (3, 6, 1, 7)
+    index = job.text_index()
+    assert index.total == 3 and [r["id"] for r in index.best("cache", 5).collect()] == [now["two caching"]]
+    assert rows(job.exchanges()) == rows(one_shot(spark, str(src), "k", "a", MARK))
+    assert job.sync(disabled=True)["batches"] == 0 and job.rebuild() == 0 and job.facts()["index_version"] == INDEX_VERSION
+    job.put("index_version", "0")
+    assert job.rebuild() == 3 and rows(job.exchanges()) == rows(one_shot(spark, str(src), "k", "a", MARK)) and min(r["id"] for r in job.exchanges().collect()) > max(now.values())
+
+
+def test_roots_and_failures(spark, tmp_path):
+    """Missing roots are left out, ids are unique over kinds, and what is unreadable or fails is told."""
+    for k, lines in (("x", MAIN_A), ("y", MAIN_B)):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "f.jsonl").write_text("\n".join(lines) + "\n")
+    lib = Library(spark, {"x": (str(tmp_path / "x"), "a"), "y": (str(tmp_path / "y"), "b"), "z": (str(tmp_path / "none"), "a")}, str(tmp_path / "state"), MARK)
+    assert lib.found() == {"x": True, "y": True, "z": False} and [d[:2] for d in lib.discovered()] == [("x", "f.jsonl"), ("y", "f.jsonl")]
+    assert lib.sync()["files_synced"] == 2 and lib.failed == {}
+    ids = [r["id"] for r in lib.exchanges().collect()]
+    assert len(ids) == len(set(ids)) == 3 and not lib.files().where("skipped").count()
+    lib.parts["y"]._run_batch = lambda *_: 1 / 0
+    (tmp_path / "y" / "g.jsonl").write_text(MAIN_B[0] + "\n")
+    with open(tmp_path / "x" / "f.jsonl", "a") as f:
+        f.write(a("user", "late") + "\n" + a("assistant", [{"type": "text", "text": "z"}]) + "\n")
+    got = lib.sync()
+    assert got["errors"] == 1 and got["files_synced"] == 1 and set(lib.failed) == {"y"} and lib.exchanges().where("user_message = 'late'").count() == 1
+    assert "last_error" in lib.parts["y"].facts() and "last_error" not in lib.parts["x"].facts()
+    with pytest.raises(ValueError):
+        Ingest(spark, "", "", "k", "unknown", MARK)
+
+
+def test_requests_are_coalesced():
+    import threading
+
+    gate, runs = threading.Semaphore(0), []
+
+    def job():
+        runs.append(1)
+        gate.acquire()
+
+    s = Scheduler(job)
+    first = s.request()
+    while not runs:
+        pass
+    later = {s.request() for _ in range(20)}
+    assert len(later) == 1 and not s.wait(first, 0.01)
+    gate.release()
+    assert s.wait(first, 5) and not s.wait(max(later), 0.05)
+    gate.release()
+    assert s.wait(max(later), 5) and len(runs) == 2
+
+
+def test_a_quoted_sentence_is_no_marker(spark, tmp_path):
+    (tmp_path / "f.jsonl").write_text(a("user", "what does 'leave this chat out' mean, or leave-this-chat-out?") + "\n" + a("assistant", [{"type": "text", "text": "ok"}]) + "\n")
+    assert one_shot(spark, str(tmp_path), "k", "a", MARK).count() == 1
