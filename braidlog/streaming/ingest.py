@@ -18,6 +18,7 @@ chunking of appends gives what one run over the whole files gives.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -155,8 +156,12 @@ class Ingest:
         return {r[0]: r[1] for r in got if r[1] is not None}
 
     def put(self, key: str, value: str | None) -> None:
-        at = self._table("meta", FACTS).agg(F.coalesce(F.max("at"), F.lit(0))).first()[0] + 1
-        self.spark.createDataFrame([(key, value, at)], FACTS).coalesce(1).write.mode("append").parquet(f"{self.root}/meta")
+        self.put_all({key: value})
+
+    def put_all(self, values: dict[str, str | None]) -> None:
+        """Newer values of some keys, in one small file."""
+        at = time.time_ns()
+        self.spark.createDataFrame([(k, v, at) for k, v in values.items()], FACTS).coalesce(1).write.mode("append").parquet(f"{self.root}/meta")
 
     # ---- one batch
 
@@ -246,11 +251,10 @@ class Ingest:
             self.put("last_error", str(e)[:500])
             raise
         got = self._table("commits", COMMITS).where(F.col("batch") > done).agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("files", "new_exchanges", "bad_lines", "oversize")]).first()
-        if got[0] or error or "last_error" in self.facts():
-            self.put("last_error", error)
         if got[0]:
-            self.put("last_sync", datetime.now(UTC).isoformat())
-            self.put("index_version", INDEX_VERSION)
+            self.put_all({"last_error": error, "last_sync": datetime.now(UTC).isoformat(), "index_version": INDEX_VERSION})
+        elif error or "last_error" in self.facts():
+            self.put("last_error", error)
         return dict(zip(none, [*got, len(unreadable)], strict=True))
 
     def rebuild(self) -> int:
