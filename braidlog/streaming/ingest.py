@@ -169,8 +169,12 @@ class Ingest:
         return self._table("commits", COMMITS).agg(F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
 
     def _run_batch(self, chunk: DataFrame, batch: int) -> None:
+        # the source is read once; all else works on what was read
+        self._write(chunk, "read", batch)
+        chunk = self.spark.read.schema(jsonl.SCHEMA).parquet(f"{self.root}/read/batch={batch}")
         if chunk.isEmpty():
             return
+        chunk = jsonl.placed(chunk)
         known = [c for c in _names(TOUCHED) if c not in ("source_path", "batch")]
         before = self._newest().select("source_path", *[F.col(c).alias(f"o_{c}") for c in known])
         chunk = chunk.withColumn("archive_path", archive_name(F.lit(self.kind), F.col("source_path"), F.col("generation")))
@@ -181,7 +185,8 @@ class Ingest:
 
         # what is known of each file now, and from where it has to be built
         said = self.provider.meta(pv.parsed(mine.select("archive_path", "line", "raw")))
-        ends = placed.where("raw is null").select("archive_path", "source_path", "generation", F.col("line").alias("n_lines"), "same", *[f"o_{c}" for c in known if c != "archive_path"])
+        about = ["archive_path", "source_path", "generation", "same", *[f"o_{c}" for c in known if c != "archive_path"]]
+        ends = placed.where("raw is null").groupBy(*about).agg(F.max("line").alias("n_lines"))
         both = ends.join(said.select("archive_path", *[F.col(c).alias(f"n_{c}") for c in _names(META)]), "archive_path", "left")
         old = lambda c: F.when(F.col("same"), F.col(f"o_{c}"))
         both = both.withColumns({c: self.provider.merged(c, old, lambda c: F.col(f"n_{c}")) for c in _names(META)})
@@ -232,6 +237,9 @@ class Ingest:
         seen = self.spark.read.schema(TOUCHED).parquet(f"{self.root}/touched/batch={batch}").agg(F.count("*"), F.sum("bad_lines"), F.sum("oversize")).first()
         row = (seen[0], n, max(after, top or 0), seen[1] or 0, seen[2] or 0)
         self.spark.createDataFrame([row], ", ".join(COMMITS.split(", ")[1:])).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/batch={batch}")
+        for name in ("read", "plan", "folded"):  # intermediate tables of this batch
+            fs, p = self._path(f"{name}/batch={batch}")
+            fs.delete(p, True)
 
     # ---- runs
 
@@ -393,7 +401,7 @@ def one_shot(spark: SparkSession, source: str, kind: str, provider: str, marker:
     """Exchanges of whole files, without any state."""
     spark.dataSource.register(JsonLines)
     how = PROVIDERS[provider]
-    lines = spark.read.format("json_lines").option("path", source).load().where("raw is not null")
+    lines = jsonl.placed(spark.read.format("json_lines").option("path", source).load()).where("raw is not null")
     parsed = pv.parsed(lines.select(archive_name(F.lit(kind), F.col("source_path"), F.lit(0)).alias("archive_path"), "line", "raw"))
     meta = how.meta(parsed)
     return ex.indexed(ex.folded(how.facts(parsed, meta)), meta, how.harness, marker)

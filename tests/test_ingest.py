@@ -209,3 +209,28 @@ def test_requests_are_coalesced():
 def test_a_quoted_sentence_is_no_marker(spark, tmp_path):
     (tmp_path / "f.jsonl").write_text(a("user", "what does 'leave this chat out' mean, or leave-this-chat-out?") + "\n" + a("assistant", [{"type": "text", "text": "ok"}]) + "\n")
     assert one_shot(spark, str(tmp_path), "k", "a", MARK).count() == 1
+
+
+@pytest.mark.parametrize("split", [7, 20, 64, 1000])
+def test_files_are_cut_into_chunks_of_lines(tmp_path, monkeypatch, split):
+    """Whatever the size of a chunk, each line is read once, with its number and place."""
+    monkeypatch.setattr(jsonl, "SPLIT", split)
+    bodies = {"a": b"x\n\nlonger line here\n" + b"z" * 50 + b"\nend\n", "b": b"one\n", "c": "é€\nü\n".encode()}
+    for n, body in bodies.items():
+        (tmp_path / f"{n}.jsonl").write_bytes(body)
+    found = [jsonl.Chunk(str(tmp_path), f"{n}.jsonl", 0, 0, len(b)) for n, b in bodies.items()]
+    got = [r for t in jsonl.tasks(found) for c in t.chunks for r in jsonl.rows_of(c)]
+    for n, body in bodies.items():
+        mine = sorted((r for r in got if r[0] == f"{n}.jsonl"), key=lambda r: (r[2], r[5] is None, r[3]))
+        base, lines = 0, []
+        for r in mine:
+            if r[5] is None:
+                base += r[3]
+            else:
+                lines.append((base + r[3], r[4], r[5]))
+        want, at = [], 0
+        for i, line in enumerate(body.split(b"\n")[:-1], 1):
+            if line.strip():
+                want.append((i, at, line.decode()))
+            at += len(line) + 1
+        assert lines == want and base == body.count(b"\n")
