@@ -51,3 +51,22 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
             yield flush(rows)
 
     return df.mapInArrow(run, struct)
+
+
+def replace_columns(df: DataFrame, columns: list[str], make: Callable[[], Callable[[object], object]]) -> DataFrame:
+    """``df`` with the values of some columns replaced, row by row; all other columns pass through, without a shuffle.
+
+    ``make()`` runs once a task and gives a function of one value.
+    """
+    arrow = to_arrow_schema(df.schema, prefers_large_types=False)
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+        for batch in batches:
+            arrays = list(batch.columns)
+            for i in at:
+                arrays[i] = pa.array([each(x) for x in arrays[i].to_pylist()], arrow.field(i).type)
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, df.schema)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from braidlog.functions.jsontext import loads
 
 OCCURRENCES = "tbl string, row_id bigint, path string, parent_path string, member string, ordinal bigint, in_array boolean, node_id binary"
+_ARROW = [("tbl", pa.string()), ("row_id", pa.int64()), ("path", pa.string()), ("parent_path", pa.string()), ("member", pa.string()), ("ordinal", pa.int64()), ("in_array", pa.bool_()), ("node_id", pa.binary())]
 PARTS = "what string, id binary, other binary, member string, ordinals string, body string"
 
 
@@ -104,15 +105,21 @@ def _columns(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def occurrences(records: DataFrame, tbl: str, key: str, column: str) -> DataFrame:
-    """One row per object in ``column`` (JSON text) of every row of ``records``; see the module's text."""
-    arrow = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("path", pa.string()), ("parent_path", pa.string()), ("member", pa.string()), ("ordinal", pa.int64()), ("in_array", pa.bool_()), ("node_id", pa.binary())])
+def occurrences(records: DataFrame, tbl: str, key: str, column: str, beside: str = "") -> DataFrame:
+    """One row per object in ``column`` (JSON text) of every row of ``records``; see the module's text.
+
+    ``beside``: further columns of the row to give with each object, as "name type, name type" of bigint and string columns.
+    """
+    more = [x.split() for x in beside.split(", ")] if beside else []
+    kinds = {"bigint": pa.int64(), "string": pa.string()}
+    arrow = pa.schema([*_ARROW, *[(n, kinds[k]) for n, k in more]])
+    picked = [F.col(n).cast(k) for n, k in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in arrow]
             size = 0
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for rid, text, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text is None or "{" not in text:
                     continue
                 try:
@@ -120,7 +127,7 @@ def occurrences(records: DataFrame, tbl: str, key: str, column: str) -> DataFram
                 except ValueError:
                     continue
                 for row in walk(value, column)[0]:
-                    for c, x in zip(out, (tbl, rid, *row), strict=True):
+                    for c, x in zip(out, (tbl, rid, *row, *rest), strict=True):
                         c.append(x)
                     size += 1
                 if size >= 20_000:
@@ -129,7 +136,7 @@ def occurrences(records: DataFrame, tbl: str, key: str, column: str) -> DataFram
             if size:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    return records.select(F.col(key).cast("long"), F.col(column)).mapInArrow(run, OCCURRENCES)
+    return records.select(F.col(key).cast("long"), F.col(column), *picked).mapInArrow(run, ", ".join([OCCURRENCES, *([beside] if beside else [])]))
 
 
 def _parts(records: DataFrame, column: str) -> DataFrame:

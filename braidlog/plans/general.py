@@ -42,9 +42,9 @@ def p4_steps(spark: SparkSession, d: str) -> DataFrame:
     return drift.steps(drift.changes(drift.known_versions(_versions(spark, d)), table(spark, d, "line_fields")))
 
 
-def _objects(spark: SparkSession, d: str) -> DataFrame:
-    return nesting.occurrences(table(spark, d, "claude"), "claude", "row_id", "content").unionByName(
-        nesting.occurrences(table(spark, d, "modern"), "modern", "row_id", "payload")
+def _objects(spark: SparkSession, d: str, beside: str = "") -> DataFrame:
+    return nesting.occurrences(table(spark, d, "claude"), "claude", "row_id", "content", beside).unionByName(
+        nesting.occurrences(table(spark, d, "modern"), "modern", "row_id", "payload", beside)
     )
 
 
@@ -55,10 +55,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_objects(spark: SparkSession, d: str) -> DataFrame:
     """All occurrences of objects, with line, parent, position and identity."""
-    where = table(spark, d, "claude").select(F.lit("claude").alias("tbl"), "row_id", "archive_path", "line").unionByName(
-        table(spark, d, "modern").select(F.lit("modern").alias("tbl"), "row_id", "archive_path", "line")
-    )
-    return _objects(spark, d).withColumn("node_id", F.hex("node_id")).join(where, ["tbl", "row_id"])
+    return _objects(spark, d, "archive_path string, line bigint").withColumn("node_id", F.hex("node_id"))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:

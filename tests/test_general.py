@@ -229,3 +229,18 @@ def test_numbers_and_variants(spark):
     df = spark.createDataFrame([('{"a":1,"b":2.5,"c":1e30,"d":"x","e":[],"f":{},"g":true,"h":null}',)], "j string").select(F.try_parse_json("j").alias("v"))
     m = df.select(F.transform_values(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, x: drift._kind(x))).first()[0]
     assert m == {"a": "number", "b": "number", "c": "number", "d": "string", "e": "array", "f": "object", "g": "boolean", "h": None}
+
+
+def test_columns_are_replaced_in_place(spark):
+    from braidlog.functions.arrow import replace_columns
+
+    df = spark.createDataFrame([(1, "a", "x", [1]), (1, None, "y", None)], "id bigint, t string, s string, l array<int>")
+    out = replace_columns(df, ["t"], lambda: lambda v: None if v is None else v + "!")
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "a!", "x", [1]), (1, None, "y", None)] and out.schema == df.schema
+    assert replace_columns(df.where("false"), ["t"], lambda: str).collect() == []
+
+
+def test_occurrences_carry_columns_of_their_row(spark):
+    df = spark.createDataFrame([(1, '[{"a": {}}]', 7, "f"), (1, '[{}]', 8, None)], "row_id bigint, c string, line bigint, path string").withColumnRenamed("path", "archive_path")
+    got = nesting.occurrences(df, "t", "row_id", "c", "archive_path string, line bigint").collect()
+    assert sorted((r["path"], r["line"], r["archive_path"]) for r in got if r["line"] == 7) == [("c[0]", 7, "f"), ("c[0].a", 7, "f")] and len(got) == 3
