@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlog.functions.arrow import map_rows, safe
+from braidlog.functions.arrow import map_rows, replace_columns, safe
 from braidlog.functions.jsontext import loads
 from braidlog.llm import conversations, defects, encoding, leaks, neardup, packing, personal, personal_training, splitting
 from braidlog.session import cut
@@ -43,29 +43,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_exchanges(spark: SparkSession, d: str) -> DataFrame:
-    """exchanges with placeholders in both messages."""
+    """exchanges with placeholders in both messages; every row and column, in one pass."""
     finder = _finder(spark)
 
-    def make() -> Callable[..., Iterable[tuple]]:
+    def make() -> Callable[[object], object]:
         f = finder()
-        return lambda rid, u, a: [(rid, f.redact(u)[0], f.redact(a)[0])]
+        return lambda text: f.redact(text)[0]
 
-    rows = table(spark, d, "exchanges")
-    done = map_rows(rows.select(F.col("id").cast("long"), "user_message", "assistant_message"), make, "id bigint, user_message string, assistant_message string", 2000)
-    return rows.drop("user_message", "assistant_message").join(done, "id")
+    return replace_columns(table(spark, d, "exchanges"), ["user_message", "assistant_message"], make)
 
 
 def p1_claude(spark: SparkSession, d: str) -> DataFrame:
     """claude with placeholders in content, which stays valid JSON."""
     finder = _finder(spark)
 
-    def make() -> Callable[..., Iterable[tuple]]:
+    def make() -> Callable[[object], object]:
         f = finder()
-        return lambda rid, content: [(rid, f.redact_json(content)[0])]
+        return lambda content: f.redact_json(content)[0]
 
-    rows = table(spark, d, "claude")
-    done = map_rows(rows.select(F.col("row_id").cast("long"), "content"), make, "row_id bigint, content string", 2000)
-    return rows.drop("content").join(done, "row_id")
+    return replace_columns(table(spark, d, "claude"), ["content"], make)
 
 
 # ---- 2: near duplicates -------------------------------------------------------------------------
