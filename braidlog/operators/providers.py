@@ -79,8 +79,18 @@ def _strings(*values: Column) -> Column:
     return F.filter(F.array(*values), lambda x: x.isNotNull()) if values else F.array().cast("array<string>")
 
 
-def facts_a(lines: DataFrame) -> DataFrame:
-    """Line facts of provider A from parsed lines.
+def _said_of_file(v: Column) -> list[Column]:
+    """What a line of provider A says of its file."""
+    return [
+        text_at(v, "$.sessionId").alias("line_session"),
+        text_at(v, "$.cwd").alias("line_cwd"),
+        flag_at(v, "$.isSidechain").alias("line_sidechain"),
+        F.array_contains(F.split("archive_path", "/"), SUBAGENTS).alias("path_sidechain"),
+    ]
+
+
+def facts_a(lines: DataFrame, items: bool = True) -> DataFrame:
+    """Line facts of provider A from parsed lines; without rendered ``items`` the plan is a good deal smaller.
 
     Each block is read once into a struct, in a projection of its own; what follows works on plain strings.
     """
@@ -108,7 +118,7 @@ def facts_a(lines: DataFrame) -> DataFrame:
         array = F.schema_of_variant(F.try_variant_get(b, "$.content", "variant")).startswith("ARRAY")
         return F.when(F.coalesce(array, F.lit(False)), F.array_join(inner, "\n")).otherwise(display(b, "$.content"))
 
-    def items(role: str) -> Column:
+    def rendered(role: str) -> Column:
         each = F.transform(
             blocks(v, content),
             lambda b: F.when((text_at(b, "$.type") == "text") & (text_at(b, "$.text") != ""), item_text(role, text_at(b, "$.text")))
@@ -126,11 +136,8 @@ def facts_a(lines: DataFrame) -> DataFrame:
         none.alias("fallback_parts"),
         F.when(assistant, tools).otherwise(none).alias("tool_parts"),
         millis(text_at(v, "$.timestamp")).alias("ts"),
-        F.when(user, items("User")).when(assistant, items("Assistant")).otherwise(none).alias("items"),
-        text_at(v, "$.sessionId").alias("line_session"),
-        text_at(v, "$.cwd").alias("line_cwd"),
-        flag_at(v, "$.isSidechain").alias("line_sidechain"),
-        F.array_contains(F.split("archive_path", "/"), SUBAGENTS).alias("path_sidechain"),
+        *([F.when(user, rendered("User")).when(assistant, rendered("Assistant")).otherwise(none).alias("items")] if items else []),
+        *_said_of_file(v),
     )
 
 
@@ -146,7 +153,7 @@ def meta_a(facts: DataFrame) -> DataFrame:
 
 def file_meta_a(lines: DataFrame) -> DataFrame:
     """As ``meta_a``, from parsed lines, with all columns that both providers know of a file."""
-    facts = facts_a(lines)
+    facts = lines.select("archive_path", "line", *_said_of_file(F.col("v")))
     flag = F.min_by("line_sidechain", F.when(F.col("line_sidechain").isNotNull(), F.col("line")))
     known = facts.groupBy("archive_path").agg(flag.isNotNull().alias("sidechain_known"))
     none = {"agent_path": F.lit(None).cast("string"), "signal": F.lit(None).cast("int"), "header": F.lit(None).cast("boolean")}
@@ -173,8 +180,8 @@ def meta_b(lines: DataFrame) -> DataFrame:
     return got.select("archive_path", "h.session_id", "h.cwd", F.coalesce("h.is_sidechain", F.lit(False)).alias("is_sidechain"), "h.agent_path", "signal", F.col("h").isNotNull().alias("header"))
 
 
-def facts_b(lines: DataFrame, meta: DataFrame) -> DataFrame:
-    """Line facts of provider B from parsed lines and the files' signals."""
+def facts_b(lines: DataFrame, meta: DataFrame, items: bool = True) -> DataFrame:
+    """Line facts of provider B from parsed lines and the files' signals; ``items`` as for provider A."""
     v = F.col("v")
     response, event = _is(v, "$.type", "response_item"), _is(v, "$.type", "event_msg")
     kind = lambda k: _is(v, "$.payload.type", k)
@@ -191,7 +198,7 @@ def facts_b(lines: DataFrame, meta: DataFrame) -> DataFrame:
     fallback = F.when(event & kind("agent_message") & (text_at(v, "$.payload.message") != ""), text_at(v, "$.payload.message"))
     call = kind("function_call") | kind("custom_tool_call")
     tool = F.when(response & call, text_at(v, "$.payload.name")).when(response & kind("local_shell_call"), SHELL)
-    item = (
+    item = F.lit(None).cast("string") if not items else (
         F.when(kind("message") & role("user"), item_text("User", block_texts(bs, "input_text", "\n\n")))
         .when(kind("message") & role("assistant"), item_text("Assistant", block_texts(bs, "output_text", "\n\n")))
         .when(kind("function_call"), item_tool(text_at(v, "$.payload.name"), display(v, "$.payload.arguments")))
@@ -208,5 +215,5 @@ def facts_b(lines: DataFrame, meta: DataFrame) -> DataFrame:
         _strings(fallback).alias("fallback_parts"),
         _strings(tool).alias("tool_parts"),
         millis(text_at(v, "$.timestamp")).alias("ts"),
-        _strings(F.when(response, item)).alias("items"),
+        *([_strings(F.when(response, item)).alias("items")] if items else []),
     )

@@ -76,8 +76,8 @@ def _merged_b(c: str, old: Callable[[str], Column], new: Callable[[str], Column]
 
 
 PROVIDERS: dict[str, Provider] = {
-    "a": Provider("claude", lambda parsed: pv.file_meta_a(parsed), lambda parsed, _: pv.facts_a(parsed), _merged_a),
-    "b": Provider("codex", lambda parsed: pv.meta_b(parsed).withColumn("sidechain_known", F.col("header")), pv.facts_b, _merged_b),
+    "a": Provider("claude", lambda parsed: pv.file_meta_a(parsed), lambda parsed, _: pv.facts_a(parsed, items=False), _merged_a),
+    "b": Provider("codex", lambda parsed: pv.meta_b(parsed).withColumn("sidechain_known", F.col("header")), lambda parsed, meta: pv.facts_b(parsed, meta, items=False), _merged_b),
 }
 
 
